@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from pricelens import config
-from pricelens.functions.pytext import json_string, list_literal, strip
+from pricelens.functions.pytext import bind, json_string, list_literal, strip
 
 # What a text must look like to be read as a decimal number ('12d' would pass a plain cast).
 _NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
@@ -12,7 +12,7 @@ _NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)
 # token start and the end of the line. Word edges are spelled out so that the result does not
 # depend on how the JDK defines \b; (?d) makes \n the only line end.
 PRODUCT_CODE = (
-    r"(?d)(?<![\p{L}\p{N}_])(?=[A-Z0-9]{7,}(?![\p{L}\p{N}_]))(?=.*[A-Z])(?=.*\p{Nd})"
+    r"(?d)(?=[A-Z0-9]{7,}(?![\p{L}\p{N}_]))(?<![\p{L}\p{N}_])(?=.*[A-Z])(?=.*\p{Nd})"
     r"[A-Z0-9]+(?![\p{L}\p{N}_])"
 )
 
@@ -30,7 +30,7 @@ def in_price_range(price: Column) -> Column:
 def simplify(values: Column) -> Column:
     """Printed list on one line, one pass of double-space removal, stripped and cut."""
     text = F.replace(list_literal(values), F.lit("\n"), F.lit(" "))
-    text = F.translate(text, "\r\t", "")
+    text = F.replace(F.replace(text, F.lit("\r"), F.lit("")), F.lit("\t"), F.lit(""))
     text = F.replace(text, F.lit("  "), F.lit(" "))
     return F.substring(strip(text), 1, config.MAX_TEXT_EACH)
 
@@ -67,7 +67,8 @@ def details_json(details: Column) -> Column:
 
 
 def strip_codes(text: Column) -> Column:
-    return F.regexp_replace(text, PRODUCT_CODE, "")
+    """Most texts hold no run of seven capitals and digits; a plain scan keeps those off the slow path."""
+    return bind(text, lambda t: F.when(t.rlike("[A-Z0-9]{7}"), F.regexp_replace(t, PRODUCT_CODE, "")).otherwise(t))
 
 
 def scrub(title: Column, description: Column, features: Column, details: Column) -> Column:

@@ -3,6 +3,7 @@
 import random
 import re
 import time
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -81,7 +82,7 @@ def encode_hook(make_encoder):
     """Column function text -> array<double> from `make_encoder().encode(list of texts)`."""
 
     @F.pandas_udf("array<double>")
-    def encode(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make_encoder()
         for texts in batches:
             yield pd.Series(list(np.asarray(encoder.encode(texts.tolist()), dtype=float)))
@@ -93,13 +94,13 @@ def token_hooks(make_tokenizer, cutoff):
     """Column functions (token count, text cut to `cutoff` tokens) from a tokenizer object."""
 
     @F.pandas_udf("int")
-    def count(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = make_tokenizer()
         for texts in batches:
             yield texts.map(lambda t: len(tokenizer.encode(t)))
 
     @F.pandas_udf("string")
-    def cut(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = make_tokenizer()
 
         def one(text):
@@ -116,7 +117,7 @@ def predictor_hook(fn, numeric=True):
     """Column function over item columns from `fn(*values)`, answering with a number or a text."""
 
     @F.pandas_udf("double" if numeric else "string")
-    def predict(batches: "Iterator[tuple[pd.Series, ...]]") -> "Iterator[pd.Series]":
+    def predict(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
             yield pd.Series([fn(*values) for values in zip(*columns)])
 

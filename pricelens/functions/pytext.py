@@ -22,14 +22,19 @@ def rstrip(text: Column) -> Column:
     return F.rtrim(text, F.lit(WHITESPACE))
 
 
+def bind(value: Column, use) -> Column:
+    """`use(value)` with `value` computed once, however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _hex(code: Column, digits: int) -> Column:
     return F.lower(F.lpad(F.hex(code), digits, "0"))
 
 
 def _map_chars(text: Column, pattern: str, escape) -> Column:
-    """Rewrite single characters, leaving texts without any of them on the cheap path."""
+    """Rewrite the single characters that match."""
     chars = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(pattern), escape(F.ascii(c))).otherwise(c))
-    return F.when(text.rlike(pattern), F.array_join(chars, "")).otherwise(text)
+    return F.array_join(chars, "")
 
 
 def quoted(text: Column) -> Column:
@@ -37,17 +42,16 @@ def quoted(text: Column) -> Column:
     body = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for char, name in (("\n", "n"), ("\r", "r"), ("\t", "t")):
         body = F.replace(body, F.lit(char), F.lit("\\" + name))
-    body = _map_chars(
-        body,
-        _UNPRINTABLE,
-        lambda code: F.when(code <= 0xFF, F.concat(F.lit("\\x"), _hex(code, 2)))
+    code_escape = lambda code: (
+        F.when(code <= 0xFF, F.concat(F.lit("\\x"), _hex(code, 2)))
         .when(code <= 0xFFFF, F.concat(F.lit("\\u"), _hex(code, 4)))
-        .otherwise(F.concat(F.lit("\\U"), _hex(code, 8))),
+        .otherwise(F.concat(F.lit("\\U"), _hex(code, 8)))
     )
+    printable = lambda b: F.when(b.rlike(_UNPRINTABLE), _map_chars(b, _UNPRINTABLE, code_escape)).otherwise(b)
     double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
-    return F.when(double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(
-        F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'"))
-    )
+    quote = F.when(double, '"').otherwise("'")
+    single = lambda b: F.when(double, b).otherwise(F.replace(b, F.lit("'"), F.lit("\\'")))
+    return F.concat(quote, bind(bind(body, printable), single), quote)
 
 
 def list_literal(values: Column) -> Column:
@@ -63,17 +67,14 @@ def json_string(text: Column) -> Column:
     for char, name in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
         body = F.replace(body, F.lit(char), F.lit("\\" + name))
     unit = lambda code: F.concat(F.lit("\\u"), _hex(code, 4))
-    body = _map_chars(
-        body,
-        _NOT_PLAIN_ASCII,
-        lambda code: F.when(code <= 0xFFFF, unit(code)).otherwise(
-            F.concat(
-                unit(F.lit(0xD800) + F.shiftright(code - 0x10000, 10)),
-                unit(F.lit(0xDC00) + (code - 0x10000).bitwiseAND(F.lit(0x3FF))),
-            )
-        ),
+    code_escape = lambda code: F.when(code <= 0xFFFF, unit(code)).otherwise(
+        F.concat(
+            unit(F.lit(0xD800) + F.shiftright(code - 0x10000, 10)),
+            unit(F.lit(0xDC00) + (code - 0x10000).bitwiseAND(F.lit(0x3FF))),
+        )
     )
-    return F.concat(F.lit('"'), body, F.lit('"'))
+    ascii_only = lambda b: F.when(b.rlike(_NOT_PLAIN_ASCII), _map_chars(b, _NOT_PLAIN_ASCII, code_escape)).otherwise(b)
+    return F.concat(F.lit('"'), bind(body, ascii_only), F.lit('"'))
 
 
 def money(amount: Column) -> Column:

@@ -9,24 +9,28 @@ from pricelens.operators.order import (
 )
 
 
+def computed(df: DataFrame, *columns) -> DataFrame:
+    """A projection that is evaluated once per row even if a filter on its results follows.
+
+    A filter is normally pushed below the projection by copying the expressions into it; a generator
+    of exactly one row keeps it above.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def parse_items(raw: DataFrame) -> DataFrame:
-    """Price filter, details, weight, cleaned text and the minimum-length filter in one pass."""
+    """Price filter first, then details, weight and cleaned text, then the minimum-length filter."""
     price = cleaning.number(F.col("price"))
-    priced = raw.where(cleaning.in_price_range(price)).select(
-        "id",
-        F.coalesce("title", F.lit("")).alias("title"),
-        "category",
-        price.alias("price"),
-        "description",
-        "features",
-        cleaning.details_map(F.col("details")).alias("details"),
+    priced = computed(
+        raw.where(cleaning.in_price_range(price)),
+        "id", F.coalesce("title", F.lit("")).alias("title"), "category", price.alias("price"), "description",
+        "features", cleaning.details_map(F.col("details")).alias("details"),
     ).where(F.col("details").isNotNull())
     clean = cleaning.drop_noise_keys(F.col("details"))
     full = cleaning.scrub(F.col("title"), F.col("description"), F.col("features"), clean)
-    return priced.select(
-        "id", "title", "category", "price", full.alias("full"),
-        cleaning.weight_pounds(cleaning.detail_text(F.col("details"), "Item Weight")).alias("weight"),
-    ).where(F.length("full") >= config.MIN_CHARS)
+    weight = cleaning.weight_pounds(cleaning.detail_text(F.col("details"), "Item Weight"))
+    items = computed(priced, "id", "title", "category", "price", full.alias("full"), weight.alias("weight"))
+    return items.where(F.length("full") >= config.MIN_CHARS)
 
 
 def rejected_details(raw: DataFrame) -> DataFrame:
