@@ -100,9 +100,16 @@ def split_bounds(total: Column, sizes) -> tuple[Column, Column, Column]:
     return F.when(short, total - val - test).otherwise(F.lit(sizes[0])), val, test
 
 
-def split(items: DataFrame, sizes=config.FULL_SIZES, ord_: str = "ord") -> DataFrame:
-    """Consecutive slices by position; surplus rows go. `ord` restarts at 0 in every split."""
-    train, val, test = split_bounds(items.agg(F.count(F.lit(1))).scalar(), sizes)
+def row_count(df: DataFrame) -> Column:
+    return df.agg(F.count(F.lit(1))).scalar()
+
+
+def split(items: DataFrame, sizes=config.FULL_SIZES, ord_: str = "ord", total: Column = None) -> DataFrame:
+    """Consecutive slices by position; surplus rows go. `ord` restarts at 0 in every split.
+
+    `total` can pass the number of rows when it is cheaper to count them elsewhere.
+    """
+    train, val, test = split_bounds(row_count(items) if total is None else total, sizes)
     sized = items.withColumns({"_train": train, "_val": val, "_test": test})
     at = F.col(ord_)
     name = (
@@ -145,7 +152,7 @@ def sample_per_category(items: DataFrame, n: int, seed=config.SEED) -> DataFrame
 def holdout(items: DataFrame, fraction: float = 0.01, seed=config.SEED) -> DataFrame:
     """Mark a random `fraction` (rounded up) as validation rows."""
     ranked = shuffle_order(items, f"{seed}:holdout", name="_at")
-    size = F.ceil(items.agg(F.count(F.lit(1))).scalar() * F.lit(fraction))
+    size = F.ceil(row_count(items) * F.lit(fraction))
     return ranked.withColumn("holdout", F.col("_at") < size).drop("_at")
 
 

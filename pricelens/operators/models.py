@@ -5,7 +5,7 @@ from pyspark.ml.feature import (
     CountVectorizer, HashingTF, IDF, Normalizer, PCA, RegexTokenizer, StopWordsRemover, VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import FMRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pricelens import config
@@ -118,10 +118,9 @@ def from_log_target(model: PipelineModel, mean: float, std: float) -> Priced:
     return Priced(model, finish=lambda y: scoring.nonneg(F.exp(y * std + mean) - 1))
 
 
-def hashed_price(train: DataFrame, factors: int = 4) -> Priced:
-    """Factorisation machine on the hashed bag with the plain price as target."""
-    machine = FMRegressor(labelCol="price", factorSize=factors, stepSize=0.1, maxIter=30, seed=config.SEED)
-    return _text_model(train, hashed_words(), machine)
+def hashed_price(train: DataFrame) -> Priced:
+    """Linear model on the hashed bag with the plain price as target."""
+    return _text_model(train, hashed_words(), LinearRegression(labelCol="price", solver="l-bfgs", regParam=0.01, maxIter=50))
 
 
 def text_encoder(items: DataFrame, size: int = 256) -> PipelineModel:

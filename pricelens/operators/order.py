@@ -4,7 +4,8 @@ All of these need a global order, and none of them sorts the data in one task. R
 buckets by a monotone function of the sort key; the buckets are counted with a partial aggregate;
 the running bucket totals (one row per bucket, so bounded by the bucket count whatever the data
 size) are broadcast; the exact position inside a bucket comes from a window partitioned by bucket.
-Every step is a deterministic function of the rows, so a re-run task gives the same answer.
+Every step is a deterministic function of the rows, so a re-run task gives the same answer. The input
+is read twice, once for the counts (key column only): pass a stored frame when it is costly to make.
 """
 
 from pyspark.ml.feature import Bucketizer
@@ -61,9 +62,16 @@ def _bucket_totals(df: DataFrame, within, bucket: str, **sums) -> DataFrame:
     return totals.select(*within, bucket, *[zero(n).alias(f"_before{n}") for n in ("_n", *sums)])
 
 
-def _with_totals(df: DataFrame, within, bucket: str, **sums) -> DataFrame:
-    totals = _bucket_totals(df, within, bucket, **sums)
-    return df.join(F.broadcast(totals), [*within, bucket])
+def _with_totals(df: DataFrame, within, bucket: str) -> DataFrame:
+    """Join every row with the total of the buckets before its own.
+
+    Without groups the totals have one row per bucket (65,536 hash buckets, about 90,000 log buckets
+    or two range buckets per shuffle partition), a few megabytes at most, so they are broadcast. With
+    groups their number depends on the data, and the planner decides from the measured size; a
+    shuffle by group and bucket is then the one the window needs anyway.
+    """
+    totals = _bucket_totals(df, within, bucket)
+    return df.join(totals if within else F.broadcast(totals), [*within, bucket])
 
 
 def with_ordinal(df: DataFrame, order, bucket: str, name: str = "ord", within=()) -> DataFrame:

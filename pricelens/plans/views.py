@@ -47,18 +47,23 @@ def items(spark, sf) -> DataFrame:
     return curate.parse_items(raw_items(spark, sf))
 
 
+def with_cards(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("summary", prompts.summary_card(F.col("full"), F.col("category")))
+
+
 def items_summary(spark, sf) -> DataFrame:
-    return items(spark, sf).withColumn("summary", prompts.summary_card(F.col("full"), F.col("category")))
+    return with_cards(items(spark, sf))
 
 
 def deduplicated(spark, sf) -> DataFrame:
-    return materialize(curate.deduplicate(items_summary(spark, sf)), "deduplicated")
+    return materialize(curate.deduplicate(items(spark, sf)), "deduplicated")
 
 
 def splits(spark, sf, sizes=SPLIT_SIZES, size=config.SAMPLE_SIZE) -> DataFrame:
     """Curated items with `split` and `ord`, written once: everything downstream reads them often."""
     sample = materialize(curate.weighted_sample(deduplicated(spark, sf), size), "sample")
-    return materialize(curate.split(curate.shuffled(sample), sizes), "splits")
+    parts = curate.split(curate.shuffled(sample), sizes, total=curate.row_count(sample))
+    return materialize(with_cards(parts), "splits")
 
 
 def part_of(frame: DataFrame, name: str) -> DataFrame:
