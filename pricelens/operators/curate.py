@@ -7,6 +7,7 @@ from pricelens.functions import cleaning
 from pricelens.operators.order import (
     hash_bucket, hash_key, log_bucket, shuffle_order, take_first, uniform,
 )
+from pricelens.session import once_per_session
 
 
 def computed(df: DataFrame, *columns) -> DataFrame:
@@ -18,19 +19,27 @@ def computed(df: DataFrame, *columns) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*columns))))
 
 
-def parse_items(raw: DataFrame) -> DataFrame:
-    """Price filter first, then details, weight and cleaned text, then the minimum-length filter."""
+@once_per_session
+def _priced_columns():
     price = cleaning.number(F.col("price"))
-    priced = computed(
-        raw.where(cleaning.in_price_range(price)),
-        "id", F.coalesce("title", F.lit("")).alias("title"), "category", price.alias("price"), "description",
-        "features", cleaning.details_map(F.col("details")).alias("details"),
-    ).where(F.col("details").isNotNull())
+    title = F.coalesce("title", F.lit("")).alias("title")
+    details = cleaning.details_map(F.col("details")).alias("details")
+    return cleaning.in_price_range(price), ("id", title, "category", price.alias("price"), "description", "features", details)
+
+
+@once_per_session
+def _item_columns():
     clean = cleaning.drop_noise_keys(F.col("details"))
     full = cleaning.scrub(F.col("title"), F.col("description"), F.col("features"), clean)
     weight = cleaning.weight_pounds(cleaning.detail_text(F.col("details"), "Item Weight"))
-    items = computed(priced, "id", "title", "category", "price", full.alias("full"), weight.alias("weight"))
-    return items.where(F.length("full") >= config.MIN_CHARS)
+    return "id", "title", "category", "price", full.alias("full"), weight.alias("weight")
+
+
+def parse_items(raw: DataFrame) -> DataFrame:
+    """Price filter first, then details, weight and cleaned text, then the minimum-length filter."""
+    in_range, columns = _priced_columns()
+    priced = computed(raw.where(in_range), *columns).where(F.col("details").isNotNull())
+    return computed(priced, *_item_columns()).where(F.length("full") >= config.MIN_CHARS)
 
 
 def rejected_details(raw: DataFrame) -> DataFrame:

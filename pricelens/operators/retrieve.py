@@ -37,14 +37,23 @@ def _stack(series):
     return np.stack(series.to_numpy()).astype(float)
 
 
+def _by_slices(compute, *series):
+    """Concatenate `compute` over row slices, so that a distance matrix stays small in any batch."""
+    starts = range(0, max(len(series[0]), 1), SLICE_ROWS)
+    return pd.concat([compute(*[s.iloc[at : at + SLICE_ROWS] for s in series]) for at in starts], ignore_index=True)
+
+
 def _cell_of(pivots):
-    @F.pandas_udf("struct<cell:int,reach:double>")
-    def nearest_pivot(vectors: pd.Series) -> pd.DataFrame:
-        if len(vectors) == 0:
-            return pd.DataFrame({"cell": [], "reach": []})
+    def compute(vectors):
+        if vectors.empty:
+            return pd.DataFrame({"cell": pd.Series(dtype="int32"), "reach": pd.Series(dtype=float)})
         d = np.sqrt(_squared(_stack(vectors), pivots))
         cell = d.argmin(1)
-        return pd.DataFrame({"cell": cell, "reach": d[np.arange(len(d)), cell]})
+        return pd.DataFrame({"cell": cell.astype("int32"), "reach": d[np.arange(len(d)), cell]})
+
+    @F.pandas_udf("struct<cell:int,reach:double>")
+    def nearest_pivot(vectors: pd.Series) -> pd.DataFrame:
+        return _by_slices(compute, vectors)
 
     return nearest_pivot
 
@@ -52,17 +61,19 @@ def _cell_of(pivots):
 def _first_cells(pivots, counts, k):
     """Nearest non-empty cells that together hold at least k rows."""
 
-    @F.pandas_udf("array<int>")
-    def cells(vectors: pd.Series) -> pd.Series:
-        if len(vectors) == 0:
+    def compute(vectors):
+        if vectors.empty:
             return pd.Series([], dtype=object)
-        order = np.argsort(_squared(_stack(vectors), pivots), axis=1, kind="stable")
         out = []
-        for row in order:
+        for row in np.argsort(_squared(_stack(vectors), pivots), axis=1, kind="stable"):
             row = row[counts[row] > 0]
             out.append(row[: int(np.searchsorted(np.cumsum(counts[row]), k)) + 1].astype("int32"))
         return pd.Series(out)
 
+    @F.pandas_udf("array<int>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        return _by_slices(compute, vectors)
+
     return cells
 
 
@@ -70,9 +81,8 @@ def _other_cells(pivots, counts, radius):
     """Cells not searched yet that may hold a row within the bound."""
     between = np.sqrt(_squared(pivots, pivots))
 
-    @F.pandas_udf("array<int>")
-    def cells(vectors: pd.Series, searched: pd.Series, bound: pd.Series) -> pd.Series:
-        if len(vectors) == 0:
+    def compute(vectors, searched, bound):
+        if vectors.empty:
             return pd.Series([], dtype=object)
         d = np.sqrt(_squared(_stack(vectors), pivots))
         own = d.argmin(1)
@@ -85,6 +95,10 @@ def _other_cells(pivots, counts, radius):
         near = (np.maximum(ball, plane) <= bound.to_numpy()[:, None] + 1e-6) & (counts[None, :] > 0)
         return pd.Series([np.setdiff1d(np.flatnonzero(n), s).astype("int32") for n, s in zip(near, searched)])
 
+    @F.pandas_udf("array<int>")
+    def cells(vectors: pd.Series, searched: pd.Series, bound: pd.Series) -> pd.Series:
+        return _by_slices(compute, vectors, searched, bound)
+
     return cells
 
 
@@ -187,15 +201,17 @@ def _signatures(planes):
     tables, bits, _ = planes.shape
     weights = 1 << np.arange(bits)
 
-    @F.pandas_udf("array<int>")
-    def cells(vectors: pd.Series) -> pd.Series:
-        if len(vectors) == 0:
+    def compute(vectors):
+        if vectors.empty:
             return pd.Series([], dtype=object)
-        v = _stack(vectors)
-        signs = np.einsum("nd,tbd->ntb", v, planes) > 0
+        signs = np.einsum("nd,tbd->ntb", _stack(vectors), planes) > 0
         codes = signs @ weights + (np.arange(tables) << bits)[None, :]
         return pd.Series(list(codes.astype("int32")))
 
+    @F.pandas_udf("array<int>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        return _by_slices(compute, vectors)
+
     return cells
 
 

@@ -17,7 +17,8 @@ QUERIES = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    """Register a query under its function name; a trailing underscore only avoids a name clash."""
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -178,7 +179,7 @@ def simplify_text(spark, sf):
 
 
 @query
-def list_literal_text(spark, sf):
+def list_literal_(spark, sf):
     both = F.concat("features", "description")
     return views.raw_items(spark, sf).select("id", list_literal(both).alias("text"))
 
@@ -550,8 +551,8 @@ def _card(text):
 
 @query
 def usage_totals(spark, sf):
-    path = scratch_path(spark, "store")
-    enrich.map_with_checkpoint(views.open_summaries(spark, sf), _card, path, waves=2)
+    path, rows = scratch_path(spark, "store"), materialize(views.open_summaries(spark, sf), "open")
+    enrich.map_with_checkpoint(rows, _card, path, waves=2)
     return enrich.usage_totals(spark.read.parquet(path)).withColumn("cost", F.round("cost", 6))
 
 
@@ -755,7 +756,7 @@ def predict_table(spark, sf):
 
 
 @query
-def evaluate_models(spark, sf):
+def evaluate_(spark, sf):
     """Predictions to metrics, final running error and band counts in one row per model."""
     rows = materialize(views.predictions(spark, sf), "predictions")
     metrics = evaluate.eval_metrics(rows)
@@ -821,7 +822,7 @@ def stream_best_per_poll(spark, sf):
 @query
 def map_with_checkpoint(spark, sf):
     """Run twice on one store: the second run has nothing left to rewrite."""
-    path, rows = scratch_path(spark, "store"), views.open_summaries(spark, sf)
+    path, rows = scratch_path(spark, "store"), materialize(views.open_summaries(spark, sf), "open")
     enrich.map_with_checkpoint(rows, _card, path, waves=2)
     return enrich.map_with_checkpoint(rows, _card, path, run=1).select("id", "summary")
 

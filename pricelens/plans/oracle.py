@@ -317,7 +317,7 @@ ORACLES = {
     "index_resume": _sql([INDEX], "SELECT 'doc_'||id AS doc, document, category, price FROM idx"),
     "price_filter": _sql([RAW], f"SELECT * FROM (SELECT id, {_number('price')} AS price FROM raw) WHERE price BETWEEN 0.5 AND 999.49"),
     "simplify_text": _sql([RAW], f"SELECT id, {_simplify('description')} AS text FROM raw"),
-    "list_literal_text": _sql([RAW], f"SELECT id, {_literal('list_concat(features,description)')} AS text FROM raw"),
+    "list_literal": _sql([RAW], f"SELECT id, {_literal('list_concat(features,description)')} AS text FROM raw"),
     "details_map": _sql([RAW], f"""SELECT id, 'Brand='||(details->>'$.Brand')||';Item Weight='||{_WEIGHT_TEXT}||';Part Number='||(details->>'$."Part Number"') AS entries FROM raw"""),
     "drop_noise_keys": _sql([RAW], f"SELECT id, 'Brand='||(details->>'$.Brand')||';Item Weight='||{_WEIGHT_TEXT} AS entries FROM raw"),
     "details_json": _sql([RAW], f"SELECT id, {_DETAILS_JSON} AS json FROM raw"),
@@ -429,7 +429,7 @@ ORACLES = {
     "ensemble_predict": _sql([INDEX, KNN], f"""SELECT query_id, round(0.8::double/0.9*greatest(0.5,least(999.49,guess))
   +0.1::double/0.9*greatest(0.5,least(999.49,{_random('query_id')})),4) AS guess FROM knn_guess"""),
     "predict_table": _sql(_PRED, "SELECT model, ord, title, truth, round(guess,6) AS guess, round(error,6) AS error, color FROM predictions"),
-    "evaluate_models": _sql([*_PRED, METRICS], """SELECT m.model, n, round(m.error,4) AS error, round(ci,4) AS ci, round(mse,4) AS mse, round(r2,4) AS r2,
+    "evaluate": _sql([*_PRED, METRICS], """SELECT m.model, n, round(m.error,4) AS error, round(ci,4) AS ci, round(mse,4) AS mse, round(r2,4) AS r2,
   round(m.error,4) AS last_mean, count(*) FILTER (color='green') AS green, count(*) FILTER (color='orange') AS orange, count(*) FILTER (color='red') AS red
   FROM metrics m JOIN predictions p ON p.model=m.model GROUP BY ALL"""),
     "map_with_checkpoint": _sql([*_ITEMS, OPEN], "SELECT id, coalesce(nullif(summary,''),'Card: '||split_part(\"full\",chr(10),1)) AS summary FROM open_items"),

@@ -6,7 +6,7 @@ from pricelens import config
 from pricelens.functions import markup, prompts, scoring
 from pricelens.operators import curate, deals as deal_ops, enrich, evaluate, models
 from pricelens.operators.order import ordinal_by_id
-from pricelens.session import materialize, spread
+from pricelens.session import materialize, once_per_session, spread
 
 # Split sizes used on the test tables, which are always smaller: 80 % / 10 % / 10 %.
 SPLIT_SIZES = (800_000, 100_000, 100_000)
@@ -16,19 +16,22 @@ BATCH_ROWS = 100
 _UNITS = ("pounds", "ounces", "grams", "kilograms", "hundredths pounds", "heavy")
 
 
+@once_per_session
+def _schema(path: str):
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
 def _pick(values, position):
     return F.get(F.array(*[F.lit(v) for v in values]), position)
 
 
-def raw_items(spark, sf) -> DataFrame:
-    """Documents as raw product rows, with prices from events and details from parts."""
-    d = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
-    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), "value")
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size", "p_brand")
+@once_per_session
+def _raw_columns():
     line = lambda n: F.split_part("text", F.lit("\n"), F.lit(n))
     price = F.when(F.col("id") % 97 == 13, "None").otherwise(F.bround(F.col("value") * 3, 2).cast("string"))
     details = F.concat(
@@ -36,19 +39,32 @@ def raw_items(spark, sf) -> DataFrame:
         F.lit('", "Part Number": "'), F.upper(F.substring(F.md5(F.col("id").cast("string")), 1, 10)),
         F.lit('", "Brand": "'), F.col("p_brand"), F.lit('"}'),
     )
-    return d.join(e, "id").join(p, "id").select(
+    return (
         "id", line(1).alias("title"), _pick(config.CATEGORIES, (F.col("id") % 8).cast("int")).alias("category"),
         price.alias("price"), F.array("text").alias("description"), F.array(line(2), line(3)).alias("features"),
         details.alias("details"),
     )
 
 
+def raw_items(spark, sf) -> DataFrame:
+    """Documents as raw product rows, with prices from events and details from parts."""
+    d = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), "value")
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size", "p_brand")
+    return d.join(e, "id").join(p, "id").select(*_raw_columns())
+
+
 def items(spark, sf) -> DataFrame:
     return curate.parse_items(raw_items(spark, sf))
 
 
+@once_per_session
+def _card():
+    return prompts.summary_card(F.col("full"), F.col("category"))
+
+
 def with_cards(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("summary", prompts.summary_card(F.col("full"), F.col("category")))
+    return rows.withColumn("summary", _card())
 
 
 def items_summary(spark, sf) -> DataFrame:

@@ -1,5 +1,6 @@
 """Session helpers: where intermediate tables live and how lineage is cut."""
 
+import functools
 import tempfile
 import uuid
 
@@ -56,3 +57,21 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def once_per_session(build):
+    """Keep what `build()` returns for the running Spark application.
+
+    Column objects are immutable, and a large expression takes thousands of calls to the JVM to put
+    together; building it once makes later plans cheap.
+    """
+    kept = {}
+
+    @functools.wraps(build)
+    def get(*args):
+        key = (SparkSession.active().sparkContext.applicationId, *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return get
