@@ -161,7 +161,7 @@ def model_store(spark, sf):
     model_io.save_model(priced.model, path, mean, std)
     again = models.from_log_target(*model_io.load_model(path))
     both = again.price(priced.price(part_of(frame, "test"), "guess"), "reloaded")
-    return both.select("ord", "guess", "reloaded")
+    return both.select("ord", (F.col("guess") == F.col("reloaded")).alias("same"))
 
 
 # ---------------------------------------------------------------- scalars
@@ -701,8 +701,13 @@ def _fitted(name):
     return run
 
 
+@query
+def linear_price(spark, sf):
+    return _fitted("linear")(spark, sf).withColumn("guess", F.round("guess", 4))
+
+
 for key, model in (
-    ("linear_price", "linear"), ("nlp_linear_price", "nlp_linear"), ("forest_price", "random_forest"),
+    ("nlp_linear_price", "nlp_linear"), ("forest_price", "random_forest"),
     ("boosted_price", "boosted"), ("log_target_price", "log_target"), ("hashed_price", "hashed"),
 ):
     QUERIES[key] = _fitted(model)
@@ -778,12 +783,15 @@ def embedding_projection(spark, sf):
 # ---------------------------------------------------------------- streaming
 
 
+POLLS, POLL_FILES = 3, 4
+
+
 def _polls(spark, sf):
-    """Deals written as poll files, the same deals twice over."""
+    """Poll files: every poll offers all deals again."""
     path = scratch_path(spark, "polls")
     rows = views.deals(spark, sf).select("product_description", "price", "url", "category")
-    for _ in range(2):
-        rows.repartition(3, F.xxhash64("url")).write.mode("append").json(path)
+    for _ in range(POLLS):
+        rows.repartition(POLL_FILES).write.mode("append").json(path)
     return path
 
 
@@ -791,7 +799,7 @@ def _streamed(spark, sf):
     item_rows = materialize(views.items(spark, sf).select("category", "price"), "prices")
     memory_path = scratch_path(spark, "memory")
     running = polling.stream_deals(
-        polling.read_polls(spark, _polls(spark, sf)), memory_path, scratch_path(spark, "stream"),
+        polling.read_polls(spark, _polls(spark, sf), POLL_FILES), memory_path, scratch_path(spark, "stream"),
         lambda rows: views.estimated(rows, item_rows),
     )
     running.awaitTermination()
@@ -801,7 +809,7 @@ def _streamed(spark, sf):
 @query
 def stream_deals(spark, sf):
     rows = _streamed(spark, sf)
-    return rows.select("batch_id", "deal.url", "deal.price", "estimate", "discount")
+    return rows.select("batch_id", "deal.url", "deal.price", r6("estimate"), r6("discount"))
 
 
 @query
@@ -813,7 +821,7 @@ def stream_seen_state(spark, sf):
 @query
 def stream_best_per_poll(spark, sf):
     rows = _streamed(spark, sf)
-    return rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("alerts"), F.max("discount").alias("discount"))
+    return rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("alerts"), r6(F.max("discount"), "discount"))
 
 
 # ---------------------------------------------------------------- user functions

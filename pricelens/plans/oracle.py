@@ -230,6 +230,31 @@ priced AS (SELECT d.*, m.estimate, m.estimate-d.price AS discount FROM deals d L
 MEMORY = """
 best AS (SELECT * FROM (SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY feed ORDER BY discount DESC NULLS LAST, pos)=1) WHERE discount>50)"""
 
+
+
+def _poll(n):
+    """Alert of poll `n`: the best of the five most detailed deals not alerted before."""
+    seen = " ".join(f"AND url NOT IN (SELECT url FROM poll{i})" for i in range(n))
+    return f"""
+poll{n} AS (SELECT * FROM (SELECT * FROM (SELECT * FROM priced WHERE price>0 {seen} ORDER BY length(product_description) DESC, url LIMIT 5)
+  ORDER BY discount DESC NULLS LAST, length(product_description) DESC, url LIMIT 1) WHERE discount>50)"""
+
+
+ALERTS = ",".join([_poll(n) for n in range(3)]) + """,
+alerts AS (SELECT 0::bigint AS batch_id, * FROM poll0 UNION ALL SELECT 1, * FROM poll1 UNION ALL SELECT 2, * FROM poll2)"""
+
+# Least squares by successive residuals: each feature is cleared of the ones before it, so that the
+# single slopes against the residuals give the joint fit.
+LINEAR = """
+f0 AS (SELECT id, ord, price, split, weight AS w, (weight=0)::int::double AS u, length(summary)::double AS l FROM splits WHERE split<>'validation'),
+c0 AS (SELECT avg(w) AS mw, avg(u) AS mu, avg(l) AS ml, avg(price) AS my FROM f0 WHERE split='train'),
+f1 AS (SELECT f0.*, w-mw AS r1, u-mu AS du, l-ml AS dl, price-my AS dy, my FROM f0, c0),
+c1 AS (SELECT regr_slope(du,r1) AS a, regr_slope(dl,r1) AS b, regr_slope(dy,r1) AS k1 FROM f1 WHERE split='train'),
+f2 AS (SELECT f1.*, du-a*r1 AS r2, dl-b*r1 AS el, k1 FROM f1, c1),
+c2 AS (SELECT regr_slope(el,r2) AS b2, regr_slope(dy,r2) AS k2 FROM f2 WHERE split='train'),
+f3 AS (SELECT f2.*, el-b2*r2 AS r3, k2 FROM f2, c2),
+c3 AS (SELECT regr_slope(dy,r3) AS k3 FROM f3 WHERE split='train')"""
+
 _ITEMS = [RAW, SCRUBBED, ITEMS]
 _SUMM = [*_ITEMS, CARDS]
 _DEDUP = [*_SUMM, _dedupe("summ", "dd")]
@@ -421,6 +446,11 @@ ORACLES = {
     "index_sample": _sql([INDEX], f"SELECT id, document, category, {_COLORS}[list_position({_CATEGORIES},category)] AS color FROM idx ORDER BY id LIMIT 2000"),
     "random_price": _sql(_ITEMS, f"SELECT id, {_random('id')} AS guess FROM items"),
     "constant_price": _sql(_SPLITS, "SELECT id, price, round((SELECT avg(price) FROM splits WHERE split='train'),6) AS guess FROM splits WHERE split='test'"),
+    "linear_price": _sql([*_SPLITS, LINEAR], "SELECT id, ord, price, round(my+k1*r1+k2*r2+k3*r3,4) AS guess FROM f3, c3 WHERE split='test'"),
+    "model_store": _sql(_SPLITS, "SELECT ord, true AS same FROM splits WHERE split='test'"),
+    "stream_deals": _sql([*_PRICED, ALERTS], "SELECT batch_id, url, price, round(estimate,6) AS estimate, round(discount,6) AS discount FROM alerts"),
+    "stream_seen_state": _sql([*_PRICED, ALERTS], "SELECT url, price FROM deals WHERE url NOT IN (SELECT url FROM alerts)"),
+    "stream_best_per_poll": _sql([*_PRICED, ALERTS], "SELECT batch_id, 1::bigint AS alerts, round(discount,6) AS discount FROM alerts"),
     "bag_of_words": _sql(_SPLITS, f"""SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(summary),'[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM splits WHERE split='train')
   WHERE term NOT IN ({_STOP_SQL}) GROUP BY term ORDER BY n DESC, term LIMIT 2000"""),
     "log_target": _sql(_SPLITS, """SELECT id, round((ln(price+1)-m)/s,6) AS z, round(greatest(0.0,exp((ln(price+1)-m)/s*s+m)-1),6) AS price_again
