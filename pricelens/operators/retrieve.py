@@ -22,8 +22,12 @@ from pricelens.operators.order import hash_key
 from pricelens.session import materialize
 
 MAX_PIVOTS = 2_048
-BLOCK_ROWS = 8_192
+# Rows of one block: both sides of a block search fit a Python worker, whatever the cell size.
+BLOCK_ROWS = 65_536
 SLICE_ROWS = 256
+# Queries compared with a whole block at once.
+SEARCH_ROWS = 64
+MAX_BITS = 13
 HITS = "rep bigint, id bigint, distance double"
 
 
@@ -109,8 +113,8 @@ def _block_search(k):
         if queries.empty or rows.empty:
             return pd.DataFrame({"rep": [], "id": [], "distance": []})
         vectors, ids, out = _stack(rows["embedding"]), rows["id"].to_numpy(), []
-        for at in range(0, len(queries), SLICE_ROWS):
-            part = queries.iloc[at : at + SLICE_ROWS]
+        for at in range(0, len(queries), SEARCH_ROWS):
+            part = queries.iloc[at : at + SEARCH_ROWS]
             d = np.round(_squared(_stack(part["embedding"]), vectors), 9)
             edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
             q, i = np.nonzero(d <= edge[:, None])
@@ -217,14 +221,18 @@ def _signatures(planes):
 
 def nearest_approx(
     queries: DataFrame, index: DataFrame, k: int = config.NEIGHBOURS, exclude_self: bool = False,
-    tables: int = 12, bits: int = 4, seed: int = config.SEED,
+    tables: int = 12, bits: int = None, seed: int = config.SEED,
 ) -> DataFrame:
     """Approximate neighbours: random-hyperplane signatures (Charikar 2002) as cells.
 
-    More bits make cells smaller, more tables raise the recall. The block search is the exact one.
+    More bits make cells smaller, more tables raise the recall. By default the bits grow with the
+    index so that a cell holds about 8,000 rows, up to 13 bits (about 100,000 cells in all). The
+    block search is the exact one, so hot signatures are cut into blocks, not dropped.
     """
     wanted = k + 1 if exclude_self else k
     rows = _without_copies(index, wanted)
+    if bits is None:
+        bits = max(4, min(MAX_BITS, round(math.log2(max(index.count(), 1) / 8_192))))
     dims = len(index.select("embedding").first()["embedding"])
     sign = _signatures(np.random.default_rng(seed).standard_normal((tables, bits, dims)))
     celled = materialize(rows.withColumn("cell", F.explode(sign("embedding"))), "signed")

@@ -150,3 +150,26 @@ def test_token_hooks(spark):
     count, cut = hooks.token_hooks(Words, 2)
     row = spark.createDataFrame([("a b c",), ("a",)], "t string").select(count("t").alias("n"), cut("t").alias("c")).collect()
     assert [tuple(r) for r in row] == [(3, "a b"), (1, "a")]
+
+
+def test_hot_content_key_is_split_in_the_join(spark):
+    """A third of all items are copies of one text: the join splits that partition."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        full = F.when(F.col("id") % 3 == 0, "copy").otherwise(F.concat(F.lit("t"), F.col("id").cast("string")))
+        rows = spark.range(0, 30_000, 1, 8).select("id", full.alias("full"), F.lit(None).cast("string").alias("summary"))
+        done = rows.select(prompts.content_key(F.col("full")).alias("key"), F.col("full").alias("summary")).distinct()
+        joined = enrich.apply_checkpoint(rows, done)
+        assert len(joined.collect()) == 30_000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
