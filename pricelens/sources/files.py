@@ -1,6 +1,6 @@
 """Split files, chat lines, batch requests and answers, checkpoints and guesses."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pricelens import config, schemas
 from pricelens.functions import prompts
@@ -16,7 +16,7 @@ def save_splits(splits: DataFrame, path: str, kind: str = "items") -> None:
 
 def load_splits(spark: SparkSession, path: str, kind: str = "items") -> DataFrame:
     schema = schemas.DATAPOINT if kind == "items_prompts" else schemas.ITEM
-    return spark.read.schema(schema.add("split", "string") if "split" not in schema.names else schema).json(path)
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("split", T.StringType())])).json(path)
 
 
 def write_chat(splits: DataFrame, path: str) -> None:

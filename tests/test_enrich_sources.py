@@ -43,6 +43,8 @@ def test_split_round_trip(spark, items, tmp_path):
     files.save_splits(rows, str(tmp_path / "s"))
     again = files.load_splits(spark, str(tmp_path / "s"))
     assert again.select("id", "ord", "summary", "price").exceptAll(rows.select("id", "ord", "summary", "price")).count() == 0
+    files.save_splits(again, str(tmp_path / "again"))
+    assert files.load_splits(spark, str(tmp_path / "again")).count() == 300
 
 
 def test_checkpoint_last_line_wins(spark):
