@@ -1,6 +1,12 @@
 """DuckDB SQL with the rows that the queries of this package must return, where SQL can say it."""
 
 ORACLES = {
+    "op5_exact_dedup": r"""
+WITH normal AS (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+grouped AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM normal GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM normal JOIN grouped USING (t)
+""",
     "op8_url_filters": r"""
 WITH rules(host_rule, path_rule, verdict) AS (VALUES
     ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from pricelens.llm import language, tokens, urls
+from pricelens.llm import exact, language, tokens, urls
 from pricelens.llm.common import table, tokenizer_path
 
 # Token limit of a sequence, and of a document before it counts as over the limit.
@@ -32,6 +32,11 @@ def op4_token_counts(spark, sf) -> DataFrame:
     return tokens.count_tokens(table(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=SEQUENCE_TOKENS)
 
 
+def op5_exact_dedup(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return exact.deduplicate(docs, exact.arrivals(spark, f"{sf}/documents.parquet"))
+
+
 def op8_url_filters(spark, sf) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge(table(spark, sf, "pages"), rules)
@@ -40,5 +45,6 @@ def op8_url_filters(spark, sf) -> DataFrame:
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
+    "op5_exact_dedup": op5_exact_dedup,
     "op8_url_filters": op8_url_filters,
 }
