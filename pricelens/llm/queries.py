@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from pricelens.llm import exact, language, tokens, urls
+from pricelens.llm import exact, language, packing, simhash, tokens, urls
 from pricelens.llm.common import table, tokenizer_path
 
 # Token limit of a sequence, and of a document before it counts as over the limit.
@@ -37,14 +37,24 @@ def op5_exact_dedup(spark, sf) -> DataFrame:
     return exact.deduplicate(docs, exact.arrivals(spark, f"{sf}/documents.parquet"))
 
 
+def op7_best_fit_packing(spark, sf) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"), limit=SEQUENCE_TOKENS)
+
+
 def op8_url_filters(spark, sf) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge(table(spark, sf, "pages"), rules)
 
 
+def op10_simhash(spark, sf) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_url_filters": op8_url_filters,
+    "op10_simhash": op10_simhash,
 }
