@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pricelens.llm.common import batches_of, once
 
@@ -180,23 +180,21 @@ def sample(docs: DataFrame, *, text="text", label="lang", key="doc_id", rows=SAM
     labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label")).where(
         F.col("label").isNotNull() & (F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)
     )
+    return [(r.text, r.label) for r in sampled(labelled, rows).select("text", "label").collect()]
+
+
+def sampled(labelled: DataFrame, rows: int) -> DataFrame:
+    """Up to `rows` rows of each `label`: those with the smallest hashes of `key`."""
     counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
     if not counts:
-        return []
+        return labelled
     mark = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
     pass_below = F.coalesce(*[
         F.when(F.col("label") == k, F.lit(min(1 << 30, (4 * rows << 30) // n))) for k, n in counts.items()
     ])
     near = labelled.withColumn("mark", mark).where(F.col("mark") < pass_below)
-    place = F.row_number().over(_by("label", "mark", "key"))
-    taken = near.withColumn("place", place).where(F.col("place") <= rows)
-    return [(r.text, r.label) for r in taken.select("text", "label").collect()]
-
-
-def _by(group, *order):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(group).orderBy(*order)
+    place = F.row_number().over(Window.partitionBy("label").orderBy("mark", "key"))
+    return near.withColumn("place", place).where(F.col("place") <= rows)
 
 
 def fit(docs: DataFrame, **where) -> Model:

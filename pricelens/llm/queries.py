@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from pricelens.llm import exact, language, packing, simhash, tokens, urls
+from pricelens.llm import exact, language, mixing, packing, quality, simhash, suffix, tokens, urls
 from pricelens.llm.common import table, tokenizer_path
 
 # Token limit of a sequence, and of a document before it counts as over the limit.
@@ -15,12 +15,32 @@ URL_RULES = [
     ("org", "/fr/", "allow"),
 ]
 
+# Wanted shares of the tokens of each labelled domain.
+MIXTURE = {"good": 0.85, "poor": 0.12, "toxic": 0.03}
+
 
 def held_out(key="doc_id"):
     """Rows that language identification never learns from."""
     return F.crc32(F.col(key).cast("string")) % 3 == 1
 
 
+def domains(spark, sf) -> DataFrame:
+    """The labelled table as one domain of each document."""
+    name = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return table(spark, sf, "labels").select("doc_id", name.alias("label"))
+
+
+def op1_mixing(spark, sf) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), domains(spark, sf), MIXTURE)
+
+
+def op2_quality_rules(spark, sf) -> DataFrame:
+    found = quality.judge(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
+    )
+
+
 def op3_language_id(spark, sf) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = language.fit(docs.where(~held_out()))
@@ -37,6 +57,10 @@ def op5_exact_dedup(spark, sf) -> DataFrame:
     return exact.deduplicate(docs, exact.arrivals(spark, f"{sf}/documents.parquet"))
 
 
+def op6_suffix_dedup(spark, sf) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf, "documents"))
+
+
 def op7_best_fit_packing(spark, sf) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"), limit=SEQUENCE_TOKENS)
 
@@ -51,9 +75,12 @@ def op10_simhash(spark, sf) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_url_filters": op8_url_filters,
     "op10_simhash": op10_simhash,
