@@ -16,7 +16,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pricelens.llm.common import batches_of, materialize, scratch_path
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": STATE_PROVIDER,
+    # Else each of the many stores sets aside some megabytes for its logs before it holds a row.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 # Files of a micro-batch: bounds what a failed batch repeats.
 FILES_PER_BATCH = 10_000
 
@@ -66,8 +70,9 @@ def classes(stream: DataFrame, name="exact") -> DataFrame:
     def put(changed, batch_id):
         changed.select("digest", "last.id", "last.file", "n").write.mode("overwrite").parquet(f"{base}/classes/batch={batch_id}")
 
-    before = spark.conf.get(PROVIDER_KEY, None)
-    spark.conf.set(PROVIDER_KEY, STATE_PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").foreachBatch(put)
@@ -75,7 +80,8 @@ def classes(stream: DataFrame, name="exact") -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER_KEY, before) if before else spark.conf.unset(PROVIDER_KEY)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     id_type = stream.schema["id"].dataType.simpleString()
     written = spark.read.schema(f"digest string, id {id_type}, file string, n long, batch int").parquet(f"{base}/classes")
     if query.lastProgress is None or query.lastProgress.batchId > 0:
