@@ -48,6 +48,29 @@ def batches_of(batches, column: str, most_bytes: int):
         yield batch.slice(start)
 
 
+def carried(rows: DataFrame, text: str, carry):
+    """`rows` as `_text` and `_carry_i` for a function over Arrow batches: the frame, and for each of `carry` the
+    column it is in (a text that is carried is sent once), with its type."""
+    at = {c: "_text" if c == text else f"_carry_{i}" for i, c in enumerate(carry)}
+    frame = rows.select(F.col(text).alias("_text"), *[F.col(c).alias(a) for c, a in at.items() if a != "_text"])
+    return frame, [(c, a, frame.schema[a].dataType.simpleString()) for c, a in at.items()]
+
+
+def renamed(out: DataFrame, held, *more):
+    """The carried columns under their own names, and those of `more`."""
+    return out.select(*[F.col(f"_out_{i}").alias(c) for i, (c, _, _) in enumerate(held)], *more)
+
+
+def schema_of(held, more: str) -> str:
+    return ", ".join([*(f"_out_{i} {kind}" for i, (_, _, kind) in enumerate(held)), more])
+
+
+def arrow_of(batch, held, columns: dict):
+    """An Arrow batch of the carried columns and `columns`."""
+    arrays = [batch.column(a) for _, a, _ in held] + list(columns.values())
+    return pa.RecordBatch.from_arrays(arrays, [f"_out_{i}" for i in range(len(held))] + list(columns))
+
+
 def once(build):
     """Keep what `build(*args)` returns in this Python process: models and tokenizers are loaded once a worker."""
     return functools.cache(build)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pricelens.llm.common import batches_of, once
+from pricelens.llm.common import arrow_of, batches_of, carried, once, renamed, schema_of
 
 BUCKETS, DIMENSIONS, SIZES = 1 << 15, 16, (1, 2, 3, 4)
 # Bounds of the training sample: rows of each language, and characters of a row.
@@ -204,16 +204,14 @@ def fit(docs: DataFrame, **where) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, *, text="text", key="doc_id", carry=()) -> DataFrame:
-    """`key, lang_pred, score, rejected` and the columns `carry`, row by row on the map side.
+    """`key`, the columns `carry`, and `lang_pred, score, rejected`, row by row on the map side.
 
     `und` with score 0 stands for null or letterless texts, and for all if the model knows no
     language; these are rejected, as are predictions with less calibrated probability than the
     threshold. Texts are read whole, however long. Repeated rows are predicted each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)])
-    kept = [c for c in rows.columns if c != "_text"]
-    fields = [(f.name, f.dataType.simpleString()) for f in rows.schema if f.name in kept]
+    rows, held = carried(docs, text, (key, *[c for c in carry if c != key]))
 
     def run(batches):
         known = shared.value
@@ -223,14 +221,8 @@ def identify(docs: DataFrame, model: Model, *, text="text", key="doc_id", carry=
             else:
                 best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
             names = pa.array([known.languages[b] if b >= 0 else UNDETERMINED for b in best], pa.string())
-            rejected = (best < 0) | (score < known.threshold)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), names, pa.array(np.round(score, 6)), pa.array(rejected)],
-                [*kept, "lang_pred", "score", "rejected"],
-            )
-
-    schema = ", ".join(f"{n} {t}" for n, t in [*fields, ("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")])
-    out = rows.mapInArrow(run, schema)
-    return out.select(
-        F.col("_key").alias(key), "lang_pred", "score", "rejected", *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)]
-    )
+            rejected = pa.array((best < 0) | (score < known.threshold))
+            yield arrow_of(batch, held, {"lang_pred": names, "score": pa.array(np.round(score, 6)), "rejected": rejected})
+
+    out = rows.mapInArrow(run, schema_of(held, "lang_pred string, score double, rejected boolean"))
+    return renamed(out, held, "lang_pred", "score", "rejected")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pricelens.llm.common import batches_of, materialize
+from pricelens.llm.common import arrow_of, batches_of, carried, materialize, renamed, schema_of
 from pricelens.llm.language import SAMPLE_CHARS, sampled
 
 BUCKETS, EPOCHS, RATE, SEED = 1 << 14, 12, 2.0, 77
@@ -138,19 +138,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, text="text", key="doc_id", label=
 def posteriors(docs: DataFrame, model: Domains, *, text="text", carry=("doc_id",)) -> DataFrame:
     """The columns `carry`, `tokens` (words) and `posterior` (an array in the order of `model.names`)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)], F.col(text).alias("_text"))
-    kept = [f"_carry_{i}" for i in range(len(carry))]
+    rows, held = carried(docs, text, carry)
 
     def run(batches):
         for batch in batches_of(batches, "_text", 8 << 20):
             p, words = shared.value.posteriors([t or "" for t in batch.column("_text").to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(words), pa.array(list(p), pa.list_(pa.float64()))], [*kept, "tokens", "posterior"]
-            )
+            yield arrow_of(batch, held, {"tokens": pa.array(words), "posterior": pa.array(list(p), pa.list_(pa.float64()))})
 
-    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept), "tokens long", "posterior array<double>"])
-    out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(k).alias(c) for k, c in zip(kept, carry)], "tokens", "posterior")
+    out = rows.mapInArrow(run, schema_of(held, "tokens long, posterior array<double>"))
+    return renamed(out, held, "tokens", "posterior")
 
 
 def rates(member: DataFrame, names: list[str], targets: dict[str, float], total: float | None = None) -> DataFrame:

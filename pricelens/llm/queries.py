@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from pricelens.llm import exact, language, mixing, packing, quality, simhash, suffix, tokens, urls
+from pricelens.llm import exact, language, mixing, packing, pages, quality, simhash, suffix, tokens, urls
 from pricelens.llm.common import table, tokenizer_path
 
 # Token limit of a sequence, and of a document before it counts as over the limit.
@@ -70,6 +70,10 @@ def op8_url_filters(spark, sf) -> DataFrame:
     return urls.judge(table(spark, sf, "pages"), rules)
 
 
+def op9_html_extraction(spark, sf) -> DataFrame:
+    return pages.extract(table(spark, sf, "pages"))
+
+
 def op10_simhash(spark, sf) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
@@ -83,5 +87,6 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_url_filters": op8_url_filters,
+    "op9_html_extraction": op9_html_extraction,
     "op10_simhash": op10_simhash,
 }
