@@ -21,7 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from pricelens.llm.common import batches_of
+from pricelens.llm.common import batches_of, once
 
 LENGTH, K = 100, 32
 SPAN = LENGTH - K + 1  # K-byte strings in a window
@@ -70,20 +70,36 @@ def segments(codes, ends):
 
 
 def content_hashes(codes, starts, lengths):
-    """Two 64-bit hashes of each byte string, from running sums of byte values times powers."""
-    out = []
-    for base, values in zip((_A, _B), _TABLE):
-        power = np.full(len(codes) + 1, base, np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        sums = np.r_[np.uint64(0), np.add.accumulate(values[codes] * power[:-1])]
-        back = np.full(len(codes) + 1, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64)
-        back[0] = 1
-        back = np.multiply.accumulate(back)
-        out.append(_mixed((sums[starts + lengths] - sums[starts]) * back[starts]))
+    """Two 64-bit hashes of each byte string, from running sums of byte values times powers.
+
+    Strings are ascending by start and taken in blocks, which bounds the sums held at once.
+    """
+    out = [np.zeros(len(starts), np.uint64) for _ in range(2)]
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK_BYTES)))
+        low, high = int(starts[at]), int((starts[at:stop] + lengths[at:stop]).max())
+        begin, size = starts[at:stop] - low, lengths[at:stop]
+        for k, base in enumerate((_A, _B)):
+            powers, inverses = _powers(int(base), high - low)
+            sums = np.r_[np.uint64(0), np.add.accumulate(_TABLE[k][codes[low:high]] * powers)]
+            out[k][at:stop] = _mixed((sums[begin + size] - sums[begin]) * inverses[begin])
+        at = stop
     return out
 
 
+def _powers(base: int, count: int):
+    held = _powers_of(base)
+    while len(held[0]) < count:
+        held[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(2 * count - 1, b, np.uint64)]) for b in (base, pow(base, -1, 1 << 64))]
+    return held[0][:count], held[1][:count]
+
+
+@once
+def _powers_of(base: int) -> list:
+    return [np.ones(1, np.uint64)] * 2
+
+
 def gather(codes, starts, lengths):
     """The byte strings one behind another."""
     lengths = np.asarray(lengths, np.int64)
@@ -242,8 +258,8 @@ def repeated_windows(group, doc, start, windows, codes, begins, shard_bytes=SHAR
     Segments of one `group` (representative) are together in a shard, or in shards merged with each other.
     """
     order = np.argsort(group, kind="stable")
-    _, sizes = np.unique(group[order], return_counts=True)
-    stops = np.cumsum(sizes)
+    head = np.flatnonzero(~same(group[order]))
+    sizes = np.diff(np.r_[head, len(order)])
     lengths = windows + LENGTH - 1
     rows_out, windows_out = [], []
 
@@ -271,23 +287,18 @@ def repeated_windows(group, doc, start, windows, codes, begins, shard_bytes=SHAR
         rows_out.append(row[later])
         windows_out.append(window[later])
 
-    held, size = [], 0
-    for stop, count in zip(stops, sizes):
-        if count < 2:
-            continue
-        rows = order[stop - count: stop]
-        weight = int(lengths[rows].sum()) + count
-        if weight > shard_bytes:
-            marks = np.unique(np.r_[0, np.flatnonzero(np.diff((np.cumsum(lengths[rows] + 1) - 1) // shard_bytes)) + 1, count])
-            settle(rows, list(zip(marks[:-1], marks[1:])))
-            continue
-        if held and size + weight > shard_bytes:
-            settle(np.concatenate(held), [None])
-            held, size = [], 0
-        held.append(rows)
-        size += weight
-    if held:
-        settle(np.concatenate(held), [None])
+    weight = np.add.reduceat(lengths[order] + 1, head) if len(head) else head
+    usual = (sizes > 1) & (weight <= shard_bytes)
+    shard_of = np.repeat(np.where(usual, np.cumsum(weight * usual) // shard_bytes, -1), sizes)
+    rows = order[shard_of >= 0]
+    cuts = np.flatnonzero(~same(shard_of[shard_of >= 0]))
+    for low, high in zip(cuts, [*cuts[1:], len(rows)]):
+        settle(rows[low:high], [None])
+    for g in np.flatnonzero((sizes > 1) & (weight > shard_bytes)):
+        rows = order[head[g]: head[g] + sizes[g]]
+        part = (np.cumsum(lengths[rows] + 1) - 1) // shard_bytes
+        marks = [*np.flatnonzero(~same(part)), len(rows)]
+        settle(rows, list(zip(marks, marks[1:])))
     none = np.zeros(0, np.int64)
     return np.concatenate(rows_out or [none]), np.concatenate(windows_out or [none])
 
@@ -301,28 +312,34 @@ def _laid_out(codes, begins, lengths):
 
 
 FIELDS = (("group", np.uint32), ("doc", np.int64), ("key", np.int64), ("start", np.int64), ("windows", np.int64))
+# Level of compression of what is shuffled.
+LEVEL = 3
+
 
+def packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=LEVEL).compress(data)
 
-def packed(columns: dict, data, spans) -> bytes:
-    """Segments and known spans as one compressed row."""
-    parts = [np.array([len(data), len(columns["doc"]), len(spans[0])], np.int64).tobytes(), data.tobytes()]
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def packed_columns(columns: dict, spans) -> bytes:
+    """Columns of segments, and spans already known, of one batch and route."""
+    parts = [np.array([len(columns["doc"]), len(spans[0])], np.int64).tobytes()]
     parts += [np.ascontiguousarray(columns[name].astype(kind)).tobytes() for name, kind in FIELDS]
     parts += [np.ascontiguousarray(s, np.int64).tobytes() for s in spans]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return packed(b"".join(parts))
 
 
-def unpacked(row: bytes):
-    whole = zstandard.ZstdDecompressor().decompress(row)
-    size, count, known = np.frombuffer(whole, np.int64, 3).tolist()
-    at = 24
-    data = np.frombuffer(whole, np.uint8, size, at)
-    at += size
-    columns = {}
+def unpacked_columns(row: bytes):
+    whole = unpacked(row)
+    count, known = np.frombuffer(whole, np.int64, 2).tolist()
+    at, columns = 16, {}
     for name, kind in FIELDS:
         columns[name] = np.frombuffer(whole, kind, count, at)
         at += columns[name].nbytes
-    spans = [np.frombuffer(whole, np.int64, known, at + i * 8 * known) for i in range(3)]
-    return columns, data, spans
+    return columns, [np.frombuffer(whole, np.int64, known, at + i * 8 * known) for i in range(3)]
 
 
 def batch_segments(ids, keys, texts: list[bytes]):
@@ -365,7 +382,7 @@ def _blocks(texts):
 
 
 def routed(rows: DataFrame, routes: int) -> DataFrame:
-    """`route, body`: of each batch of `rows` (key, id, text) what goes to each route."""
+    """`route, columns, data`: of each batch of `rows` (key, id, text) what goes to each route."""
 
     def run(batches):
         for batch in batches_of(batches, "text", BATCH_BYTES):
@@ -382,34 +399,39 @@ def routed(rows: DataFrame, routes: int) -> DataFrame:
             order, span_order = np.argsort(route, kind="stable"), np.argsort(of_span, kind="stable")
             cuts = np.searchsorted(route[order], np.arange(routes + 1))
             span_cuts = np.searchsorted(of_span[span_order], np.arange(routes + 1, dtype=np.uint64))
-            numbers, bodies = [], []
+            numbers, bodies, datas = [], [], []
             for r in np.flatnonzero((np.diff(cuts) > 0) | (np.diff(span_cuts) > 0)).tolist():
                 own, known = order[cuts[r]: cuts[r + 1]], span_order[span_cuts[r]: span_cuts[r + 1]]
                 data = gather(codes, begins[own], columns["windows"][own] + LENGTH - 1)
                 numbers.append(r)
-                bodies.append(packed({n: c[own] for n, c in columns.items()}, data, [s[known] for s in spans]))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(bodies, pa.binary())], ["route", "body"])
+                bodies.append(packed_columns({n: c[own] for n, c in columns.items()}, [s[known] for s in spans]))
+                datas.append(packed(data.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(bodies, pa.binary()), pa.array(datas, pa.binary())], ["route", "columns", "data"])
 
-    return rows.mapInArrow(run, "route long, body binary")
+    return rows.mapInArrow(run, "route long, columns binary, data binary")
 
 
-def settle_route(bodies: list[bytes], shard_bytes=SHARD_BYTES):
-    """Spans (key, from, to) to remove, from all that one route has got."""
-    parts = [unpacked(b) for b in bodies]
+def settle_route(bodies: list[tuple[bytes, bytes]], shard_bytes=SHARD_BYTES):
+    """Spans (key, from, to) to remove, from all that one route has got: (columns, bytes) of each batch."""
+    parts = [unpacked_columns(columns) for columns, _ in bodies]
     group, doc, key, start, windows = (np.concatenate([p[0][n] for p in parts]) for n, _ in FIELDS)
+    spans = [[p[1][i] for p in parts] for i in range(3)]
     # Most representatives stand in one place only: their segments are left behind at once.
     order = np.argsort(group, kind="stable")
     equal = same(group[order])
     several = np.zeros(len(group), bool)
     several[order] = equal | np.r_[equal[1:], False]
-    spans = [[p[2][i] for p in parts] for i in range(3)]
     if several.any():
+        data, at = [], 0
+        for columns, body in bodies:
+            count = np.frombuffer(unpacked(columns), np.int64, 1)[0]
+            held, sizes = several[at: at + count], windows[at: at + count] + LENGTH - 1
+            if held.any():
+                data.append(gather(np.frombuffer(unpacked(body), np.uint8), (np.cumsum(sizes) - sizes)[held], sizes[held]))
+            at += count
+        data = np.concatenate(data)
+        group, doc, key, start, windows = (x[several] for x in (group, doc, key, start, windows))
         lengths = windows + LENGTH - 1
-        own = np.concatenate([np.cumsum(p[0]["windows"] + LENGTH - 1) - (p[0]["windows"] + LENGTH - 1) for p in parts])
-        body = np.repeat(np.arange(len(parts)), [len(p[0]["doc"]) for p in parts])
-        data = np.concatenate([gather(p[1], own[m], lengths[m]) for i, p in enumerate(parts) for m in [several & (body == i)]])
-        group, doc, key, start, windows, lengths = (x[several] for x in (group, doc, key, start, windows, lengths))
-        parts.clear()
         begins = np.cumsum(lengths) - lengths
         later, rest = settle_copies(doc, key, start, windows, *content_hashes(data, begins, lengths))
         for out, found in zip(spans, (key[later], start[later], start[later] + lengths[later])):
@@ -418,7 +440,7 @@ def settle_route(bodies: list[bytes], shard_bytes=SHARD_BYTES):
         turn = np.lexsort((window, row))
         row, window = row[turn], window[turn]
         # Neighbouring windows make one span.
-        head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)]) if len(row) else row
+        head = np.flatnonzero(~(same(row) & np.r_[False, window[1:] == window[:-1] + 1])) if len(row) else row
         tail = np.r_[head[1:], len(row)] - 1 if len(row) else row
         at = rest[row[head]]
         for out, found in zip(spans, (key[at], start[at] + window[head], start[at] + window[tail] + LENGTH)):
@@ -427,33 +449,49 @@ def settle_route(bodies: list[bytes], shard_bytes=SHARD_BYTES):
 
 
 def spans_to_remove(rows: DataFrame, routes: int) -> DataFrame:
-    """`key, spans`: places to remove, a few rows for each document; spans are pairs of 64-bit numbers."""
+    """`route, body`: places to remove, as packed numbers (key, from, to), dealt out by key."""
 
     def run(batches):
-        held: dict[int, list[bytes]] = {}
+        held: dict[int, list] = {}
         for batch in batches:
-            for route, body in zip(batch.column("route").to_pylist(), batch.column("body").to_pylist()):
+            for route, *body in zip(*(batch.column(c).to_pylist() for c in ("route", "columns", "data"))):
                 held.setdefault(route, []).append(body)
         while held:
-            key, low, high = settle_route(held.popitem()[1])
-            if not len(key):
-                continue
-            order = np.lexsort((low, key))
-            key, ends = key[order], np.stack([low[order], high[order]], axis=1)
-            cuts = np.flatnonzero(~same(key))
-            both = ends.tobytes()
-            packed_spans = [both[16 * a: 16 * b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)])]
-            for at in range(0, len(cuts), 10_000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[cuts[at: at + 10_000]]), pa.array(packed_spans[at: at + 10_000], pa.binary())], ["key", "spans"]
-                )
-
-    return routed(rows, routes).repartition(routes, "route").mapInArrow(run, "key long, spans binary")
-
-
-def cut(text: bytes, spans: list[bytes]) -> tuple[int, int, bytes]:
-    """Bytes removed, maximal runs removed, and what is left."""
-    ends = np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)
+            spans = np.stack(settle_route(held.popitem()[1]))
+            yield from dealt(spans[0], routes, lambda own: packed(spans[:, own].tobytes()))
+
+    return routed(rows, routes).repartition(routes, "route").mapInArrow(run, "route long, body binary")
+
+
+def dealt(key, routes: int, body):
+    """An Arrow batch with a row for each route: `body` of the positions whose key belongs to it."""
+    route = (key.astype(np.uint64) % np.uint64(routes)).astype(np.int64)
+    order = np.argsort(route, kind="stable")
+    cuts = np.flatnonzero(~same(route[order]))
+    if len(cuts):
+        bodies = [body(order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(order)])]
+        yield pa.RecordBatch.from_arrays([pa.array(route[order[cuts]]), pa.array(bodies, pa.binary())], ["route", "body"])
+
+
+def dealt_documents(rows: DataFrame, routes: int) -> DataFrame:
+    """`route, body`: documents packed with others of their batch and route, as Arrow streams."""
+
+    def run(batches):
+        for batch in batches_of(batches, "text", BATCH_BYTES):
+            def body(own, batch=batch):
+                sink = pa.BufferOutputStream()
+                part = batch.take(pa.array(own))
+                with pa.ipc.new_stream(sink, part.schema) as stream:
+                    stream.write_batch(part)
+                return packed(sink.getvalue().to_pybytes())
+
+            yield from dealt(batch.column("key").to_numpy(), routes, body)
+
+    return rows.mapInArrow(run, "route long, body binary")
+
+
+def cut(text: bytes, ends) -> tuple[int, int, bytes]:
+    """Bytes removed, maximal runs removed, and what is left; `ends` are rows (from, to)."""
     if not len(ends):
         return 0, 0, text
     ends = ends[np.argsort(ends[:, 0], kind="stable")]
@@ -477,22 +515,35 @@ def remove_repeats(docs: DataFrame, *, text="text", key="doc_id", routes: int |
     routes = routes or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select(F.xxhash64("id", "text").alias("key"), "id", "text")
-    spans = spans_to_remove(rows, routes).groupBy("key").agg(F.collect_list("spans").alias("spans"))
-    whole = rows.join(spans, "key", "left").select("id", "text", "spans")
+    spans = spans_to_remove(rows, routes).withColumn("of_spans", F.lit(True))
+    texts = dealt_documents(rows, routes).withColumn("of_spans", F.lit(False))
+    key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        for batch in batches_of(batches, "text", 16 << 20):
+        spans: list[bytes] = []
+        texts: list[bytes] = []
+        for batch in batches:
+            for of_spans, body in zip(batch.column("of_spans").to_pylist(), batch.column("body").to_pylist()):
+                (spans if of_spans else texts).append(body)
+        places = np.concatenate([np.frombuffer(unpacked(b), np.int64).reshape(3, -1) for b in spans] or [np.zeros((3, 0), np.int64)], axis=1)
+        places = places[:, np.argsort(places[0], kind="stable")]
+        for body in texts:
+            part = pa.ipc.open_stream(unpacked(body)).read_all()
+            keys = part.column("key").to_numpy()
+            low, high = np.searchsorted(places[0], keys), np.searchsorted(places[0], keys, "right")
             out = []
-            for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            for t, a, b in zip(part.column("text").to_pylist(), low, high):
                 data = t.encode("utf-8", "surrogatepass")
-                removed, runs, kept = cut(data, s or [])
+                removed, runs, kept = cut(data, places[1:, a:b].T)
                 out.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             columns = list(zip(*out))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.binary())],
+                [part.column("id").combine_chunks(), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.binary())],
                 ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    found = whole.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    found = found.withColumnRenamed("id", key)
-    return found if with_text else found.drop("kept")
+    met = spans.unionByName(texts).repartition(routes, "route").select("of_spans", "body")
+    found = met.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return found.select(
+        F.col("id").cast(key_type).alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])
+    )

@@ -148,8 +148,9 @@ def _joined(rows: DataFrame, rules: DataFrame) -> DataFrame:
     lengths = rules.select(F.length("path").alias("n")).distinct().agg(F.sort_array(F.collect_list("n"))).scalar()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    tried = rows.select("host", "path").distinct().withColumn("rule_host", F.explode(suffixes)).withColumn("rule_path", F.explode(prefixes))
+    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    tried = rows.select("host", "path").distinct().withColumn("lengths", lengths)
+    tried = tried.withColumn("rule_host", F.explode(suffixes)).withColumn("rule_path", F.explode(prefixes))
     listed = rules.groupBy(F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).agg(F.min_by("verdict", F.col("verdict") != "block").alias("verdict"))
     fitting = tried.join(listed, ["rule_host", "rule_path"])
     rule = F.struct(
