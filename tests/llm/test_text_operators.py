@@ -181,13 +181,16 @@ def test_mixing_against_projected_gradient_on_documents(spark):
     p = np.round(r.dirichlet([0.4, 0.4, 0.4], 200), 2)
     n = r.integers(1, 300, 200)
     member = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "tokens bigint, posterior array<double>")
-    wish = np.array([0.8, 0.2, 0.0])
     rate, mass = np.ones(200), (n[:, None] * p).sum(axis=0)
+    goal, far = np.array([0.8, 0.2, 0.0]) * mass.sum(), np.inf
     for _ in range(mixing.STEPS):
-        short = ((n * rate)[:, None] * p).sum(axis=0) - wish * mass.sum()
-        if np.abs(short / mass).max() < mixing.TOLERANCE:
+        reached = ((n * rate)[:, None] * p).sum(axis=0)
+        before, far = far, mixing.distance(reached, goal, mass)
+        if far < mixing.TOLERANCE:
             break
-        rate = np.maximum(0, rate - mixing.STEP * (p @ (short / mass)))
+        shared = np.einsum("d,di,dj->ij", n * (rate > 0), p, p)
+        rate = np.maximum(0, rate - p @ mixing.direction(reached - goal, shared, mass, far < 0.9 * before))
+    assert far < 1e-3 and (rate == 0).any()
     got = {tuple(x.posterior): x.rate for x in mixing.rates(member, ["x", "y", "z"], {"x": 0.8, "y": 0.2}).collect()}
     assert np.allclose([got[tuple(x)] for x in p.tolist()], rate, atol=1e-4)
 
