@@ -313,7 +313,7 @@ def _laid_out(codes, begins, lengths):
 
 FIELDS = (("group", np.uint32), ("doc", np.int64), ("key", np.int64), ("start", np.int64), ("windows", np.int64))
 # Level of compression of what is shuffled.
-LEVEL = 3
+LEVEL = 6
 
 
 def packed(data: bytes) -> bytes:
