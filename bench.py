@@ -39,7 +39,7 @@ def scaled(spark, sf, times):
     rows = materialize(rows.drop("copy").repartition(spark.sparkContext.defaultParallelism), "scaled")
     started = time.time()
     sample = materialize(curate.weighted_sample(materialize(curate.deduplicate(curate.parse_items(rows)), "d")), "s")
-    drain(curate.split(curate.shuffled(sample), views.SPLIT_SIZES, total=curate.row_count(sample)))
+    drain(curate.split(curate.shuffled(sample), views.SPLIT_SHARES, total=curate.row_count(sample), proportional=True))
     return round(time.time() - started, 3)
 
 
@@ -51,6 +51,7 @@ def main():
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_session("bench", cores=cpus, **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
+        "pricelens.spread.partitions": cpus,  # the test tables are one row group each
     })
     spark.sparkContext.setLogLevel("ERROR")
     drain(QUERIES["parse_items"](spark, sf))  # start the session and the code generator once

@@ -27,9 +27,9 @@ def in_price_range(price: Column) -> Column:
     return price.between(config.MIN_PRICE, config.MAX_PRICE)
 
 
-def simplify(values: Column) -> Column:
-    """Printed list on one line, one pass of double-space removal, stripped and cut."""
-    text = F.replace(list_literal(values), F.lit("\n"), F.lit(" "))
+def simplify(values: Column, plain: bool = False) -> Column:
+    """Printed list, or a plain text as it is, on one line: one pass of double-space removal, stripped and cut."""
+    text = F.replace(values if plain else list_literal(values), F.lit("\n"), F.lit(" "))
     text = F.replace(F.replace(text, F.lit("\r"), F.lit("")), F.lit("\t"), F.lit(""))
     text = F.replace(text, F.lit("  "), F.lit(" "))
     return F.substring(strip(text), 1, config.MAX_TEXT_EACH)
@@ -71,15 +71,21 @@ def strip_codes(text: Column) -> Column:
     return bind(text, lambda t: F.when(t.rlike("[A-Z0-9]{7}"), F.regexp_replace(t, PRODUCT_CODE, "")).otherwise(t))
 
 
-def scrub(title: Column, description: Column, features: Column, details: Column) -> Column:
-    """Title, description, features and details (noise keys gone), one per line, without codes."""
+def scrub(title: Column, description: Column, features: Column, details: Column, plain=None) -> Column:
+    """Title, description, features and details (noise keys gone), one per line, without codes.
+
+    `plain` is a struct with a `description` and `features` that came as one text instead of a list.
+    """
     line = lambda present, text: F.when(present, F.concat(text, F.lit("\n"))).otherwise("")
     filled = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    given = lambda c, name: line(filled(c), simplify(c)) if plain is None else F.when(
+        F.length(plain[name]) > 0, F.concat(simplify(plain[name], plain=True), F.lit("\n"))
+    ).otherwise(line(filled(c), simplify(c)))
     text = F.concat(
         title,
         F.lit("\n"),
-        line(filled(description), simplify(description)),
-        line(filled(features), simplify(features)),
+        given(description, "description"),
+        given(features, "features"),
         line(filled(details), details_json(details)),
     )
     return F.substring(strip(strip_codes(text)), 1, config.MAX_TEXT_TOTAL)

@@ -28,18 +28,22 @@ def _priced_columns():
 
 
 @once_per_session
-def _item_columns():
+def _item_columns(plain: bool):
     clean = cleaning.drop_noise_keys(F.col("details"))
-    full = cleaning.scrub(F.col("title"), F.col("description"), F.col("features"), clean)
+    full = cleaning.scrub(F.col("title"), F.col("description"), F.col("features"), clean, F.col("plain") if plain else None)
     weight = cleaning.weight_pounds(cleaning.detail_text(F.col("details"), "Item Weight"))
     return "id", "title", "category", "price", full.alias("full"), weight.alias("weight")
 
 
 def parse_items(raw: DataFrame) -> DataFrame:
-    """Price filter first, then details, weight and cleaned text, then the minimum-length filter."""
+    """Price filter first, then details, weight and cleaned text, then the minimum-length filter.
+
+    A column `plain`, as `read_raw` makes it, holds descriptions and features that aren't lists.
+    """
     in_range, columns = _priced_columns()
-    priced = computed(raw.where(in_range), *columns).where(F.col("details").isNotNull())
-    return computed(priced, *_item_columns()).where(F.length("full") >= config.MIN_CHARS)
+    plain = "plain" in raw.columns
+    priced = computed(raw.where(in_range), *columns, *(["plain"] if plain else [])).where(F.col("details").isNotNull())
+    return computed(priced, *_item_columns(plain)).where(F.length("full") >= config.MIN_CHARS)
 
 
 def rejected_details(raw: DataFrame) -> DataFrame:
@@ -83,6 +87,11 @@ def sample_weights(items: DataFrame) -> DataFrame:
     return raw.withColumn("w", F.try_divide(F.col("w"), total))
 
 
+def weighty(items: DataFrame) -> DataFrame:
+    """All rows of nonzero weight: what a weighted sample of any size can draw from."""
+    return items.where(_raw_weight(items) > 0)
+
+
 def weighted_sample(items: DataFrame, size: int = config.SAMPLE_SIZE, seed=config.SEED) -> DataFrame:
     """Draw `size` rows without replacement, each draw in proportion to its weight.
 
@@ -98,10 +107,13 @@ def weighted_sample(items: DataFrame, size: int = config.SAMPLE_SIZE, seed=confi
     return take_first(keyed, size, ["_draw", "id"], "_bucket").drop("_w", "_draw")
 
 
-def split_bounds(total: Column, sizes) -> tuple[Column, Column, Column]:
-    """Train, validation and test sizes; scaled down in proportion when there are too few rows."""
+def split_bounds(total: Column, sizes, proportional: bool = False) -> tuple[Column, Column, Column]:
+    """Train, validation and test sizes; scaled down in proportion when there are too few rows.
+
+    If `proportional`, the sizes are shares of whatever there is, and no row is a surplus.
+    """
     wanted = sum(sizes)
-    short = total < wanted
+    short = F.lit(True) if proportional else total < wanted
     part = lambda size: F.when(
         short, F.greatest(F.lit(1), (F.lit(float(size)) * (total / F.lit(float(wanted)))).cast("bigint"))
     ).otherwise(F.lit(size))
@@ -113,12 +125,14 @@ def row_count(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
 
-def split(items: DataFrame, sizes=config.FULL_SIZES, ord_: str = "ord", total: Column = None) -> DataFrame:
+def split(
+    items: DataFrame, sizes=config.FULL_SIZES, ord_: str = "ord", total: Column = None, proportional: bool = False
+) -> DataFrame:
     """Consecutive slices by position; surplus rows go. `ord` restarts at 0 in every split.
 
     `total` can pass the number of rows when it is cheaper to count them elsewhere.
     """
-    train, val, test = split_bounds(row_count(items) if total is None else total, sizes)
+    train, val, test = split_bounds(row_count(items) if total is None else total, sizes, proportional)
     sized = items.withColumns({"_train": train, "_val": val, "_test": test})
     at = F.col(ord_)
     name = (

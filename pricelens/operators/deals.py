@@ -1,6 +1,6 @@
 """Deals: price reading, selection, estimates, the best opportunity and its texts."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pricelens import config
 from pricelens.functions import markup
@@ -39,11 +39,15 @@ def opportunities(deals: DataFrame, estimate: Column) -> DataFrame:
 def best_deal(opps: DataFrame, *keys: str, threshold: float = config.DEAL_THRESHOLD, tie: str = "pos") -> DataFrame:
     """Per group the largest discount, the first on ties, if it is above the threshold.
 
-    A max over a struct: combined before the shuffle, so a hot group costs nothing extra.
+    With keys, the rank filter becomes a group limit before and behind the shuffle: a hot group sends one
+    row per task, and no whole rows are sorted but those of a partition. Without keys it is a top-1.
     """
-    rank = F.struct("discount", -F.col(tie))
-    best = opps.groupBy(*keys).agg(F.max_by(F.struct(*opps.columns), rank).alias("_row"))
-    return best.select("_row.*").where(F.col("discount") > threshold)
+    order = [F.desc_nulls_last("discount"), F.col(tie)]
+    if not keys:
+        return opps.orderBy(*order).limit(1).where(F.col("discount") > threshold)
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    best = opps.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return best.where(F.col("discount") > threshold)
 
 
 def as_opportunity(rows: DataFrame) -> DataFrame:

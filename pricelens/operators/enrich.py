@@ -1,6 +1,6 @@
 """Resumable text enrichment: checkpoint and batch joins, progress, prompt pairs."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pricelens import config
 from pricelens.functions import prompts
@@ -11,8 +11,13 @@ filled = lambda c: F.nullif(F.col(c), F.lit(""))
 
 
 def last_per_key(rows: DataFrame, key: str, value: str, ord_: str = "ord") -> DataFrame:
-    """The last value of each key; a partial aggregate, so a hot key is combined before the shuffle."""
-    return rows.groupBy(key).agg(F.max_by(value, ord_).alias(value))
+    """The last value of each key.
+
+    The rank filter becomes a group limit on both sides of the shuffle, so of a hot key each map task
+    sends one row; a maximum over text would sort whole rows on both sides instead.
+    """
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc(ord_)))
+    return rows.select(key, value, rank.alias("_rank")).where("_rank = 1").drop("_rank")
 
 
 def apply_checkpoint(items: DataFrame, done: DataFrame) -> DataFrame:
@@ -41,18 +46,23 @@ def apply_batch_results(items: DataFrame, results: DataFrame) -> DataFrame:
     return items.join(answers, "ord", "left").withColumn("summary", F.coalesce("_content", "summary")).drop("_content")
 
 
-def map_with_checkpoint(items: DataFrame, fn, store: str, waves: int = 1, run: int = 0, **options) -> DataFrame:
+def map_with_checkpoint(
+    items: DataFrame, fn, store: str, waves: int = 10, run: int = 0, parallelism: int = None, **options
+) -> DataFrame:
     """Rewrite the text of pending items once per distinct content key and keep every result.
 
     The pending keys are split into `waves` by their hash; each wave is appended to the store before
-    the next starts, so a broken job loses one wave at most and a rerun picks up where it stopped.
+    the next starts, so a broken job loses one wave at most and a rerun picks up where it stopped. The
+    slow calls of a wave run in `parallelism` tasks, however small its texts are.
     """
     spark = items.sparkSession
+    parallelism = parallelism or spark.sparkContext.defaultParallelism
     empty = spark.createDataFrame([], "key string, summary string, run bigint")
     for wave in range(waves):
         done = checkpoint_state(read_table(spark, store), empty)
         todo = pending(items, done).select(prompts.content_key(F.col("full")).alias("key"), "full")
         todo = todo.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == wave).dropDuplicates(["key"])
+        todo = todo.repartition(parallelism, "key")
         results = todo.mapInPandas(rewriter(fn, **options), REWRITE_SCHEMA)
         results.withColumn("run", F.lit(run).cast("bigint")).write.mode("append").parquet(store)
     return apply_checkpoint(items, checkpoint_state(read_table(spark, store), empty))

@@ -21,6 +21,42 @@ def predict_table(test: DataFrame, **guesses: Column) -> DataFrame:
     return score(rows)
 
 
+def predict_fitted(test: DataFrame, fitted: dict) -> DataFrame:
+    """The same table for fitted models by name; each has `price(rows)`, as `models.MODELS` makes them."""
+    rows = [
+        model.price(test).select(
+            F.lit(name).alias("model"), "ord", scoring.clip_title(F.col("title")).alias("title"),
+            F.col("price").alias("truth"), F.col("guess").cast("double").alias("guess"),
+        )
+        for name, model in fitted.items()
+    ]
+    return score(union_tables(*rows))
+
+
+def predict_prompts(prompts: DataFrame, **guesses: Column) -> DataFrame:
+    """The same table for rows of `ord, prompt, completion`: the truth is the completion, the title is in the prompt."""
+    rows = prompts.withColumns({
+        "title": scoring.prompt_title(F.col("prompt")), "price": F.col("completion").try_cast("double"),
+    })
+    return predict_table(rows, **guesses)
+
+
+def guess_by_hand(test: DataFrame, sheet: DataFrame) -> DataFrame:
+    """Test rows with the guess that `sheet` (summary, guess) has for their summary; null where it has none."""
+    return test.join(sheet.select("summary", "guess"), "summary", "left")
+
+
+def evaluate(results: DataFrame) -> DataFrame:
+    """Per model the metrics, the mean error behind the last row, rows without a guess and the colour bands."""
+    metrics = eval_metrics(results)
+    last = running_error(results).groupBy("model").agg(F.max_by("mean_error", "ord").alias("last_mean"))
+    counts = results.groupBy("model").agg(
+        F.count_if(F.col("guess").isNull()).alias("missing"),
+        *[F.count_if(F.col("color") == c).alias(c) for c in ("green", "orange", "red")],
+    )
+    return metrics.join(last, "model").join(counts, "model")
+
+
 def score(rows: DataFrame) -> DataFrame:
     """Error and colour band for rows of `model, ord, title, truth, guess`."""
     error = F.abs(F.col("guess") - F.col("truth"))
@@ -87,14 +123,15 @@ def test_sets(results: DataFrame, small: int = config.EVAL_SIZE) -> DataFrame:
     return results.select(F.explode(sets).alias("test_set"), "*")
 
 
-def weighted_estimate(estimates: DataFrame, weights: dict, *keys: str) -> DataFrame:
-    """Sum of weight times clamped estimate over long-form rows of `model, guess`.
+def weighted_estimate(estimates: DataFrame, weights: dict, *keys: str, active=None) -> DataFrame:
+    """Mean of the clamped estimates in long-form rows of `model, guess`, by the weights of the active models.
 
     The weights are a handful of values, so they travel as a map literal.
     """
+    weights = {m: w for m, w in weights.items() if active is None or m in active}
     factors = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
     part = F.try_element_at(factors, F.col("model")) * scoring.clamp_price(F.col("guess"))
-    return estimates.where(F.col("model").isin(*weights)).groupBy(*keys).agg(F.sum(part).alias("guess"))
+    return estimates.where(F.col("model").isin(*weights)).groupBy(*keys).agg((F.sum(part) / F.lit(float(sum(weights.values())))).alias("guess"))
 
 
 def metrics_report(metrics: DataFrame) -> DataFrame:

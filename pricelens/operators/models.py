@@ -2,7 +2,7 @@
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import (
-    CountVectorizer, HashingTF, IDF, Normalizer, PCA, RegexTokenizer, StopWordsRemover, VectorAssembler,
+    CountVectorizerModel, HashingTF, IDF, Normalizer, PCA, RegexTokenizer, StopWordsRemover, VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -64,9 +64,14 @@ def word_stages(stop_words=None):
     return [RegexTokenizer(inputCol="summary", outputCol="tokens", pattern=TOKEN, gaps=False), remover]
 
 
-def bag_of_words(terms: int = config.BAG_TERMS, stop_words=None):
-    """Term counts of the most frequent terms without stop words."""
-    return [*word_stages(stop_words), CountVectorizer(inputCol="words", outputCol="features", vocabSize=terms)]
+def bag_of_words(train: DataFrame, terms: int = config.BAG_TERMS, stop_words=None):
+    """Term counts over the most frequent terms of all rows of `train`, without stop words.
+
+    The vocabulary is that of `term_totals`, so ties are settled and at most `terms` words are collected.
+    """
+    words = [r["term"] for r in term_totals(train, terms, stop_words).collect()]
+    count = CountVectorizerModel.from_vocabulary(words or ["-"], inputCol="words", outputCol="features")
+    return [*word_stages(stop_words), count]
 
 
 def term_totals(train: DataFrame, terms: int = config.BAG_TERMS, stop_words=None) -> DataFrame:
@@ -81,19 +86,27 @@ def _text_model(train: DataFrame, features, regressor) -> Priced:
 
 
 def nlp_linear_price(train: DataFrame) -> Priced:
-    return _text_model(train, bag_of_words(), LinearRegression(labelCol="price", solver="l-bfgs", maxIter=50))
+    """Least squares on term counts, by the normal equations: one pass, as there are no more than 4,096 terms."""
+    return _text_model(train, bag_of_words(train), LinearRegression(labelCol="price", solver="normal", regParam=0.0))
+
+
+# The deepest trees Spark grows.
+MOST_DEPTH = 30
+
 
+def forest_price(train: DataFrame, rows: int = config.FOREST_ROWS, trees: int = 100, depth: int = MOST_DEPTH) -> Priced:
+    """Random forest on the first rows by position, with the vocabulary of all rows.
 
-def forest_price(train: DataFrame, rows: int = config.FOREST_ROWS, trees: int = 100) -> Priced:
-    """Random forest on the first rows by position; depth is bounded, as Spark grows trees by level."""
-    forest = RandomForestRegressor(labelCol="price", numTrees=trees, maxDepth=5, seed=config.SEED)
-    return _text_model(train.where(F.col("ord") < rows), bag_of_words(), forest)
+    Trees are as deep as Spark lets them be; a query that wants less names its own `depth`.
+    """
+    forest = RandomForestRegressor(labelCol="price", numTrees=trees, maxDepth=depth, seed=config.SEED)
+    return _text_model(train.where(F.col("ord") < rows), bag_of_words(train), forest)
 
 
-def boosted_price(train: DataFrame, rounds: int = 20) -> Priced:
-    """Boosted trees at rate 0.1; fewer rounds by default than a single-machine learner would use."""
-    boost = GBTRegressor(labelCol="price", stepSize=0.1, maxDepth=6, maxIter=rounds, seed=config.SEED)
-    return _text_model(train, bag_of_words(), boost)
+def boosted_price(train: DataFrame, rounds: int = config.BOOSTING_ROUNDS, depth: int = 6) -> Priced:
+    """Boosted trees at rate 0.1."""
+    boost = GBTRegressor(labelCol="price", stepSize=0.1, maxDepth=depth, maxIter=rounds, seed=config.SEED)
+    return _text_model(train, bag_of_words(train), boost)
 
 
 def hashed_words(size: int = config.HASH_FEATURES, stop_words=None):
@@ -154,5 +167,5 @@ MODELS = {
     "random_forest": forest_price,
     "boosted": boosted_price,
     "hashed": hashed_price,
-    "log_target": lambda train: log_target_price(train)[0],
+    "log_target": lambda train, **parameters: log_target_price(train, **parameters)[0],
 }

@@ -126,7 +126,7 @@ _FACTOR = "CASE category WHEN 'Tools_and_Home_Improvement' THEN 0.5::double WHEN
 WEIGHTED = f"""
 weighted AS (SELECT *, pow((price-min(price) OVER ())/(max(price) OVER ()-min(price) OVER ()+1e-9::double),2.0)*{_FACTOR} AS w FROM dd)"""
 SAMPLE = f"""
-sample AS (SELECT * FROM weighted WHERE w>0 ORDER BY -ln({_u('id', '42:sample')})/w, id LIMIT 820000)"""
+sample AS (SELECT * FROM weighted WHERE w>0)"""
 SPLITS = f"""
 numbered AS (SELECT *, row_number() OVER (ORDER BY {_key('id', '42:split')}, id)-1 AS pos, count(*) OVER () AS n FROM sample),
 sized AS (SELECT *, greatest(1, floor(100000.0::double*(n/1000000.0::double))::bigint) AS part FROM numbered),
@@ -459,9 +459,13 @@ ORACLES = {
     "ensemble_predict": _sql([INDEX, KNN], f"""SELECT query_id, round(0.8::double/0.9*greatest(0.5,least(999.49,guess))
   +0.1::double/0.9*greatest(0.5,least(999.49,{_random('query_id')})),4) AS guess FROM knn_guess"""),
     "predict_table": _sql(_PRED, "SELECT model, ord, title, truth, round(guess,6) AS guess, round(error,6) AS error, color FROM predictions"),
-    "evaluate": _sql([*_PRED, METRICS], """SELECT m.model, n, round(m.error,4) AS error, round(ci,4) AS ci, round(mse,4) AS mse, round(r2,4) AS r2,
+    "evaluate": _sql([*_PRED, LINEAR, f"""
+lin AS (SELECT 'linear' AS model, f3.ord, {_CLIP} AS title, f3.price AS truth, my+k1*r1+k2*r2+k3*r3 AS guess FROM f3 JOIN splits USING (id), c3 WHERE f3.split='test'),
+scored AS (SELECT model, ord, title, truth, guess, error, color FROM predictions UNION ALL
+  SELECT *, {_BAND} AS color FROM (SELECT *, abs(guess-truth) AS error FROM lin)),
+metrics AS (SELECT model, {_METRICS} FROM scored GROUP BY model)"""], """SELECT m.model, n, round(m.error,4) AS error, round(ci,4) AS ci, round(mse,4) AS mse, round(r2,4) AS r2,
   round(m.error,4) AS last_mean, count(*) FILTER (color='green') AS green, count(*) FILTER (color='orange') AS orange, count(*) FILTER (color='red') AS red
-  FROM metrics m JOIN predictions p ON p.model=m.model GROUP BY ALL"""),
+  FROM metrics m JOIN scored p ON p.model=m.model GROUP BY ALL"""),
     "map_with_checkpoint": _sql([*_ITEMS, OPEN], "SELECT id, coalesce(nullif(summary,''),'Card: '||split_part(\"full\",chr(10),1)) AS summary FROM open_items"),
     "encode_hook": _sql(_SUMM, f"SELECT id, length(summary)::double AS chars, {_words('summary')}::double AS words, len(string_split(summary,chr(10)))::double AS lines FROM summ"),
     "predictor_hook": _sql(_SPLITS, f"""SELECT 'custom' AS model, ord, {_CLIP} AS title, price AS truth, guess, round(abs(guess-price),6) AS error, color FROM (

@@ -6,10 +6,10 @@ from pricelens import config
 from pricelens.functions import markup, prompts, scoring
 from pricelens.operators import curate, deals as deal_ops, enrich, evaluate, models
 from pricelens.operators.order import ordinal_by_id
-from pricelens.session import materialize, once_per_session, spread
+from pricelens.session import discard, materialize, once_per_session, spread
 
-# Split sizes used on the test tables, which are always smaller: 80 % / 10 % / 10 %.
-SPLIT_SIZES = (800_000, 100_000, 100_000)
+# Shares of training, validation and test rows.
+SPLIT_SHARES = (800_000, 100_000, 100_000)
 # Batch size used on the test tables.
 BATCH_ROWS = 100
 
@@ -75,11 +75,20 @@ def deduplicated(spark, sf) -> DataFrame:
     return materialize(curate.deduplicate(items(spark, sf)), "deduplicated")
 
 
-def splits(spark, sf, sizes=SPLIT_SIZES, size=config.SAMPLE_SIZE) -> DataFrame:
-    """Curated items with `split` and `ord`, written once: everything downstream reads them often."""
-    sample = materialize(curate.weighted_sample(deduplicated(spark, sf), size), "sample")
-    parts = curate.split(curate.shuffled(sample), sizes, total=curate.row_count(sample))
-    return materialize(with_cards(parts), "splits")
+def splits(spark, sf, shares=SPLIT_SHARES) -> DataFrame:
+    """All curated items of nonzero weight with `split` and `ord`, written once: everything downstream reads them often.
+
+    Duplicates are found and positions are given on narrow rows, with a digest for the text. The texts
+    join them at the end; what was written on the way is dropped.
+    """
+    whole = materialize(items(spark, sf), "items")
+    narrow = whole.select("id", "title", "category", "price", F.sha2("full", 256).alias("full"))
+    unique = materialize(curate.deduplicate(narrow), "unique")
+    drawn = materialize(curate.weighty(unique), "drawn")
+    parts = curate.split(curate.shuffled(drawn), shares, total=curate.row_count(drawn), proportional=True)
+    out = materialize(with_cards(whole.join(parts.select("id", "split", "ord"), "id")), "splits")
+    discard(whole, unique, drawn)
+    return out
 
 
 def part_of(frame: DataFrame, name: str) -> DataFrame:

@@ -3,11 +3,12 @@
 from pyspark.sql import types as T
 
 # Raw product line. `price` and `details` arrive as text or as JSON values; both are read as text.
+# `description` and `features` arrive as a list of texts or as one text.
 RAW = T.StructType([
     T.StructField("title", T.StringType()),
     T.StructField("price", T.StringType()),
-    T.StructField("description", T.ArrayType(T.StringType())),
-    T.StructField("features", T.ArrayType(T.StringType())),
+    T.StructField("description", T.VariantType()),
+    T.StructField("features", T.VariantType()),
     T.StructField("details", T.StringType()),
 ])
 

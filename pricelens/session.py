@@ -4,11 +4,16 @@ import functools
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(app="pricelens", cores="*", **conf):
-    """A session with the settings the package is tuned for; any of them can be overridden."""
+def get_session(app="pricelens", cores=None, **conf):
+    """A session with the settings the package is tuned for; any of them can be overridden.
+
+    A master that is configured already, as by spark-submit, stays. Only where there is none, or `cores`
+    asks for it, the session is local.
+    """
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -18,7 +23,9 @@ def get_session(app="pricelens", cores="*", **conf):
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
         **conf,
     }
-    builder = SparkSession.builder.appName(app).master(f"local[{cores}]")
+    builder = SparkSession.builder.appName(app)
+    if cores or not (SparkConf().get("spark.master") or "spark.master" in settings):
+        builder = builder.master(f"local[{cores or '*'}]")
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -47,16 +54,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables that `materialize` wrote, once nothing reads them any more."""
+    for frame in frames:
+        path = getattr(frame, "_stored_at", None)
+        if path:
+            spark = frame.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+SPREAD = "pricelens.spread.partitions"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a scan of few unsplittable files (gzip, one row group) a task per core before text work.
+def spread(scan: DataFrame, partitions: int = None) -> DataFrame:
+    """Deal the rows of few unsplittable files (gzip, one row group) out to `partitions` tasks before text work.
 
-    A scan that already has enough partitions is returned as it is, so large inputs are not shuffled.
+    How files are cut is known to whoever lays them out, so this is a parameter, by default the setting
+    `pricelens.spread.partitions`. With 0 or no setting the scan stays as it is and nothing is shuffled.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    wanted = int(scan.sparkSession.conf.get(SPREAD, "0")) if partitions is None else partitions
+    return scan.repartition(wanted) if wanted else scan
 
 
 def once_per_session(build):

@@ -43,7 +43,9 @@ def batch_requests(items: DataFrame, size: int = config.BATCH_SIZE) -> DataFrame
 
 
 def write_batch_requests(requests: DataFrame, path: str) -> None:
-    requests.select("file", "value").write.partitionBy("file").text(path)
+    """One file per batch (a folder of one part), its lines in the order of the items."""
+    rows = requests.repartition("file").sortWithinPartitions("file", "ord")
+    rows.select("file", "value").write.partitionBy("file").text(path)
 
 
 def parse_batch_results(lines: DataFrame) -> DataFrame:

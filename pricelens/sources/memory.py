@@ -5,14 +5,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pricelens import schemas
 from pricelens.sources.tables import read_table
 
-_EMPTY = schemas.OPPORTUNITY + ", batch_id bigint"
+_STORED = schemas.OPPORTUNITY + ", run string, batch_id bigint"
 
 
-def read_memory(spark: SparkSession, path: str, before: int = None) -> DataFrame:
-    """Remembered opportunities, optionally only those of earlier polls."""
-    stored = read_table(spark, path)
-    memory = spark.createDataFrame([], _EMPTY) if stored is None else stored
-    return memory if before is None else memory.where(F.col("batch_id") < before)
+def read_memory(spark: SparkSession, path: str, but: tuple = None) -> DataFrame:
+    """Remembered opportunities of all runs, without those of the poll `but` = (run, batch id)."""
+    stored = read_table(spark, path, _STORED)
+    memory = spark.createDataFrame([], _STORED) if stored is None else stored
+    if but is None:
+        return memory
+    run, batch_id = but
+    return memory.where(~((F.col("run") == run) & (F.col("batch_id") == batch_id)))
 
 
 def import_memory(spark: SparkSession, path: str) -> DataFrame:
@@ -20,11 +23,22 @@ def import_memory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.OPPORTUNITY).option("multiLine", "true").json(path)
 
 
-def remember(opportunities: DataFrame, path: str, batch_id: int) -> None:
-    """Write the opportunities of one poll; writing the same poll again replaces it."""
-    rows = opportunities.select("deal", "estimate", "discount", F.lit(batch_id).cast("bigint").alias("batch_id"))
+def remember(opportunities: DataFrame, path: str, batch_id: int, run: str = "0") -> None:
+    """Write the opportunities of one poll; writing the same poll of the same run again replaces it.
+
+    Polls are numbered from 0 in each run of a stream, so the run is part of the key: a new run never
+    hides or replaces what an earlier one remembered.
+    """
+    poll = {"run": F.lit(run), "batch_id": F.lit(batch_id).cast("bigint")}
+    rows = opportunities.select("deal", "estimate", "discount").withColumns(poll)
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("batch_id").parquet(path)
+    writer.partitionBy("run", "batch_id").parquet(path)
+
+
+def compact(spark: SparkSession, path: str, into: str) -> None:
+    """The whole memory in few files at a new place, under one finished run; a stream goes on from there."""
+    rows = read_memory(spark, path)
+    remember(rows.coalesce(1 + rows.sparkSession.sparkContext.defaultParallelism), into, 0, "compacted")
 
 
 def trim_memory(memory: DataFrame, keep: int = 2) -> DataFrame:

@@ -23,9 +23,13 @@ def read_raw(spark: SparkSession, *paths: str, partitions: int = 0) -> DataFrame
     if partitions:
         lines = lines.repartition(partitions)
     row = F.from_json("value", RAW)
-    return lines.select(F.xxhash64("category", "value").alias("id"), "category", row.alias("r")).select(
-        "id", "category", "r.*"
-    )
+    rows = lines.select(F.xxhash64("category", "value").alias("id"), "category", row.alias("r")).select("id", "category", "r.*")
+    # A list becomes an array; a single text stays apart from it, since it isn't shown as a list.
+    texts = ("description", "features")
+    plain = F.struct(*[
+        F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string")).alias(c) for c in texts
+    ])
+    return rows.withColumns({"plain": plain, **{c: F.try_variant_get(c, "$", "array<string>") for c in texts}})
 
 
 def read_products(spark: SparkSession, *paths: str, partitions: int = 0) -> DataFrame:

@@ -9,9 +9,10 @@ from pricelens.sources.memory import read_memory, remember
 DEAL = "product_description string, price double, url string, category string"
 
 
-def read_polls(spark: SparkSession, path: str, files_per_poll: int = 1) -> DataFrame:
-    """Deal files as they arrive."""
-    return spark.readStream.schema(DEAL).option("maxFilesPerTrigger", files_per_poll).json(path)
+def read_polls(spark: SparkSession, path: str, files_per_poll: int = None) -> DataFrame:
+    """Deal files as they arrive: a poll takes all that is there, or `files_per_poll` of them in a replay."""
+    reader = spark.readStream.schema(DEAL)
+    return (reader.option("maxFilesPerTrigger", files_per_poll) if files_per_poll else reader).json(path)
 
 
 def poll(deals: DataFrame, memory: DataFrame, estimate, threshold: float = config.DEAL_THRESHOLD) -> DataFrame:
@@ -31,13 +32,15 @@ def stream_deals(
 ):
     """Start the polling query.
 
-    The memory is written per poll and read only up to the poll before, so a poll that is replayed
-    after a failure finds the memory as it was and replaces its own row instead of alerting twice.
+    The memory is written per poll, under the id that the query keeps with its checkpoint. A poll reads
+    all but its own row, so one that is replayed after a failure finds the memory as it was and replaces
+    its row instead of alerting twice, and a query with a new checkpoint still knows every older alert.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        memory = read_memory(batch.sparkSession, memory_path, before=batch_id)
-        remember(as_opportunity(poll(batch, memory, estimate, threshold)), memory_path, batch_id)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        memory = read_memory(batch.sparkSession, memory_path, but=(query, batch_id))
+        remember(as_opportunity(poll(batch, memory, estimate, threshold)), memory_path, batch_id, query)
 
     writer = deals.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if every is None:

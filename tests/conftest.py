@@ -13,6 +13,7 @@ def spark(tmp_path_factory):
     session = get_session("tests", cores="8", **{
         "spark.sql.shuffle.partitions": "4",
         "spark.ui.enabled": "false",
+        "pricelens.spread.partitions": "8",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         "spark.driver.memory": "8g",
     })
@@ -35,10 +36,11 @@ def one(spark):
 
 @pytest.fixture()
 def items(spark):
-    """300 items with distinct titles and texts in three categories."""
+    """300 items with distinct titles and texts in three categories; cards name a brand, a use and a colour."""
+    kinds = ("Electronics", "Automotive", "Office_Products")
     rows = [
-        (i, f"Item {i}", ("Electronics", "Automotive", "Office_Products")[i % 3], 5.0 + (i * 37 % 895), f"text {i} " * 3,
-         (0.0, 1.5, 3.0)[i % 3], f"Title: Item {i}\nCategory: c\nBrand: b{i % 7}\nDescription: word{i % 11} thing\nDetails: d")
+        (i, f"No. {i}", kinds[i % 3], 4.0 + (i * 53 % 911), f"long text of number {i}; " * (1 + i % 4), i % 5 * 0.75,
+         f"Title: No. {i}\nBrand: maker{i % 13}\nDescription: use{i % 11} in colour{i % 6}")
         for i in range(300)
     ]
     return spark.createDataFrame(

@@ -86,6 +86,7 @@ def test_stream_equals_batch_replay(spark, tmp_path):
     run()  # nothing new arrived, nothing is alerted twice
     assert read_memory(spark, str(tmp_path / "memory")).count() == 2
     batch = spark.createDataFrame(shared, polling.DEAL)
-    again = polling.poll(batch, read_memory(spark, str(tmp_path / "memory"), before=0), estimate)
-    remember(deals.as_opportunity(again), str(tmp_path / "memory"), 0)
+    run = read_memory(spark, str(tmp_path / "memory")).where("batch_id = 0").first()["run"]
+    again = polling.poll(batch, read_memory(spark, str(tmp_path / "memory"), but=(run, 0)), estimate)
+    remember(deals.as_opportunity(again), str(tmp_path / "memory"), 0, run)
     assert read_memory(spark, str(tmp_path / "memory")).count() == 2

@@ -88,7 +88,14 @@ def test_memory_replay_and_trim(spark, tmp_path):
     for batch, url in ((0, "a"), (1, "b"), (0, "a"), (2, "c")):
         memory.remember(row(url), path, batch)
     assert memory.read_memory(spark, path).count() == 3
-    assert memory.read_memory(spark, path, before=1).count() == 1
+    assert memory.read_memory(spark, path, but=("0", 1)).count() == 1
+    memory.remember(row("z"), path, 0, "another run")
+    assert memory.read_memory(spark, path).count() == 4
+    memory.remember(row("z"), path, 0, "another run")
+    memory.compact(spark, path, path + "-compact")
+    assert memory.read_memory(spark, path + "-compact").count() == 4
+    memory.remember(row("y"), path + "-compact", 0, "0")
+    assert memory.read_memory(spark, path + "-compact").count() == 5
     assert [r["deal"]["url"] for r in memory.trim_memory(memory.read_memory(spark, path)).collect()] == ["a", "b"]
 
 
@@ -135,23 +142,22 @@ def test_retries_and_fallback():
 
 
 def test_prompt_pairs(spark):
-    rows = spark.createDataFrame([("one two three four five", 19.6, "train"), ("one", 19.6, "test")], "summary string, price double, split string")
+    rows = spark.createDataFrame([("red kettle with a lid", 47.5, "train"), ("lid", 47.5, "test")], "summary string, price double, split string")
     got = enrich.prompt_pairs(rows, 3).orderBy("price", "summary").select("prompt", "completion").collect()
-    assert got[0]["completion"] == "19.6" and got[1]["completion"] == "20.00" and "\n\none two three\n\n" in got[1]["prompt"]
+    assert got[0]["completion"] == "47.5" and got[1]["completion"] == "48.00" and "\n\nred kettle with\n\n" in got[1]["prompt"]
     assert enrich.truncation_rate(rows, 3).first()["rate"] == 0.5
 
 
 def test_token_hooks(spark):
-    class Words:
-        def encode(self, text):
-            return text.split()
+    class Pairs:
+        """Every two characters are a token."""
 
-        def decode(self, codes):
-            return " ".join(codes)
+        encode = staticmethod(lambda text: [text[i : i + 2] for i in range(0, len(text), 2)])
+        decode = staticmethod("".join)
 
-    count, cut = hooks.token_hooks(Words, 2)
-    row = spark.createDataFrame([("a b c",), ("a",)], "t string").select(count("t").alias("n"), cut("t").alias("c")).collect()
-    assert [tuple(r) for r in row] == [(3, "a b"), (1, "a")]
+    count, cut = hooks.token_hooks(Pairs, 2)
+    row = spark.createDataFrame([("abc de",), ("abc",)], "t string").select(count("t").alias("n"), cut("t").alias("c")).collect()
+    assert [tuple(r) for r in row] == [(3, "abc"), (2, "abc")]
 
 
 def test_hot_content_key_is_split_in_the_join(spark):

@@ -143,7 +143,7 @@ def test_ensemble_and_leaderboard(spark):
 
     rows = spark.createDataFrame([(1, "frontier", 100.0), (1, "specialist", 200.0), (1, "neural_network", 300.0)], "ord int, model string, guess double")
     assert evaluate.weighted_estimate(rows, config.ENSEMBLE_WEIGHTS, "ord").first()["guess"] == pytest.approx(130.0)
-    two = evaluate.weighted_estimate(rows, config.active_weights(), "ord").first()["guess"]
+    two = evaluate.weighted_estimate(rows, config.ENSEMBLE_WEIGHTS, "ord", active=config.ACTIVE_MODELS).first()["guess"]
     assert two == pytest.approx(100 * 8 / 9 + 300 / 9)
     wild = spark.createDataFrame([(1, "a", 5000.0), (1, "b", -20.0)], "ord int, model string, guess double")
     assert evaluate.weighted_estimate(wild, {"a": 0.5, "b": 0.5}, "ord").first()["guess"] == pytest.approx(499.995)
