@@ -35,8 +35,12 @@ def _letters():
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
+SPACE = np.array([32], np.uint32)
+
+
 def points(text: str):
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Code points in lower case behind a space, so that the first word has an edge. Who uses them puts a space behind the last."""
+    return np.frombuffer((" " + text.lower()).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def subwords(codes) -> list:
@@ -76,12 +80,13 @@ class Model:
         for i, text in enumerate(texts):
             codes = points(text)
             if len(codes) > BLOCK:
+                codes = np.append(codes, SPACE)
                 step = BLOCK - max(SIZES) + 1
                 for start in range(0, len(codes), step):
                     out[i] += self._block(codes[start: start + BLOCK], step)
                 continue
             group.append((i, codes))
-            size += len(codes) + 1
+            size += len(codes)
             if size > BLOCK:
                 self._sum(group, out)
                 group, size = [], 0
@@ -100,9 +105,9 @@ class Model:
     def _sum(self, group, out):
         if not group:
             return
-        space = np.array([32], np.uint32)
-        values = self._values(np.concatenate([x for _, codes in group for x in (codes, space)])).astype(np.float64)
-        starts = np.cumsum([0] + [len(codes) + 1 for _, codes in group[:-1]])
+        # Each text begins with a space, which is the edge of the one before it too.
+        values = self._values(np.concatenate([*(codes for _, codes in group), SPACE])).astype(np.float64)
+        starts = np.cumsum([0] + [len(codes) for _, codes in group[:-1]])
         out[[i for i, _ in group]] = np.add.reduceat(values, starts, axis=0)
 
     def predict(self, texts: list[str]):
@@ -124,7 +129,7 @@ def train(texts: list[str], languages: list[str], seed=SEED) -> Model:
         return Model([], np.zeros((BUCKETS + 1, 1), np.float32), 1.0, 0.0)
     bags, own = [], []
     for lang, text in rows:
-        found = subwords(points(text[:SAMPLE_CHARS]))
+        found = subwords(np.append(points(text), SPACE))
         buckets, counts = np.unique(np.concatenate(found or [np.zeros(0, int)]), return_counts=True)
         held = buckets < BUCKETS
         if held.any():

@@ -107,6 +107,13 @@ def test_language_blocks_agree(monkeypatch):
     assert np.allclose(whole, model.totals(texts), rtol=1e-4)
 
 
+def test_language_texts_don_t_touch():
+    model = language.train([prose(i, k) for i in range(30) for k in ("en", "fr")], ["en", "fr"] * 30)
+    texts = [" ", "été", "", "12", "the house", "\n"]
+    together, alone = model.totals(texts), [model.totals([t])[0] for t in texts]
+    assert np.allclose(together, alone, atol=1e-4) and list(together[[0, 2, 3, 5], -1]) == [0] * 4
+
+
 def test_language_calibration_rejects_what_is_unlike_all():
     model = language.train([prose(i, k) for i in range(50) for k in ("en", "fr")], ["en", "fr"] * 50)
     _, score = model.predict([prose(900), "zzxq"])
