@@ -32,7 +32,7 @@ PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Entries of either half of a cache, and the longest key it keeps.
-CACHE_ROWS, CACHE_CHARS = 1 << 18, 64
+CACHE_ROWS, CACHE_CHARS = 1 << 19, 64
 
 
 class Halves:
@@ -74,9 +74,16 @@ def _plain(path: str) -> bool:
     return [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and cuts[0].get("pattern") == {"Regex": PATTERN}
 
 
+@once
+def _added(path: str):
+    """Finds the added tokens, which the tokenizer takes out of a text before anything else."""
+    added = [t.content for t in encoder(path).get_added_tokens_decoder().values()]
+    return re.compile("|".join(map(re.escape, added)) or "(?!)")
+
+
 @once
 def _caches(path: str) -> tuple[Halves, Halves]:
-    return Halves(), Halves(4 * CACHE_ROWS)
+    return Halves(), Halves(2 * CACHE_ROWS)
 
 
 def token_bytes(path: str, texts: list[str], end_id: int) -> list[bytes]:
@@ -97,10 +104,10 @@ def token_bytes(path: str, texts: list[str], end_id: int) -> list[bytes]:
 
 def _chunk_ids(path: str, parts_of: Halves, chunks: set[str]) -> dict[str, bytes]:
     found = encoder(path)
-    added = [t.content for t in found.get_added_tokens_decoder().values()]
+    added, plain = _added(path), _plain(path)
     divided, out = {}, {}
     for c in chunks:
-        if _plain(path) and PLAIN.fullmatch(c) and not any(a in c for a in added):
+        if plain and PLAIN.fullmatch(c) and not added.search(c):
             divided[c] = PARTS.findall(c.lower())
         else:
             out[c] = np.array(found.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
