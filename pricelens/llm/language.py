@@ -22,8 +22,9 @@ BUCKETS, DIMENSIONS, SIZES = 1 << 15, 16, (1, 2, 3, 4)
 # Bounds of the training sample: rows of each language, and characters of a row.
 SAMPLE_ROWS, SAMPLE_CHARS = 600, 1 << 16
 EPOCHS, RATE, SEED = 8, 4.0, 20240
-# Rejection: the share of rightly predicted calibration rows that may fall below the threshold.
-WRONGLY_REJECTED, HIGHEST_THRESHOLD = 0.001, 0.4
+# Rejection: the share of rightly predicted calibration rows that may fall below the threshold, and the
+# threshold's highest value as a multiple of guessing. Real texts, also mixed ones, stay well above it.
+WRONGLY_REJECTED, OVER_GUESSING = 0.001, 1.3
 UNDETERMINED = "und"
 # Characters handled at once; longer texts are summed up over blocks that overlap by a subword.
 BLOCK = 1 << 18
@@ -173,7 +174,7 @@ def _calibrate(logits, truth):
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
     if not len(right):
         return temperature, 0.0
-    return temperature, float(min(HIGHEST_THRESHOLD, right[int(WRONGLY_REJECTED * len(right))]))
+    return temperature, float(min(OVER_GUESSING / logits.shape[1], right[int(WRONGLY_REJECTED * len(right))]))
 
 
 def sample(docs: DataFrame, *, text="text", label="lang", key="doc_id", rows=SAMPLE_ROWS) -> list[tuple[str, str]]:
