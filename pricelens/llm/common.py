@@ -1,7 +1,6 @@
 """What several operators of this package share."""
 
 import functools
-import re
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -9,18 +8,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricelens.session import materialize, scratch_path
 
-__all__ = ["WORD", "batches_of", "materialize", "scratch_path", "table", "text_or_empty", "tokenizer_path"]
+__all__ = ["materialize", "scratch_path"]
 
-# A word is a run of anything but the six ASCII white-space characters.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+def small_batches(spark: SparkSession) -> None:
+    """Have texts sent to Python in batches of 16 MB: a task holds a batch on both sides several times over."""
+    spark.conf.set(BATCH_BYTES, "16m")
 
 
-def text_or_empty(column="text"):
-    return F.coalesce(F.col(column), F.lit(""))
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of a query, whose session gets small batches."""
+    small_batches(spark)
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def tokenizer_path(name: str) -> str:

@@ -30,13 +30,13 @@ def normal(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def with_digest(rows: DataFrame, *, text="text", bytes_too=False) -> DataFrame:
-    """The other columns of `rows`, `digest` (SHA-256 of the normal text, in hexadecimal) and, if asked for, `normal`."""
-    kept = [f for f in rows.schema.fields if f.name != text]
+def with_digest(rows: DataFrame, *, text="text", keep_text=False, bytes_too=False) -> DataFrame:
+    """The other columns of `rows`, `digest` (SHA-256 of the normal text, in hexadecimal) and, if asked for, the text and `normal`."""
+    kept = [f for f in rows.schema.fields if keep_text or f.name != text]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "digest string", *(["normal binary"] if bytes_too else [])])
 
     def run(batches):
-        for batch in batches_of(batches, text, 32 << 20):
+        for batch in batches_of(batches, text, 4 << 20):
             texts = [normal(t) for t in batch.column(text).to_pylist()]
             columns = [batch.column(f.name) for f in kept] + [pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
             if bytes_too:
