@@ -26,11 +26,11 @@ PARTITION_PIECES = 1 << 16
 OPEN_SHARE = 1 / 256
 # Runs of anything but ASCII white space; the tokenizer drops white space and joins nothing across it.
 CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-# Chunks of ASCII and Latin-1 letters only; these the tokenizer's normaliser merely lower-cases.
-PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
-# How the tokenizer of this vocabulary divides such chunks.
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+# Texts of ASCII and Latin-1 letters only; these the tokenizer's normaliser merely lower-cases.
+PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*+")
+# How the tokenizer of this vocabulary divides a text, and the same for plain texts in lower case.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9ß-öø-ÿ]+")
 # Entries of either half of a cache, and the longest key it keeps.
 CACHE_ROWS, CACHE_CHARS = 1 << 19, 64
 
@@ -83,47 +83,43 @@ def _added(path: str):
 
 @once
 def _caches(path: str) -> tuple[Halves, Halves]:
-    return Halves(), Halves(2 * CACHE_ROWS)
+    """Ids of the parts of plain texts, and of the chunks of others."""
+    return Halves(), Halves(CACHE_ROWS // 4)
 
 
 def token_bytes(path: str, texts: list[str], end_id: int) -> list[bytes]:
     """Ids of each text and the end id, as little-endian unsigned 32-bit numbers.
 
-    White space separates tokens and is dropped, so ids are found once per chunk between white space.
+    A plain text is divided here as the tokenizer divides it, and the ids of each part are asked for
+    once. Of other texts the ids are asked for once per chunk between white space, which separates
+    tokens and is dropped.
     """
-    chunks_of, parts_of = _caches(path)
+    parts_of, chunks_of = _caches(path)
+    added, plain = _added(path), _plain(path)
     end = struct.pack("<I", end_id)
-    split = [CHUNK.findall(t) for t in texts]
-    new = chunks_of.missing(set(chain.from_iterable(split)))
-    chunks_of.young.update(_chunk_ids(path, parts_of, new))
-    ids_of = chunks_of.young.__getitem__
-    out = [b"".join(map(ids_of, chunks)) + end for chunks in split]
-    chunks_of.turn(new)
+    simple = [plain and PLAIN.fullmatch(t) is not None and not added.search(t) for t in texts]
+    split = [PARTS.findall(t.lower()) if s else CHUNK.findall(t) for s, t in zip(simple, texts)]
+    new = parts_of.missing(set(chain.from_iterable(x for s, x in zip(simple, split) if s)))
+    parts_of.young.update(_ids_of_words(path, sorted(new)))
+    odd = chunks_of.missing(set(chain.from_iterable(x for s, x in zip(simple, split) if not s)))
+    encode = encoder(path).encode
+    chunks_of.young.update((c, np.array(encode(c, add_special_tokens=False).ids, "<u4").tobytes()) for c in odd)
+    of_part, of_chunk = parts_of.young.__getitem__, chunks_of.young.__getitem__
+    out = [b"".join(map(of_part if s else of_chunk, x)) + end for s, x in zip(simple, split)]
+    parts_of.turn(new)
+    chunks_of.turn(odd)
     return out
 
 
-def _chunk_ids(path: str, parts_of: Halves, chunks: set[str]) -> dict[str, bytes]:
-    found = encoder(path)
-    added, plain = _added(path), _plain(path)
-    divided, out = {}, {}
-    for c in chunks:
-        if plain and PLAIN.fullmatch(c) and not added.search(c):
-            divided[c] = PARTS.findall(c.lower())
-        else:
-            out[c] = np.array(found.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-    new = parts_of.missing(set(chain.from_iterable(divided.values())))
-    listed = sorted(new)
-    for start in range(0, len(listed), 1 << 12):
-        some = listed[start: start + (1 << 12)]
-        # Between spaces, each part is a word of its own to the tokenizer.
-        encoded = found.encode(" ".join(some), add_special_tokens=False)
-        ids, words = np.array(encoded.ids, "<u4").tobytes(), np.array(encoded.word_ids)
-        ends = np.searchsorted(words, np.arange(len(some) + 1)).tolist()
-        parts_of.young.update((p, ids[4 * a: 4 * b]) for p, a, b in zip(some, ends, ends[1:]))
-    ids_of = parts_of.young.__getitem__
-    out.update((c, b"".join(map(ids_of, parts))) for c, parts in divided.items())
-    parts_of.turn(new)
-    return out
+def _ids_of_words(path: str, words: list[str]):
+    """Ids of each part; between spaces, each is a word of its own to the tokenizer."""
+    for start in range(0, len(words), 1 << 12):
+        some = words[start: start + (1 << 12)]
+        encoded = encoder(path).encode(" ".join(some), add_special_tokens=False)
+        ids, numbers = np.array(encoded.ids, "<u4").tobytes(), np.array(encoded.word_ids)
+        ends = np.searchsorted(numbers, np.arange(len(some) + 1)).tolist()
+        for word, a, b in zip(some, ends, ends[1:]):
+            yield word, ids[4 * a: 4 * b]
 
 
 PIECE_COLUMNS = "piece int, start long, length long, ids_crc32 long"
