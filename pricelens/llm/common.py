@@ -15,8 +15,8 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have texts sent to Python in batches of 16 MB: a task holds a batch on both sides several times over."""
-    spark.conf.set(BATCH_BYTES, "16m")
+    """Have texts sent to Python in batches of 4 MB: a task holds a batch on both sides several times over."""
+    spark.conf.set(BATCH_BYTES, "4m")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -50,6 +50,20 @@ def batches_of(batches, column: str, most_bytes: int):
         yield batch.slice(start)
 
 
+def gathered(batches, column: str, bytes_held: int):
+    """Arrow batches put together up to about `bytes_held` of `column`, or cut down to it."""
+    held, size = [], 0
+    for batch in batches_of(batches, column, bytes_held):
+        n = batch.column(column).nbytes
+        if held and size + n > bytes_held:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def carried(rows: DataFrame, text: str, carry):
     """`rows` as `_text` and `_carry_i` for a function over Arrow batches: the frame, and for each of `carry` the
     column it is in (a text that is carried is sent once), with its type."""

@@ -33,7 +33,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-BLOCK = 1 << 22
+BLOCK = 1 << 19
 
 
 def word_buckets(data: bytes):

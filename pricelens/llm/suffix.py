@@ -21,7 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from pricelens.llm.common import batches_of, once
+from pricelens.llm.common import gathered, once
 
 LENGTH, K = 100, 32
 SPAN = LENGTH - K + 1  # K-byte strings in a window
@@ -385,7 +385,7 @@ def routed(rows: DataFrame, routes: int) -> DataFrame:
     """`route, columns, data`: of each batch of `rows` (key, id, text) what goes to each route."""
 
     def run(batches):
-        for batch in batches_of(batches, "text", BATCH_BYTES):
+        for batch in gathered(batches, "text", BATCH_BYTES):
             ids = batch.column("id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in batch.column("text").to_pylist()]
@@ -477,7 +477,7 @@ def dealt_documents(rows: DataFrame, routes: int) -> DataFrame:
     """`route, body`: documents packed with others of their batch and route, as Arrow streams."""
 
     def run(batches):
-        for batch in batches_of(batches, "text", BATCH_BYTES):
+        for batch in gathered(batches, "text", BATCH_BYTES):
             def body(own, batch=batch):
                 sink = pa.BufferOutputStream()
                 part = batch.take(pa.array(own))
