@@ -24,18 +24,18 @@ from pyspark.sql import DataFrame, functions as F
 from pricelens.llm.common import arrow_of, batches_of, carried, renamed, schema_of
 
 # Elements and words in class, id and role that say what a part of a page is.
-BOILER_TAGS = {"nav", "footer", "aside", "form", "header", "menu", "dialog", "button", "fieldset", "label", "figcaption"}
+BOILER_TAGS = {"nav", "footer", "aside", "form", "header", "menu", "dialog", "button", "fieldset", "label"}
 CONTENT_TAGS = {"article", "main"}
 BOILER_NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "banner", "billboard", "breadcrumb",
-    "breadcrumbs", "byline", "comment", "comments", "consent", "contentinfo", "cookie", "cookies", "copyright", "dialog", "discussion", "disqus", "dropdown", "footer",
+    "breadcrumbs", "comment", "comments", "consent", "contentinfo", "cookie", "cookies", "copyright", "dialog", "discussion", "disqus", "dropdown", "footer",
     "form", "gdpr", "header", "legal", "login", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice",
     "notices", "outbrain", "overlay", "pager", "pagination", "popup", "privacy", "promo", "promoted", "promotion", "promotions", "recommended", "related", "replies", "reply", "respond", "search", "share",
     "sharing", "sidebar", "signin", "signup", "skyscraper", "social", "sponsor", "sponsored", "sponsors", "subscribe", "subscription", "taboola", "teaser", "toolbar", "topbar", "widget",
-    "widgets", "alert", "complementary", "disclaimer", "feedback", "rail", "tags", "toc", "trending", "warning",
+    "widgets", "alert", "complementary", "disclaimer", "feedback", "rail", "toc", "trending", "warning",
 }
 CONTENT_NAMES = {"article", "articlebody", "body", "content", "entry", "main", "maincontent", "post", "story", "text"}
-HIDDEN_TAGS = {"script", "style", "noscript", "template", "head", "title", "textarea", "select", "option", "iframe", "svg", "math", "canvas", "audio", "video", "object", "datalist", "noframes", "noembed"}
+HIDDEN_TAGS = {"script", "style", "noscript", "template", "head", "title", "textarea", "select", "option", "iframe", "svg", "canvas", "audio", "video", "object", "datalist", "noframes", "noembed"}
 RAW_TAGS = {"script", "style", "title", "textarea", "iframe", "noframes", "noembed", "xmp"}
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE_TAGS = {
