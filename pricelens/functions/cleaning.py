@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from pricelens import config
-from pricelens.functions.pytext import bind, json_string, list_literal, strip
+from pricelens.functions.pytext import bind, json_string, list_literal, spaced_json, strip
 
 # What a text must look like to be read as a decimal number ('12d' would pass a plain cast).
 _NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
@@ -36,10 +36,24 @@ def simplify(values: Column, plain: bool = False) -> Column:
 
 
 def details_map(details: Column) -> Column:
-    """Details as a map that keeps key order and value types; null when the JSON is bad."""
-    present = F.length(F.coalesce(details, F.lit(""))) > 0
-    parsed = F.from_json(details, "map<string,variant>")
-    return F.when(present, parsed).otherwise(F.from_json(F.lit("{}"), "map<string,variant>"))
+    """Details as a map of key to (text, quoted); null when the JSON is bad.
+
+    The text of a value is as written: numbers keep their digits, objects their key order. `quoted` tells
+    a string from other values. Keys keep the order of their first occurrence, and the last value counts.
+    """
+    given = F.when(F.length(F.coalesce(details, F.lit(""))) > 0, details).otherwise("{}")
+    typed, written = F.from_json(given, "map<string,variant>"), F.from_json(given, "map<string,string>")
+    quoted = F.transform(F.map_values(typed), lambda v: F.schema_of_variant(v) == "STRING")
+    entry = lambda k, text: F.struct(k.alias("key"), text.alias("text"))
+    pairs = F.zip_with(F.map_keys(typed), F.map_values(written), entry)
+    value = lambda pair, q: F.struct(pair["key"].alias("key"), pair["text"].alias("text"), F.coalesce(q, F.lit(False)).alias("quoted"))
+    entries = F.zip_with(pairs, quoted, value)
+    keys = F.array_distinct(F.map_keys(typed))
+    last = lambda k: bind(
+        F.element_at(F.filter(entries, lambda e: e["key"] == k), -1),
+        lambda e: F.struct(e["text"].alias("text"), e["quoted"].alias("quoted")),
+    )
+    return F.map_from_arrays(keys, F.transform(keys, last))
 
 
 def bad_details(details: Column) -> Column:
@@ -47,7 +61,7 @@ def bad_details(details: Column) -> Column:
 
 
 def detail_text(details: Column, key: str) -> Column:
-    return F.try_variant_get(F.try_element_at(details, F.lit(key)), "$", "string")
+    return F.try_element_at(details, F.lit(key))["text"]
 
 
 def drop_noise_keys(details: Column) -> Column:
@@ -55,10 +69,8 @@ def drop_noise_keys(details: Column) -> Column:
 
 
 def details_json(details: Column) -> Column:
-    """The map as JSON text with `, ` and `: ` separators, ASCII only."""
-    value = lambda v: F.when(
-        F.schema_of_variant(v) == "STRING", json_string(F.try_variant_get(v, "$", "string"))
-    ).otherwise(F.to_json(v))
+    """The map as JSON text with `, ` and `: ` separators, inside nested values too, ASCII only."""
+    value = lambda v: F.when(v["quoted"], json_string(v["text"])).otherwise(spaced_json(v["text"]))
     entries = F.transform(
         F.map_entries(details),
         lambda e: F.concat(json_string(e["key"]), F.lit(": "), F.coalesce(value(e["value"]), F.lit("null"))),

@@ -66,6 +66,11 @@ def json_string(text: Column) -> Column:
     body = F.replace(body, F.lit('"'), F.lit('\\"'))
     for char, name in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
         body = F.replace(body, F.lit(char), F.lit("\\" + name))
+    return F.concat(F.lit('"'), bind(body, json_ascii), F.lit('"'))
+
+
+def json_ascii(text: Column) -> Column:
+    """Escapes for all but plain ASCII; characters beyond the BMP become surrogate pairs."""
     unit = lambda code: F.concat(F.lit("\\u"), _hex(code, 4))
     code_escape = lambda code: F.when(code <= 0xFFFF, unit(code)).otherwise(
         F.concat(
@@ -73,8 +78,13 @@ def json_string(text: Column) -> Column:
             unit(F.lit(0xDC00) + (code - 0x10000).bitwiseAND(F.lit(0x3FF))),
         )
     )
-    ascii_only = lambda b: F.when(b.rlike(_NOT_PLAIN_ASCII), _map_chars(b, _NOT_PLAIN_ASCII, code_escape)).otherwise(b)
-    return F.concat(F.lit('"'), bind(body, ascii_only), F.lit('"'))
+    return F.when(text.rlike(_NOT_PLAIN_ASCII), _map_chars(text, _NOT_PLAIN_ASCII, code_escape)).otherwise(text)
+
+
+def spaced_json(text: Column) -> Column:
+    """Compact JSON text with a space behind each `,` and `:` that separates, and in plain ASCII."""
+    tokens = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"|[,:]|[^",:]+'), 0)
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.isin(",", ":"), F.concat(t, F.lit(" "))).otherwise(json_ascii(t))), "")
 
 
 def money(amount: Column) -> Column:

@@ -11,6 +11,7 @@ Copies are handled before the search: of equal index vectors only the k smallest
 the answers (ties go to the smaller id), and equal queries are searched once.
 """
 
+import hashlib
 import math
 
 import numpy as np
@@ -27,7 +28,8 @@ BLOCK_ROWS = 65_536
 SLICE_ROWS = 256
 # Queries compared with a whole block at once.
 SEARCH_ROWS = 64
-MAX_BITS = 13
+# Signatures: tables, bits of each, and bits by which table a group of cells is told from others of the table.
+TABLES, BITS, GROUP_BITS = 6, 10, 4
 HITS = "rep bigint, id bigint, distance double"
 
 
@@ -107,49 +109,57 @@ def _other_cells(pivots, counts, radius):
 
 
 def _block_search(k):
-    """Top k index rows of one block for every query of one block."""
+    """Top k index rows of one block for every query of one block, cell by cell."""
 
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or rows.empty:
-            return pd.DataFrame({"rep": [], "id": [], "distance": []})
-        vectors, ids, out = _stack(rows["embedding"]), rows["id"].to_numpy(), []
-        for at in range(0, len(queries), SEARCH_ROWS):
-            part = queries.iloc[at : at + SEARCH_ROWS]
-            d = np.round(_squared(_stack(part["embedding"]), vectors), 9)
-            edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-            q, i = np.nonzero(d <= edge[:, None])
-            hits = pd.DataFrame({"rep": part["rep"].to_numpy()[q], "id": ids[i], "distance": d[q, i]})
-            out.append(hits.sort_values(["rep", "distance", "id"]).groupby("rep").head(k))
-        return pd.concat(out)
+        held = {cell: part for cell, part in rows.groupby("cell", sort=False)}
+        out = [_search(part, held[cell], k) for cell, part in queries.groupby("cell", sort=False) if cell in held]
+        return pd.concat(out) if out else pd.DataFrame({"rep": [], "id": [], "distance": []})
 
     return run
 
 
+def _search(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    vectors, ids, out = _stack(rows["embedding"]), rows["id"].to_numpy(), []
+    for at in range(0, len(queries), SEARCH_ROWS):
+        part = queries.iloc[at : at + SEARCH_ROWS]
+        d = np.round(_squared(_stack(part["embedding"]), vectors), 9)
+        edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        q, i = np.nonzero(d <= edge[:, None])
+        hits = pd.DataFrame({"rep": part["rep"].to_numpy()[q], "id": ids[i], "distance": d[q, i]})
+        out.append(hits.sort_values(["rep", "distance", "id"]).groupby("rep").head(k))
+    return pd.concat(out)
+
+
 def _top(hits: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("rep").orderBy("distance", "id"))
     return hits.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
-def search_cells(visits: DataFrame, index: DataFrame, k: int) -> DataFrame:
+def search_cells(visits: DataFrame, index: DataFrame, k: int, group_shift: int = 0) -> DataFrame:
     """Top k per query over the cells it visits.
 
     `visits` has rep, embedding and an array of cells; `index` has id, embedding and cell. The number
-    of cells is bounded by construction (pivots or signatures), so the per-cell counts are small.
+    of cells is bounded by construction (pivots or signatures), so the per-cell counts are small. Cells
+    that agree but for their last `group_shift` bits are searched in one task, each on its own.
     """
     spark = visits.sparkSession
-    visitors = visits.select("rep", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("nq"))
-    members = index.groupBy("cell").agg(F.count("*").alias("ni"))
-    blocks = visitors.join(members, "cell").select(
-        "cell", *[F.ceil(F.col(n) / BLOCK_ROWS).cast("int").alias(n) for n in ("nq", "ni")]
+    group = F.shiftright("cell", group_shift).alias("group")
+    visits = visits.select("rep", "embedding", F.explode("cells").alias("cell")).select("*", group)
+    index = index.select("id", "embedding", "cell", group)
+    visitors = visits.groupBy("group").agg(F.count("*").alias("nq"))
+    members = index.groupBy("group").agg(F.count("*").alias("ni"))
+    blocks = visitors.join(members, "group").select(
+        "group", *[F.ceil(F.col(n) / BLOCK_ROWS).cast("int").alias(n) for n in ("nq", "ni")]
     )
     blocks = F.broadcast(spark.createDataFrame(blocks.collect(), blocks.schema))
     parts = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    left = visits.select("rep", "embedding", F.explode("cells").alias("cell")).join(blocks, "cell")
+    left = visits.join(blocks, "group")
     left = left.withColumn("qb", F.pmod(F.xxhash64("rep"), "nq").cast("int")).withColumn("ib", F.explode(parts("ni")))
-    right = index.select("id", "embedding", "cell").join(blocks, "cell")
+    right = index.join(blocks, "group")
     right = right.withColumn("ib", F.pmod(F.xxhash64("id"), "ni").cast("int")).withColumn("qb", F.explode(parts("nq")))
-    keys = ["cell", "qb", "ib"]
-    left, right = left.select(*keys, "rep", "embedding"), right.select(*keys, "id", "embedding")
+    keys = ["group", "qb", "ib"]
+    left, right = left.select(*keys, "cell", "rep", "embedding"), right.select(*keys, "cell", "id", "embedding")
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block_search(k), HITS)
     return hits
 
@@ -200,17 +210,25 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = config.NEIGHBOURS, ex
     return _answers(queries, visits.select("rep", "embedding"), hits, k, exclude_self)
 
 
-def _signatures(planes):
-    """One cell number per table: the table number and the signs of its projections."""
+def sign_planes(tables: int, bits: int, dims: int, seed) -> np.ndarray:
+    """Planes of signs, each from a digest of its place, so that they can be made anew anywhere."""
+    sign = lambda *place: 1.0 if hashlib.md5(":".join(map(str, (seed, *place))).encode()).hexdigest()[0] < "8" else -1.0
+    return np.array([[[sign(t, b, d) for d in range(dims)] for b in range(bits)] for t in range(tables)])
+
+
+def _signatures(planes, probe: bool = False):
+    """Cell numbers of a vector: in each table the signs of its projections; with `probe` also those one sign away."""
     tables, bits, _ = planes.shape
     weights = 1 << np.arange(bits)
+    flips = np.r_[0, weights] if probe else np.zeros(1, dtype=int)
 
     def compute(vectors):
         if vectors.empty:
             return pd.Series([], dtype=object)
         signs = np.einsum("nd,tbd->ntb", _stack(vectors), planes) > 0
-        codes = signs @ weights + (np.arange(tables) << bits)[None, :]
-        return pd.Series(list(codes.astype("int32")))
+        codes = (signs @ weights)[:, :, None] ^ flips[None, None, :]
+        cells = codes + (np.arange(tables) << bits)[None, :, None]
+        return pd.Series(list(cells.reshape(len(cells), -1).astype("int32")))
 
     @F.pandas_udf("array<int>")
     def cells(vectors: pd.Series) -> pd.Series:
@@ -221,23 +239,25 @@ def _signatures(planes):
 
 def nearest_approx(
     queries: DataFrame, index: DataFrame, k: int = config.NEIGHBOURS, exclude_self: bool = False,
-    tables: int = 12, bits: int = None, seed: int = config.SEED,
+    tables: int = TABLES, bits: int = BITS, seed=config.SEED,
 ) -> DataFrame:
-    """Approximate neighbours: random-hyperplane signatures (Charikar 2002) as cells.
+    """Approximate neighbours: hyperplane signatures (Charikar 2002) as cells, probed with their neighbours.
 
-    More bits make cells smaller, more tables raise the recall. By default the bits grow with the
-    index so that a cell holds about 8,000 rows, up to 13 bits (about 100,000 cells in all). The
-    block search is the exact one, so hot signatures are cut into blocks, not dropped.
+    An index row is in one cell of each table; a query visits its own cell and those whose signature
+    differs in one bit. The settings never depend on the number of rows: a neighbour is found with a
+    probability that its angle alone decides, and about tables * (bits + 1) / 2^bits of the index is
+    compared (6 % by default). More bits compare less, more tables find more. The block search is the
+    exact one, so hot signatures are cut into blocks, not dropped.
     """
     wanted = k + 1 if exclude_self else k
     rows = _without_copies(index, wanted)
-    if bits is None:
-        bits = max(4, min(MAX_BITS, round(math.log2(max(index.count(), 1) / 8_192))))
-    dims = len(index.select("embedding").first()["embedding"])
-    sign = _signatures(np.random.default_rng(seed).standard_normal((tables, bits, dims)))
-    celled = materialize(rows.withColumn("cell", F.explode(sign("embedding"))), "signed")
-    visits = materialize(_distinct_queries(queries).withColumn("cells", sign("embedding")), "visits")
-    hits = search_cells(visits, celled, wanted).dropDuplicates(["rep", "id"])
+    some = index.select("embedding").first()
+    if some is None:
+        return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, id bigint, distance double")
+    planes = sign_planes(tables, bits, len(some["embedding"]), seed)
+    celled = materialize(rows.withColumn("cell", F.explode(_signatures(planes)("embedding"))), "signed")
+    visits = materialize(_distinct_queries(queries).withColumn("cells", _signatures(planes, probe=True)("embedding")), "visits")
+    hits = search_cells(visits, celled, wanted, group_shift=max(0, bits - GROUP_BITS)).dropDuplicates(["rep", "id"])
     return _answers(queries, visits.select("rep", "embedding"), _top(hits, wanted), k, exclude_self)
 
 

@@ -185,7 +185,7 @@ def list_literal_(spark, sf):
 
 
 def _entries(details):
-    pairs = F.transform(F.map_entries(details), lambda e: F.concat_ws("=", e["key"], F.try_variant_get(e["value"], "$", "string")))
+    pairs = F.transform(F.map_entries(details), lambda e: F.concat_ws("=", e["key"], e["value"]["text"]))
     return F.array_join(F.array_sort(pairs), ";")
 
 
@@ -470,7 +470,8 @@ def knn_join(spark, sf):
 @query
 def knn_lsh(spark, sf):
     index = views.index_items(spark, sf)
-    return retrieve.nearest_approx(index, index, exclude_self=True)
+    found = retrieve.nearest_approx(index, index, exclude_self=True)
+    return found.select("query_id", "rank", "id", r6("distance"))
 
 
 def _estimates(spark, sf):

@@ -459,6 +459,15 @@ ORACLES = {
     "ensemble_predict": _sql([INDEX, KNN], f"""SELECT query_id, round(0.8::double/0.9*greatest(0.5,least(999.49,guess))
   +0.1::double/0.9*greatest(0.5,least(999.49,{_random('query_id')})),4) AS guess FROM knn_guess"""),
     "predict_table": _sql(_PRED, "SELECT model, ord, title, truth, round(guess,6) AS guess, round(error,6) AS error, color FROM predictions"),
+    "knn_lsh": _sql([INDEX, """
+planes AS (SELECT t, b, list(CASE WHEN substr(md5('42:'||t||':'||b||':'||d),1,1)<'8' THEN 1.0::double ELSE -1.0::double END ORDER BY d) AS p
+  FROM range(6) r1(t), range(10) r2(b), range(64) r3(d) GROUP BY t, b),
+codes AS (SELECT id, t, sum(CASE WHEN list_dot_product(v,p)>0 THEN 1<<b ELSE 0 END)::bigint AS code FROM idx, planes GROUP BY id, t),
+probes AS (SELECT id, t, xor(code, flip) AS code FROM codes, (SELECT 0::bigint AS flip UNION ALL SELECT (1<<b)::bigint FROM range(10) r(b))),
+met AS (SELECT DISTINCT q.id AS query_id, c.id FROM probes q JOIN codes c ON c.t=q.t AND c.code=q.code AND c.id<>q.id),
+far AS (SELECT query_id, m.id, pow(list_distance(q.v,i.v),2) AS distance FROM met m JOIN idx q ON q.id=query_id JOIN idx i ON i.id=m.id),
+lsh AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance,9), id)::int AS rank FROM far QUALIFY rank<=5)"""],
+        "SELECT query_id, rank, id, round(distance,6) AS distance FROM lsh"),
     "evaluate": _sql([*_PRED, LINEAR, f"""
 lin AS (SELECT 'linear' AS model, f3.ord, {_CLIP} AS title, f3.price AS truth, my+k1*r1+k2*r2+k3*r3 AS guess FROM f3 JOIN splits USING (id), c3 WHERE f3.split='test'),
 scored AS (SELECT model, ord, title, truth, guess, error, color FROM predictions UNION ALL

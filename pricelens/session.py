@@ -4,15 +4,14 @@ import functools
 import tempfile
 import uuid
 
-from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app="pricelens", cores=None, **conf):
     """A session with the settings the package is tuned for; any of them can be overridden.
 
-    A master that is configured already, as by spark-submit, stays. Only where there is none, or `cores`
-    asks for it, the session is local.
+    The master is the one that spark-submit or the settings name (Spark's own default is local); only
+    `cores` asks for a local session of so many threads.
     """
     settings = {
         "spark.sql.adaptive.enabled": "true",
@@ -24,8 +23,8 @@ def get_session(app="pricelens", cores=None, **conf):
         **conf,
     }
     builder = SparkSession.builder.appName(app)
-    if cores or not (SparkConf().get("spark.master") or "spark.master" in settings):
-        builder = builder.master(f"local[{cores or '*'}]")
+    if cores:
+        builder = builder.master(f"local[{cores}]")
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -68,7 +68,7 @@ def test_stream_equals_batch_replay(spark, tmp_path):
     write_polls(str(tmp_path / "in"), polls)
     estimate = lambda rows: rows.withColumn("estimate", F.lit(300.0))
     run = lambda: polling.stream_deals(
-        polling.read_polls(spark, str(tmp_path / "in")), str(tmp_path / "memory"), str(tmp_path / "state"), estimate
+        polling.read_polls(spark, str(tmp_path / "in"), 1), str(tmp_path / "memory"), str(tmp_path / "state"), estimate
     ).awaitTermination()
     run()
     got = {(r["batch_id"], r["deal"]["url"], r["discount"]) for r in read_memory(spark, str(tmp_path / "memory")).collect()}
@@ -90,3 +90,28 @@ def test_stream_equals_batch_replay(spark, tmp_path):
     again = polling.poll(batch, read_memory(spark, str(tmp_path / "memory"), but=(run, 0)), estimate)
     remember(deals.as_opportunity(again), str(tmp_path / "memory"), 0, run)
     assert read_memory(spark, str(tmp_path / "memory")).count() == 2
+
+
+def test_a_new_stream_still_knows_older_alerts(spark, tmp_path):
+    """Ids of polls start again with a new checkpoint; nothing that was alerted is hidden, sent again or replaced."""
+    rows = [("x" * n, 10.0, f"u{n}", "c") for n in range(1, 4)]
+    write_polls(str(tmp_path / "polls"), [rows])
+    estimate = lambda frame: frame.withColumn("estimate", F.lit(100.0) + F.length("product_description"))
+    for turn in range(3):
+        running = polling.stream_deals(
+            polling.read_polls(spark, str(tmp_path / "polls")), str(tmp_path / "memory"), str(tmp_path / f"check{turn}"), estimate
+        )
+        running.awaitTermination()
+    got = [r["deal"]["url"] for r in read_memory(spark, str(tmp_path / "memory")).collect()]
+    assert sorted(got) == ["u1", "u2", "u3"]
+
+
+def test_a_poll_takes_all_files(spark, tmp_path):
+    write_polls(str(tmp_path / "polls"), [[("x", 1.0, f"u{n}", "c")] for n in range(3)])
+    seen = []
+    reader = polling.read_polls(spark, str(tmp_path / "polls"))
+    running = reader.writeStream.foreachBatch(lambda batch, i: seen.append(batch.count())).option(
+        "checkpointLocation", str(tmp_path / "check")
+    ).trigger(availableNow=True).start()
+    running.awaitTermination()
+    assert seen == [3]

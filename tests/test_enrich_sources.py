@@ -181,3 +181,56 @@ def test_hot_content_key_is_split_in_the_join(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_text_instead_of_a_list_stays_a_text(spark, tmp_path):
+    words = "It's a plain text of some length. " * 30
+    rows = [
+        {"title": "a", "price": "5", "description": words, "features": ["one", "two"], "details": "{}"},
+        {"title": "b", "price": "5", "description": [words], "features": "", "details": "{}"},
+        {"title": "c", "price": "5", "description": ["[" + words], "features": None, "details": "{}"},
+    ]
+    (tmp_path / "meta_Appliances.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    full = {r["title"]: r["full"] for r in products.read_products(spark, str(tmp_path)).collect()}
+    assert full["a"].startswith("a\n" + words.strip() + "\n['one', 'two']")
+    assert full["b"].startswith("b\n[") and full["b"].count("\n") == 1
+    assert full["c"].startswith("c\n[") and len(full) == 3
+
+
+def test_a_batch_is_one_file_in_order(spark, tmp_path):
+    many = order.ordinal_by_id(spark.range(0, 250, 1, 7).select("id", F.lit("x").alias("full"))).repartition(5)
+    files.write_batch_requests(files.batch_requests(many, 100), str(tmp_path / "r"))
+    for folder, low, high in (("0_100", 0, 100), ("100_200", 100, 200), ("200_250", 200, 250)):
+        parts = list((tmp_path / "r" / f"file={folder}.jsonl").glob("part-*"))
+        assert len(parts) == 1
+        assert [int(json.loads(x)["custom_id"]) for x in parts[0].read_text().splitlines()] == list(range(low, high))
+
+
+def test_rewriting_runs_in_parallel_and_keeps_finished_waves(spark, tmp_path):
+    import os
+
+    from pyspark import TaskContext
+
+    rows = spark.createDataFrame([(i, f"text {i}", None) for i in range(80)], "id bigint, full string, summary string")
+    told = enrich.map_with_checkpoint(rows, lambda t: str(TaskContext.get().partitionId()), str(tmp_path / "p"), waves=1)
+    assert told.select("summary").distinct().count() >= 6
+
+    store, broken = str(tmp_path / "s"), tmp_path / "broken"
+    broken.write_text("")
+
+    def fragile(text):
+        if text == "text 7" and broken.exists():
+            os._exit(1)
+        return "first" if broken.exists() else "second"
+
+    try:
+        enrich.map_with_checkpoint(rows, fragile, store, waves=4)
+        raise AssertionError("the broken run should end")
+    except Exception as error:
+        assert "broken run" not in str(error)
+    broken.unlink()
+    out = [r["summary"] for r in enrich.map_with_checkpoint(rows, fragile, store, waves=4, run=1).collect()]
+    assert len(out) == 80 and set(out) <= {"first", "second"} and "second" in out
+    wave = rows.where(F.pmod(F.xxhash64(prompts.content_key(F.col("full"))), F.lit(4)) == 0).count()
+    hit = rows.where("full = 'text 7'").select(F.pmod(F.xxhash64(prompts.content_key(F.col("full"))), F.lit(4))).first()[0]
+    assert out.count("first") >= (wave if hit > 0 else 0)

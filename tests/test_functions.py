@@ -64,6 +64,15 @@ def test_details(one):
     text = '{"Brand": "Ünï", "Part Number": "X1", "n": 5, "ok": true, "none": null}'
     clean = cleaning.drop_noise_keys(cleaning.details_map(a))
     assert one(cleaning.details_json(clean), a=text) == '{"Brand": "\\u00dcn\\u00ef", "n": 5, "ok": true, "none": null}'
+    import json
+
+    text = '{"z": 5.0, "a": {"y": [1, 2.50, "p, q: r"], "b": "é"}, "z": "last", "e": {}, "f": [], "big": 1e5}'
+    assert one(cleaning.details_json(clean), a=text).startswith('{"z": "last", "a": {"y": [1, 2.5')
+    assert json.loads(one(cleaning.details_json(clean), a=text)) == json.loads(text)
+    flat = '{"w": 5.0, "n": -3, "t": "5.0", "o": {"k": 1, "a": 2}}'
+    assert one(cleaning.details_json(clean), a=flat) == json.dumps(json.loads(flat))
+    twice = '{"Item Weight": "1 pounds", "Item Weight": "3 pounds"}'
+    assert one(cleaning.weight_pounds(cleaning.detail_text(cleaning.details_map(a), "Item Weight")), a=twice) == 3.0
     assert one(cleaning.bad_details(a), a="{bad") is True
     assert one(cleaning.bad_details(a), a="") is False
 
@@ -133,6 +142,10 @@ def test_metrics_text(one):
 def test_markup(one):
     html = '<div class="snippet summary"><b>Good</b> <i>deal</i> &amp; more</div>'
     assert one(markup.clean_html(a), a=html) == "Good deal & more"
+    nested = '<p>x</p><div class="snippet summary"><div>in &eacute;&#8364;</div> after &amp;lt;i&amp;gt; <script>no()</script><br>end</div> out'
+    assert one(markup.clean_html(a), a=nested) == "in é€ after  end"
+    assert one(markup.clean_html(a), a='<div class="summary">a</div>\nb') == '<div class="summary">a</div> b'
+    assert one(markup.page_section(a), a='<article id="m">a<article>b</article>c</article>d') == "abc"
     assert one(markup.clean_html(a), a="plain\ntext") == "plain text"
     assert one(markup.page_section(a), a="<article><p>a</p>b</article>") == "ab"
     assert one(markup.page_section(a), a="<p>none</p>") == ""

@@ -46,11 +46,31 @@ def test_fewer_rows_than_neighbours(spark):
     assert got(retrieve.nearest(frame, frame, 5)) == {0: [0, 1, 2], 1: [1, 0, 2], 2: [2, 1, 0]}
 
 
-def test_lsh_recall(spark):
-    frame = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    exact, approx = got(retrieve.nearest(frame, frame, 5, True)), got(retrieve.nearest_approx(frame, frame, 5, True))
+def compared_share(values, planes):
+    """Share of the index that a query meets in its own and its neighbouring cells."""
+    tables, bits, _ = planes.shape
+    codes = (np.einsum("nd,tbd->ntb", values, planes) > 0) @ (1 << np.arange(bits))
+    near = np.bitwise_count((codes[:, None, :] ^ codes[None, :, :]).astype(np.uint64)) <= 1
+    return near.any(axis=2).mean()
+
+
+def test_lsh_recall_with_the_settings_for_large_indexes(spark):
+    """Planted clusters: most neighbours are found, and little of the index is looked at."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((120, 64))
+    values = centres[rng.integers(0, 120, 1500)] + 0.35 * rng.standard_normal((1500, 64))
+    frame = vectors(spark, values)
+    pairs = list(enumerate(values))
+    exact, approx = brute(pairs, pairs, 5, True), got(retrieve.nearest_approx(frame, frame, 5, True))
     hits = sum(len(set(exact[q]) & set(approx.get(q, []))) for q in exact)
+    planes = retrieve.sign_planes(retrieve.TABLES, retrieve.BITS, 64, 42)
     assert hits / (5 * len(exact)) >= 0.8
+    assert compared_share(values, planes) < 0.1
+
+
+def test_lsh_of_nothing(spark):
+    frame = vectors(spark, [[1.0, 0.0]])
+    assert retrieve.nearest_approx(frame, frame.where("false")).count() == 0
 
 
 def test_search_plan_has_no_cross_join(spark):
