@@ -32,6 +32,11 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def bounded(frame: DataFrame, rows: int) -> DataFrame:
+    """`frame` for one side of a join: broadcast if its rows, counted first, are no more than `rows`; else left to be shuffled."""
+    return F.broadcast(frame) if frame.count() <= rows else frame
+
+
 def batches_of(batches, column: str, most_bytes: int):
     """Arrow batches cut so that `column` (strings or binaries) holds at most `most_bytes`, or one row."""
     for batch in batches:

@@ -13,7 +13,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricelens.llm.common import batches_of, materialize, scratch_path
+from pricelens.llm.common import batches_of, bounded, materialize, scratch_path
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
@@ -21,6 +21,8 @@ STATE_CONF = {
     # Else each of the many stores sets aside some megabytes for its logs before it holds a row.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+# Digests (of about 100 bytes) sent to every task when rows are picked by them; more are joined by a shuffle.
+BROADCAST_DIGESTS = 200_000
 # Files of a micro-batch: bounds what a failed batch repeats.
 FILES_PER_BATCH = 10_000
 
@@ -59,13 +61,15 @@ def arrivals(spark: SparkSession, path: str, *, text="text", key="doc_id", files
 def classes(stream: DataFrame, name="exact") -> DataFrame:
     """Run the stream over all that has arrived; `digest, keep_id, file, n` of every digest.
 
+    The stream has `id, file` and `text`, or `digest` where that is known already.
+
     The state outlives the micro-batches. Each writes the digests that it has changed into a folder of
     its own, so a repeated batch replaces its own rows; the row with the most arrivals is the last.
     """
     spark = stream.sparkSession
     base = scratch_path(spark, name)
     last = F.max(F.struct("id", "file")).alias("last")
-    state = with_digest(stream).groupBy("digest").agg(last, F.count(F.lit(1)).alias("n"))
+    state = (stream if "digest" in stream.columns else with_digest(stream)).groupBy("digest").agg(last, F.count(F.lit(1)).alias("n"))
 
     def put(changed, batch_id):
         changed.select("digest", "last.id", "last.file", "n").write.mode("overwrite").parquet(f"{base}/classes/batch={batch_id}")
@@ -93,11 +97,10 @@ def classes(stream: DataFrame, name="exact") -> DataFrame:
 def differing(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Digests hit more than once whose texts are not all the same bytes.
 
-    Least and greatest bytes of a class are equal just if every text equals the located one. The join
-    leaves rows in digest order, so the comparison needs no sort of its own; a hot class is split by
-    the adaptive join, and each part sends on two texts.
+    Least and greatest bytes of a class are equal just if every text equals the located one. Of a class,
+    however hot, each task sends on two texts. Few hit digests are broadcast, so that no other text moves.
     """
-    hits = known.where("n > 1").select("digest")
+    hits = bounded(known.where("n > 1").select("digest"), BROADCAST_DIGESTS)
     texts = with_digest(docs, bytes_too=True).join(hits, "digest")
     return texts.groupBy("digest").agg(F.min("normal").alias("least"), F.max("normal").alias("most")).where("least <> most").select("digest")
 

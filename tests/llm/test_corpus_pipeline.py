@@ -56,7 +56,11 @@ def test_stage_edges(spark, small, hard, none, name, tmp_path):
     assert spark.read.parquet(str(tmp_path / "1")).count() == 0
 
 
-def test_stage_decisions(spark, small, hard):
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_stage_decisions(spark, small, hard, most, monkeypatch):
+    """With dropped documents broadcast, and joined by a shuffle."""
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", most)
+    monkeypatch.setattr(corpus_pipeline.exact, "BROADCAST_DIGESTS", most)
     kept = lambda name, docs: sorted(r.doc_id for r in STAGES[name](spark, docs, small).where("doc_id is not null").collect())
     rows = [(i, prose(i, lang), lang) for i, lang in enumerate(["en", "fr", "de"] * 20)] + [(100, None, "en"), (101, "12 !", "de")]
     assert kept("language_id", documents(spark, rows)) == list(range(60))
