@@ -32,7 +32,7 @@ PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*+")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9ß-öø-ÿ]+")
 # Entries of either half of a cache, and the longest key it keeps.
-CACHE_ROWS, CACHE_CHARS = 1 << 19, 64
+CACHE_ROWS, CACHE_CHARS = 1 << 18, 64
 
 
 class Halves:
@@ -84,7 +84,7 @@ def _added(path: str):
 @once
 def _caches(path: str) -> tuple[Halves, Halves]:
     """Ids of the parts of plain texts, and of the chunks of others."""
-    return Halves(), Halves(CACHE_ROWS // 4)
+    return Halves(), Halves(CACHE_ROWS // 8)
 
 
 def token_bytes(path: str, texts: list[str], end_id: int) -> list[bytes]:
