@@ -2,15 +2,18 @@
 
 from pyspark.sql import types as T
 
-# Raw product line. `price` and `details` arrive as text or as JSON values; both are read as text.
-# `description` and `features` arrive as a list of texts or as one text.
+# Raw product. `price` and `details` arrive as text or as JSON values; both are read as text.
 RAW = T.StructType([
     T.StructField("title", T.StringType()),
     T.StructField("price", T.StringType()),
-    T.StructField("description", T.VariantType()),
-    T.StructField("features", T.VariantType()),
+    T.StructField("description", T.ArrayType(T.StringType())),
+    T.StructField("features", T.ArrayType(T.StringType())),
     T.StructField("details", T.StringType()),
 ])
+# The same as it is read from a line: `description` and `features` are a list of texts or one text.
+RAW_LINE = T.StructType([
+    T.StructField(f.name, T.VariantType() if f.name in ("description", "features") else f.dataType) for f in RAW.fields
+])
 
 ITEM = T.StructType([
     T.StructField("id", T.LongType()),

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricelens import config
 from pricelens.operators.curate import parse_items
-from pricelens.schemas import RAW
+from pricelens.schemas import RAW_LINE
 from pricelens.sources.tables import read_table
 
 # `meta_Toys.jsonl`, `meta_Toys.jsonl.gz` or a folder `meta=Toys`
@@ -22,7 +22,7 @@ def read_raw(spark: SparkSession, *paths: str, partitions: int = 0) -> DataFrame
     lines = lines.where(F.trim("value") != "")
     if partitions:
         lines = lines.repartition(partitions)
-    row = F.from_json("value", RAW)
+    row = F.from_json("value", RAW_LINE)
     rows = lines.select(F.xxhash64("category", "value").alias("id"), "category", row.alias("r")).select("id", "category", "r.*")
     # A list becomes an array; a single text stays apart from it, since it isn't shown as a list.
     texts = ("description", "features")
