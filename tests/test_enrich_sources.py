@@ -96,7 +96,7 @@ def test_memory_replay_and_trim(spark, tmp_path):
     assert memory.read_memory(spark, path + "-compact").count() == 4
     memory.remember(row("y"), path + "-compact", 0, "0")
     assert memory.read_memory(spark, path + "-compact").count() == 5
-    assert [r["deal"]["url"] for r in memory.trim_memory(memory.read_memory(spark, path)).collect()] == ["a", "b"]
+    assert [r["deal"]["url"] for r in memory.trim_memory(memory.read_memory(spark, path)).collect()] == ["a", "z"]
 
 
 def test_rewriting_resumes(spark, tmp_path):
