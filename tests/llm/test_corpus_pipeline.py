@@ -1,5 +1,7 @@
 """The pipeline stage by stage, and the contract of the queries."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pricelens.llm.oracle import ORACLES
 from pricelens.llm.queries import MIXTURE, QUERIES, domains, held_out
 from tools.compare import compare, duck
 
-from .conftest import documents, prose
+from .conftest import WORDS, documents, prose
 from .test_dedup_operators import fingerprint_truth, linked
 from .test_pages_and_packing import check_packing
 
@@ -71,6 +73,43 @@ def test_stage_decisions(spark, small, hard, most, monkeypatch):
     assert kept("simhash_dedup", documents(spark, near)) == [1, 3]
 
 
+def shingle_truth(text):
+    words = text.lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def planted_near_copies(count=150):
+    """Texts, and copies with some words replaced: rows, and the Jaccard similarity of each copy to its text."""
+    r = random.Random(12)
+    words = [f"{a}{b}" for a in WORDS["en"] for b in WORDS["de"]]
+    rows, alike = [], {}
+    for i in range(count):
+        text = r.choices(words, k=r.randint(150, 400))
+        copy = list(text)
+        for at in r.sample(range(len(copy)), r.randint(1, max(1, len(copy) // 30))):
+            copy[at] = r.choice(words)
+        rows += [(2 * i, " ".join(text), "en"), (2 * i + 1, " ".join(copy), "en")]
+        a, b = shingle_truth(rows[-2][1]), shingle_truth(rows[-1][1])
+        alike[2 * i + 1] = len(a & b) / len(a | b)
+    return rows, alike
+
+
+def test_near_copies_of_similarity_08_are_dropped(spark, small):
+    rows, alike = planted_near_copies()
+    kept = {r.doc_id for r in STAGES["simhash_dedup"](spark, documents(spark, rows), small).collect()}
+    assert sum(0.8 <= s < 0.9 for s in alike.values()) > 30 and sum(s < 0.8 for s in alike.values()) > 10
+    near = [i for i, s in alike.items() if s >= 0.8]
+    assert len([i for i in near if i not in kept]) >= 0.99 * len(near)
+    assert kept >= {i for i, _, _ in rows if i % 2 == 0} | {i for i, s in alike.items() if s < 0.8}
+
+
+def test_a_large_group_of_near_copies(spark, small):
+    """More than a bucket compares in pairs."""
+    base = prose(4, sentences=60).split()
+    rows = [(i, " ".join(base[:i] + [f"new{i}"] + base[i + 1:]), "en") for i in range(150)]
+    assert [r.doc_id for r in STAGES["simhash_dedup"](spark, documents(spark, rows), small).collect()] == [0]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_match_sql(spark, small, name):
     ok, message = compare(spark, duck(small), small, QUERIES[name], ORACLES[name])
