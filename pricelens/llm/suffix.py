@@ -43,7 +43,23 @@ def segments(codes, ends):
     """Runs of windows with one representative: start of each, number of windows, hash of the representative.
 
     `codes` are the bytes of documents one after another, `ends` where each ends. No window crosses an end.
+    A place has PLACE_BITS, so longer bytes are taken in blocks that overlap by all but one byte of a window:
+    each window is in one block.
     """
+    ends = np.asarray(ends, np.int64)
+    size = 1 << int(PLACE_BITS)
+    if len(codes) <= size:
+        return _block_segments(codes, ends)
+    parts = []
+    for low in range(0, len(codes) - LENGTH + 1, size - LENGTH + 1):
+        high = min(low + size, len(codes))
+        inside = ends[(ends > low) & (ends < high)]
+        starts, windows, h = _block_segments(codes[low:high], np.r_[inside, high] - low)
+        parts.append((starts + low, windows, h))
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def _block_segments(codes, ends):
     count = len(codes) - LENGTH + 1
     if count <= 0:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)

@@ -119,6 +119,35 @@ def test_suffix_small_batches_and_merged_shards(spark, monkeypatch):
         assert suffix.cut(t, np.array(spans.get(d, [])))[2] == bytes(np.frombuffer(t, np.uint8)[~gone])
 
 
+def test_suffix_of_texts_longer_than_a_place_holds(spark, monkeypatch):
+    """Passages beyond the places that a ranked hash can hold meet those of other texts."""
+    r = random.Random(8)
+    rnd = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passages = [rnd(r.randint(100, 300)) for _ in range(12)]
+    long = "".join(rnd(r.randint(50, 300)) + p for p in passages)
+    texts = [t.encode() for t in [*(rnd(40) + p + rnd(40) for p in passages), long, rnd(900) + long[700:2500], *tangled(3, 20)]]
+    ends = np.cumsum([len(t) for t in texts])
+    whole = np.frombuffer(b"".join(texts), np.uint8)
+    of_window = lambda found: {int(s) + i: int(h) for s, n, h in zip(*found) for i in range(n)}
+    truth = of_window(suffix.segments(whole, ends))
+    docs = list(enumerate(texts))
+    for bits in (9, 10):
+        monkeypatch.setattr(suffix, "PLACE_BITS", np.uint64(bits))
+        found = of_window(suffix.segments(whole, ends))
+        assert found.keys() == truth.keys()
+        by_window = {}
+        for at, h in found.items():
+            assert by_window.setdefault(whole[at:at + suffix.LENGTH].tobytes(), h) == h
+        columns, codes, begins, spans = suffix.batch_segments(np.arange(len(texts)), np.arange(len(texts)), texts)
+        columns["group"] = columns.pop("hash").astype(np.uint32)
+        data = suffix.gather(codes, begins, columns["windows"] + suffix.LENGTH - 1)
+        gone = {}
+        for k, a, b in zip(*suffix.settle_route([(suffix.packed_columns(columns, spans), suffix.packed(data.tobytes()))])):
+            gone.setdefault(int(k), []).append((a, b))
+        for (d, t), truly in zip(docs, covered(docs)):
+            assert suffix.cut(t, np.array(gone.get(d, [])))[2] == bytes(np.frombuffer(t, np.uint8)[~truly])
+
+
 def test_suffix_array_and_prefixes():
     for seed in range(5):
         codes = np.random.default_rng(seed).integers(97, 99 + seed, 400).astype(np.uint8)
