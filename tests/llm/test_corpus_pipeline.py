@@ -103,6 +103,34 @@ def test_near_copies_of_similarity_08_are_dropped(spark, small):
     assert kept >= {i for i, _, _ in rows if i % 2 == 0} | {i for i, s in alike.items() if s < 0.8}
 
 
+@pytest.mark.parametrize("name", ["exact_dedup", "simhash_dedup"])
+def test_stages_decide_by_row(spark, small, name):
+    """Rows that are repeated, and a doc_id of two texts of which one is a copy of another document's."""
+    long = prose(1, sentences=200)
+    copy = long if name == "exact_dedup" else long + " end"
+    kept = (20, long) if name == "exact_dedup" else (1, copy)
+    rows = [(1, copy, "en"), (20, long, "en"), (20, long, "en"), (1, prose(2, sentences=50), "en"), (7, prose(3), "en"), (7, prose(3), "en"),
+            (None, prose(5), "en"), (None, prose(5), "en"), (1, copy, "en")]
+    docs = documents(spark, rows)
+    out = STAGES[name](spark, docs, small)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([kept, (1, prose(2, sentences=50)), (7, prose(3)), (None, prose(5))], key=str)
+
+
+def test_near_stage_against_all_pairs(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = sorted((r.doc_id, shingle_truth(r.text)) for r in docs.collect())
+    part = {i: i for i, _ in rows}
+    for a, x in rows:
+        for b, y in rows:
+            if a < b and len(x & y) >= 0.8 * len(x | y):
+                low, high = sorted((part[a], part[b]))
+                part = {i: low if c == high else c for i, c in part.items()}
+    kept = sorted(r.doc_id for r in STAGES["simhash_dedup"](spark, docs, small).collect())
+    assert kept == [i for i, c in part.items() if i == c]
+
+
 def test_a_large_group_of_near_copies(spark, small):
     """More than a bucket compares in pairs."""
     base = prose(4, sentences=60).split()
