@@ -7,7 +7,10 @@ everything behind the lookup is linear, the two matrices are multiplied once and
 gather and a sum.
 
 The softmax is sharpened by a temperature and gets a rejection threshold, both fitted on sample
-rows that training has not seen.
+rows that training has not seen. A text of two languages gets a low probability too, so a text is
+rejected only if its evidence is low as well: the mean over its subwords of their highest logit,
+whichever language that speaks for. Languages differ in it, so each has a threshold, fitted on held-back
+rows and on mixtures of them that are taken for it.
 """
 
 from dataclasses import dataclass
@@ -22,9 +25,11 @@ BUCKETS, DIMENSIONS, SIZES = 1 << 15, 16, (1, 2, 3, 4)
 # Bounds of the training sample: rows of each language, and characters of a row.
 SAMPLE_ROWS, SAMPLE_CHARS = 600, 1 << 16
 EPOCHS, RATE, SEED = 8, 4.0, 20240
-# Rejection: the share of rightly predicted calibration rows that may fall below the threshold, and the
-# threshold's highest value as a multiple of guessing. Real texts, also mixed ones, stay well above it.
-WRONGLY_REJECTED, OVER_GUESSING = 0.001, 1.3
+# Rejection needs both: the share of rightly predicted calibration rows that may fall below the threshold of
+# the probability, and below that of the evidence.
+WRONGLY_REJECTED, LITTLE_EVIDENCE = 0.001, 0.01
+# Mixtures of each calibration row with others.
+MIXTURES = 4
 UNDETERMINED = "und"
 # Characters handled at once; longer texts are summed up over blocks that overlap by a subword.
 BLOCK = 1 << 18
@@ -70,9 +75,10 @@ def subwords(codes) -> list:
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # (BUCKETS + 1, languages + 1): logits of each subword, and 1; the last row is 0
+    weights: np.ndarray  # (BUCKETS + 1, languages + 2): logits of each subword, the highest of them, and 1; the last row is 0
     temperature: float
     threshold: float
+    evidence: np.ndarray | None = None  # threshold of each language
 
     def totals(self, texts: list[str]):
         """Summed logits and the number of subwords of each text."""
@@ -113,13 +119,20 @@ class Model:
 
     def predict(self, texts: list[str]):
         """Index of the language and its calibrated probability; -1 and 0 where no letter is."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str]):
+        """What `predict` gives, and whether each text is rejected."""
         totals = self.totals(texts)
         count = totals[:, -1]
-        logits = totals[:, :-1] / np.maximum(count, 1)[:, None] * self.temperature
+        means = totals[:, :-1] / np.maximum(count, 1)[:, None]
+        logits = means[:, :-1] * self.temperature
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
-        return np.where(count > 0, best, -1), np.where(count > 0, p[np.arange(len(p)), best], 0.0)
+        score = np.where(count > 0, p[np.arange(len(p)), best], 0.0)
+        unlike = (score < self.threshold) & (means[:, -1] < self.evidence[best])
+        return np.where(count > 0, best, -1), score, (count == 0) | unlike
 
 
 def train(texts: list[str], languages: list[str], seed=SEED) -> Model:
@@ -127,7 +140,7 @@ def train(texts: list[str], languages: list[str], seed=SEED) -> Model:
     rows = sorted(zip(languages, texts))
     names = sorted({lang for lang, _ in rows})
     if not names:
-        return Model([], np.zeros((BUCKETS + 1, 1), np.float32), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS + 1, 2), np.float32), 1.0, 0.0)
     bags, own = [], []
     for lang, text in rows:
         found = subwords(np.append(points(text), SPACE))
@@ -151,13 +164,14 @@ def train(texts: list[str], languages: list[str], seed=SEED) -> Model:
             back = output @ wrong
             output -= rate * 0.1 * np.outer(hidden, wrong)
             embeddings[buckets] -= rate * share[:, None] * back[None, :]
-    weights = np.zeros((BUCKETS + 1, len(names) + 1), np.float32)
-    weights[:-1, :-1] = embeddings @ output
+    weights = np.zeros((BUCKETS + 1, len(names) + 2), np.float32)
+    weights[:-1, :-2] = embeddings @ output
+    weights[:-1, -2] = weights[:-1, :-2].max(axis=1)
     weights[:-1, -1] = 1
     held_back = [i for i in np.flatnonzero(calibrates)] or list(learns)
-    logits = np.array([bags[i][1] @ weights[bags[i][0], :-1] for i in held_back])
-    truth = np.array([own[i] for i in held_back])
-    return Model(names, weights, *_calibrate(logits, truth))
+    means = np.array([bags[i][1] @ weights[bags[i][0], :-1] for i in held_back]).reshape(-1, len(names) + 1)
+    truth = np.array([own[i] for i in held_back], int)
+    return Model(names, weights, *_calibrate(means[:, :-1], truth, means[:, -1]))
 
 
 def _softmax(x):
@@ -165,16 +179,24 @@ def _softmax(x):
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _calibrate(logits, truth):
-    """Temperature of the least cross-entropy, and the threshold below which predictions are rejected."""
+def _calibrate(logits, truth, evidence):
+    """Temperature of the least cross-entropy, and the probability and evidence below which predictions are rejected."""
     rows = np.arange(len(truth))
     loss = lambda t: -np.log(_softmax(logits * t)[rows, truth] + 1e-12).mean()
     temperature = float(min(np.geomspace(0.25, 16, 49), key=loss))
     p = _softmax(logits * temperature)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
-    if not len(right):
-        return temperature, 0.0
-    return temperature, float(min(OVER_GUESSING / logits.shape[1], right[int(WRONGLY_REJECTED * len(right))]))
+    right = p.argmax(axis=1) == truth
+    if not right.any():
+        return temperature, 0.0, np.zeros(logits.shape[1])
+    score = np.sort(p.max(axis=1)[right])
+    # Half of one row and half of another of a different language.
+    one, other = np.tile(rows, MIXTURES), np.concatenate([np.random.default_rng(SEED + i).permutation(len(rows)) for i in range(MIXTURES)])
+    one, other = (x[truth[one] != truth[other]] for x in (one, other))
+    taken_for = np.r_[truth[right], (logits[one] + logits[other]).argmax(axis=1)]
+    evidence = np.r_[evidence[right], (evidence[one] + evidence[other]) / 2]
+    of_language = [np.sort(evidence[taken_for == k]) for k in range(logits.shape[1])]
+    least = [float(e[int(LITTLE_EVIDENCE * len(e))]) if len(e) else 0.0 for e in of_language]
+    return temperature, float(score[int(WRONGLY_REJECTED * len(score))]), np.array(least)
 
 
 def sample(docs: DataFrame, *, text="text", label="lang", key="doc_id", rows=SAMPLE_ROWS) -> list[tuple[str, str]]:
@@ -213,8 +235,8 @@ def identify(docs: DataFrame, model: Model, *, text="text", key="doc_id", carry=
     """`key`, the columns `carry`, and `lang_pred, score, rejected`, row by row on the map side.
 
     `und` with score 0 stands for null or letterless texts, and for all if the model knows no
-    language; these are rejected, as are predictions with less calibrated probability than the
-    threshold. Texts are read whole, however long. Repeated rows are predicted each.
+    language; these are rejected, as are predictions with both less calibrated probability and less
+    evidence than the thresholds. Texts are read whole, however long. Repeated rows are predicted each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows, held = carried(docs, text, (key, *[c for c in carry if c != key]))
@@ -223,12 +245,11 @@ def identify(docs: DataFrame, model: Model, *, text="text", key="doc_id", carry=
         known = shared.value
         for batch in batches_of(batches, "_text", 8 << 20):
             if known.languages:
-                best, score = known.predict([t or "" for t in batch.column("_text").to_pylist()])
+                best, score, rejected = known.judge([t or "" for t in batch.column("_text").to_pylist()])
             else:
-                best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
+                best, score, rejected = np.full(batch.num_rows, -1), np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
             names = pa.array([known.languages[b] if b >= 0 else UNDETERMINED for b in best], pa.string())
-            rejected = pa.array((best < 0) | (score < known.threshold))
-            yield arrow_of(batch, held, {"lang_pred": names, "score": pa.array(np.round(score, 6)), "rejected": rejected})
+            yield arrow_of(batch, held, {"lang_pred": names, "score": pa.array(np.round(score, 6)), "rejected": pa.array(rejected)})
 
     out = rows.mapInArrow(run, schema_of(held, "lang_pred string, score double, rejected boolean"))
     return renamed(out, held, "lang_pred", "score", "rejected")

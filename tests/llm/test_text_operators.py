@@ -120,6 +120,22 @@ def test_language_calibration_rejects_what_is_unlike_all():
     assert score[0] > 0.8 and score[0] > score[1]
 
 
+@pytest.mark.parametrize("unseen, least", [("es", 0.9), ("fr", 0.9), ("de", 0.65)])
+def test_language_left_out_of_the_labels_is_rejected(spark, unseen, least):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = docs.where(F.col("lang") != unseen)
+    model = language.fit(known.where("doc_id % 4 <> 1"))
+    rate = lambda rows: language.identify(rows, model).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    assert rate(docs.where(F.col("lang") == unseen)) > least
+    held_back = known.where("doc_id % 4 = 1")
+    assert rate(held_back) < 0.02
+    # Texts of two known languages stay.
+    pair = ["en", "es" if unseen == "de" else "de"]
+    first, second = ([r.text for r in held_back.where(F.col("lang") == k).orderBy("doc_id").collect()] for k in pair)
+    mixed = [f"{a[:n]} {b[:n]}" for a, b in zip(first, second) for n in [min(len(a), len(b))]]
+    assert rate(documents(spark, [(i, t, None) for i, t in enumerate(mixed)])) < 0.05
+
+
 def test_held_out_rows_are_the_contracts(spark, small):
     from pricelens.llm.queries import op3_language_id
 
