@@ -96,5 +96,17 @@ SELECT page_id, host, path,
     coalesce((SELECT arg_max(verdict, length(host_rule || path_rule)) FROM rules
      WHERE (host = host_rule OR ends_with(host, '.' || host_rule)) AND starts_with(path, path_rule)), 'allow') AS verdict
 FROM parts
+""",
+    "op13_line_dedup": r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM split),
+keyed AS (
+    SELECT *, translate(regexp_replace(line, '^[\t-\r ]+|[\t-\r ]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+    FROM lines),
+shared AS (SELECT k, max(doc_id) AS holder FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+judged AS (SELECT doc_id, line, pos, holder IS NOT NULL AND doc_id <> holder AS dropped FROM keyed LEFT JOIN shared USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
 """,
 }

@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from pricelens.llm import exact, language, mixing, packing, pages, quality, simhash, suffix, tokens, urls
+from pricelens.llm import (
+    alignment, exact, language, lines, mixing, packing, pages, quality, simhash, suffix, tokens, urls, whitening,
+)
 from pricelens.llm.common import table, tokenizer_path
 
 # Token limit of a sequence, and of a document before it counts as over the limit.
@@ -78,6 +80,18 @@ def op10_simhash(spark, sf) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+def op11_embedding_whitening(spark, sf) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+def op12_cross_tokenizer_alignment(spark, sf) -> DataFrame:
+    return alignment.align(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_line_dedup(spark, sf) -> DataFrame:
+    return lines.drop_lines(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
@@ -89,4 +103,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_html_extraction": op9_html_extraction,
     "op10_simhash": op10_simhash,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
+    "op13_line_dedup": op13_line_dedup,
 }
