@@ -1,11 +1,11 @@
-"""Nearest-neighbour joins on vectors, without pairing everything with everything.
+"""Nearest-neighbour joins on vectors, without pairing everything with everything in one place.
 
-Exact search follows the pivot-based kNN join (Lu, Shen, Chen, Ooi: "Efficient Processing of k
-Nearest Neighbor Joins using MapReduce", VLDB 2012). Index rows go to the cell of their nearest
-pivot. A query first searches the nearest cells that hold enough rows; the distance found there
-bounds its k-th neighbour, and by the triangle inequality only cells whose lower bound lies within
-it are searched next. Queries and cells meet in an equi-join on block numbers: hot cells are cut
-into blocks of bounded size, and each (query, block) pair sends on k rows, never all pairs.
+Exact search is a filter on short codes and a re-rank on whole vectors. A vector's code holds each entry
+in 16 bits of its own largest one; what that loses is known as one number, so the distance of two codes
+bounds the true distance from both sides. Queries and index rows meet as codes in a grid of blocks: a
+query is sent to the blocks of one grid row, an index row to those of one column, and each block sends on
+only what may be among a query's k nearest of the block. Of all these, what the bounds of all blocks still
+allow (little more than k) is looked at on whole vectors, which are joined by id.
 
 Copies are handled before the search: of equal index vectors only the k smallest ids can be among
 the answers (ties go to the smaller id), and equal queries are searched once.
@@ -16,21 +16,24 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pricelens import config
-from pricelens.operators.order import hash_key
 from pricelens.session import materialize
 
-MAX_PIVOTS = 2_048
 # Rows of one block: both sides of a block search fit a Python worker, whatever the cell size.
 BLOCK_ROWS = 65_536
 SLICE_ROWS = 256
+# Rows below which a block is not cut to occupy more tasks, and tasks wanted for each core.
+LEAST_BLOCK_ROWS, TASKS_PER_CORE = 512, 2
 # Queries compared with a whole block at once.
 SEARCH_ROWS = 64
 # Signatures: tables, bits of each, and bits by which table a group of cells is told from others of the table.
 TABLES, BITS, GROUP_BITS = 6, 10, 4
 HITS = "rep bigint, id bigint, distance double"
+# What rounding may add to a distance, relative to the vectors' lengths (equal vectors come out at the square root of
+# the rounding error of a product); squared distances that differ by less than TIE may be equal once rounded.
+SLACK, TIE = 3e-7, 2e-9
 
 
 def _squared(a, b):
@@ -49,63 +52,74 @@ def _by_slices(compute, *series):
     return pd.concat([compute(*[s.iloc[at : at + SLICE_ROWS] for s in series]) for at in starts], ignore_index=True)
 
 
-def _cell_of(pivots):
-    def compute(vectors):
-        if vectors.empty:
-            return pd.DataFrame({"cell": pd.Series(dtype="int32"), "reach": pd.Series(dtype=float)})
-        d = np.sqrt(_squared(_stack(vectors), pivots))
-        cell = d.argmin(1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "reach": d[np.arange(len(d)), cell]})
+def coded(vectors: Column) -> Column:
+    """Entries as 16-bit multiples of `unit`, and the length of what is `lost` by that."""
+
+    def compute(part):
+        if part.empty:
+            return pd.DataFrame({"code": pd.Series(dtype=object), "unit": pd.Series(dtype=float), "lost": pd.Series(dtype=float)})
+        v = _stack(part)
+        unit = np.abs(v).max(axis=1, initial=0.0) / 32767
+        code = np.rint(v / np.where(unit > 0, unit, 1.0)[:, None])
+        lost = np.sqrt(((v - code * unit[:, None]) ** 2).sum(axis=1))
+        return pd.DataFrame({"code": [c.tobytes() for c in code.astype("<i2")], "unit": unit, "lost": lost})
 
-    @F.pandas_udf("struct<cell:int,reach:double>")
-    def nearest_pivot(vectors: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("struct<code:binary,unit:double,lost:double>")
+    def code(vectors: pd.Series) -> pd.DataFrame:
         return _by_slices(compute, vectors)
 
-    return nearest_pivot
+    return code(vectors)
 
 
-def _first_cells(pivots, counts, k):
-    """Nearest non-empty cells that together hold at least k rows."""
+def _points(rows: pd.DataFrame):
+    return np.frombuffer(b"".join(rows["code"]), "<i2").reshape(len(rows), -1) * rows["unit"].to_numpy()[:, None]
 
-    def compute(vectors):
-        if vectors.empty:
-            return pd.Series([], dtype=object)
-        out = []
-        for row in np.argsort(_squared(_stack(vectors), pivots), axis=1, kind="stable"):
-            row = row[counts[row] > 0]
-            out.append(row[: int(np.searchsorted(np.cumsum(counts[row]), k)) + 1].astype("int32"))
-        return pd.Series(out)
 
-    @F.pandas_udf("array<int>")
-    def cells(vectors: pd.Series) -> pd.Series:
-        return _by_slices(compute, vectors)
+def _bounded_search(k):
+    """What may be among the k nearest rows of one block for every query of one block, with bounds on its squared distance."""
 
-    return cells
+    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or rows.empty:
+            return pd.DataFrame({"rep": [], "id": [], "low": [], "high": []})
+        points, lost, ids, out = _points(rows), rows["lost"].to_numpy(), rows["id"].to_numpy(), []
+        for at in range(0, len(queries), SEARCH_ROWS):
+            part = queries.iloc[at : at + SEARCH_ROWS]
+            own = _points(part)
+            length = np.sqrt((own * own).sum(1))[:, None] + np.sqrt((points * points).sum(1))[None, :]
+            d = np.sqrt(_squared(own, points))
+            off = part["lost"].to_numpy()[:, None] + lost[None, :] + SLACK * length
+            low, high = np.maximum(d - off, 0.0) ** 2, (d + off) ** 2
+            edge = np.partition(high, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+            q, i = np.nonzero(low <= edge[:, None] + TIE)
+            out.append(pd.DataFrame({"rep": part["rep"].to_numpy()[q], "id": ids[i], "low": low[q, i], "high": high[q, i]}))
+        return pd.concat(out)
 
+    return run
 
-def _other_cells(pivots, counts, radius):
-    """Cells not searched yet that may hold a row within the bound."""
-    between = np.sqrt(_squared(pivots, pivots))
 
-    def compute(vectors, searched, bound):
-        if vectors.empty:
-            return pd.Series([], dtype=object)
-        d = np.sqrt(_squared(_stack(vectors), pivots))
-        own = d.argmin(1)
-        ball = d - radius[None, :]
-        gap = between[own]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = (d**2 - d[np.arange(len(d)), own][:, None] ** 2) / (2 * gap)
-        plane = np.where(gap > 0, plane, 0.0)
-        # a little slack keeps rounding from cutting a true neighbour off
-        near = (np.maximum(ball, plane) <= bound.to_numpy()[:, None] + 1e-6) & (counts[None, :] > 0)
-        return pd.Series([np.setdiff1d(np.flatnonzero(n), s).astype("int32") for n, s in zip(near, searched)])
+def grid(queries: int, rows: int, cores: int) -> tuple[int, int]:
+    """Blocks of queries and of index rows: small enough for a worker, and enough of them to occupy all cores.
 
-    @F.pandas_udf("array<int>")
-    def cells(vectors: pd.Series, searched: pd.Series, bound: pd.Series) -> pd.Series:
-        return _by_slices(compute, vectors, searched, bound)
+    A grid of a x b blocks moves a copies of each index row and b of each query. So the cut that is made
+    for the sake of parallelism is always the one of the longer blocks.
+    """
+    a, b = max(1, math.ceil(queries / BLOCK_ROWS)), max(1, math.ceil(rows / BLOCK_ROWS))
+    while a * b < TASKS_PER_CORE * cores and max(queries / a, rows / b) > LEAST_BLOCK_ROWS:
+        a, b = (2 * a, b) if queries / a > rows / b else (a, 2 * b)
+    return a, b
 
-    return cells
+
+def exact_distance(a: Column, b: Column) -> Column:
+    """Squared distances, rounded so that equal ones tie."""
+
+    def compute(x, y):
+        return pd.Series(np.round(((_stack(x) - _stack(y)) ** 2).sum(axis=1), 9) if len(x) else [], dtype=float)
+
+    @F.pandas_udf("double")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return _by_slices(compute, x, y)
+
+    return distance(a, b)
 
 
 def _block_search(k):
@@ -174,40 +188,65 @@ def _without_copies(index: DataFrame, k: int) -> DataFrame:
 
 
 def _answers(queries: DataFrame, reps: DataFrame, hits: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """Give every query the neighbours of its vector, in rank order, itself left out if asked."""
+    """Give every query the neighbours of its vector."""
+    own = queries.select(F.col("id").alias("query_id"), "embedding").join(reps, "embedding").select("query_id", "rep")
+    return _ranked(own, hits, k, exclude_self)
+
+
+def _ranked(own: DataFrame, hits: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """The neighbours of `query_id, rep` in rank order, the query itself left out if asked."""
     found = hits.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("found"))
-    own = queries.select(F.col("id").alias("query_id"), "embedding").join(reps, "embedding").join(found, "rep")
+    own = own.join(found, "rep")
     if exclude_self:
         own = own.withColumn("found", F.filter("found", lambda n: n["id"] != F.col("query_id")))
     ranked = own.select("query_id", F.posexplode(F.slice("found", 1, k)).alias("pos", "n"))
     return ranked.select("query_id", (F.col("pos") + 1).alias("rank"), "n.id", "n.distance")
 
 
+def _coded_rows(frame: DataFrame, keep: int, name: str) -> DataFrame:
+    """`id, copy, code, unit, lost` of the rows with the `keep` smallest ids of each vector, told apart by 128 bits of hash.
+
+    Only codes and hashes are moved, of a vector that very many rows share a few from each task.
+    """
+    rows = frame.select("id", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"), coded(F.col("embedding")).alias("c"))
+    rank = F.row_number().over(W.partitionBy("h1", "h2").orderBy("id"))
+    kept = rows.select("id", "h1", "h2", "c.*").withColumn("_rank", rank).where(F.col("_rank") <= keep).drop("_rank")
+    return materialize(kept, name)
+
+
+def rerank(pairs: DataFrame, queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """The k nearest of the candidate `rep, id` pairs of each query by the exact distance of whole vectors."""
+    of_index = index.select("id", F.col("embedding").alias("_b"))
+    of_query = queries.select(F.col("id").alias("rep"), F.col("embedding").alias("_a"))
+    whole = pairs.select("rep", "id").join(of_index, "id").join(of_query, "rep")
+    return _top(whole.select("rep", "id", exact_distance(F.col("_a"), F.col("_b")).alias("distance")), k)
+
+
 def nearest(queries: DataFrame, index: DataFrame, k: int = config.NEIGHBOURS, exclude_self: bool = False) -> DataFrame:
-    """The exact k nearest index rows (squared L2, ties to the smaller id) of every query."""
-    wanted = k + 1 if exclude_self else k
-    rows = _without_copies(index, wanted)
-    total = index.count()
-    order = index.select("id", "embedding").orderBy(hash_key(F.col("id"), "pivot"), "id")
-    picked = order.limit(max(1, min(MAX_PIVOTS, math.isqrt(total) // 2))).collect()
-    if not picked:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, id bigint, distance double")
-    pivots = np.unique(np.array([r["embedding"] for r in picked], dtype=float), axis=0)
-
-    celled = rows.withColumn("_c", _cell_of(pivots)("embedding")).select("id", "embedding", "_c.*")
-    celled = materialize(celled, "cells")
-    counts, radius = np.zeros(len(pivots), dtype=int), np.zeros(len(pivots))
-    for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("radius")).collect():
-        counts[r["cell"]], radius[r["cell"]] = r["n"], r["radius"]
-
-    reps = _distinct_queries(queries)
-    visits = materialize(reps.withColumn("cells", _first_cells(pivots, counts, wanted)("embedding")), "visits")
-    first = materialize(_top(search_cells(visits, celled, wanted), wanted), "first")
-    bound = first.groupBy("rep").agg(F.sqrt(F.max("distance")).alias("bound"))
-    more = visits.join(bound, "rep").withColumn("cells", _other_cells(pivots, counts, radius)("embedding", "cells", "bound"))
-    more = materialize(more.where(F.size("cells") > 0).select("rep", "embedding", "cells"), "more")
-    hits = _top(first.unionByName(search_cells(more, celled, wanted)), wanted)
-    return _answers(queries, visits.select("rep", "embedding"), hits, k, exclude_self)
+    """The exact k nearest index rows (squared L2, ties to the smaller id) of every query.
+
+    Cost, with a x b blocks of `grid` (a * b is twice the cores, or more where blocks would outgrow a
+    worker), q queries, n index rows and d dimensions: q * n * d multiplications; shuffled are
+    (2 d + 56 bytes) * (a * n + b * q) as codes, and d * 4 bytes * (n + q) as whole vectors for the
+    candidates, of which a query has k from each of its b blocks at first and little more than k in the end.
+    """
+    spark, wanted = queries.sparkSession, k + 1 if exclude_self else k
+    rows = _coded_rows(index, wanted, "coded")
+    reps = _coded_rows(queries, 1, "coded-queries")
+    a, b = grid(reps.count(), rows.count(), spark.sparkContext.defaultParallelism)
+    block = lambda of: F.pmod(F.xxhash64("id"), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    left = reps.select(block(a).alias("qb"), every(b).alias("ib"), F.col("id").alias("rep"), "code", "unit", "lost")
+    right = rows.select(every(a).alias("qb"), block(b).alias("ib"), "id", "code", "unit", "lost")
+    met = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(_bounded_search(wanted), "rep bigint, id bigint, low double, high double")
+    met = materialize(met, "candidates")
+    rank = F.row_number().over(W.partitionBy("rep").orderBy("high"))
+    edge = met.select("rep", "high").withColumn("_rank", rank).where(F.col("_rank") <= wanted).groupBy("rep").agg(F.max("high").alias("edge"))
+    pairs = met.join(edge, "rep").where(F.col("low") <= F.col("edge") + TIE)
+    hits = rerank(pairs, queries, index, wanted)
+    of_vector = reps.select("h1", "h2", F.col("id").alias("rep"))
+    own = queries.select("id", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")).join(of_vector, ["h1", "h2"])
+    return _ranked(own.select(F.col("id").alias("query_id"), "rep"), hits, k, exclude_self)
 
 
 def sign_planes(tables: int, bits: int, dims: int, seed) -> np.ndarray:

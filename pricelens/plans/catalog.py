@@ -1,16 +1,17 @@
 """Every operator as a named query over the driver tables: name -> (spark, sf folder) -> DataFrame."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pricelens import config, schemas
 from pricelens.functions import cleaning, hooks, markup, prompts, scoring
 from pricelens.functions.pytext import list_literal
-from pricelens.operators import curate, deals as deal_ops, enrich, evaluate, models, retrieve
+from pricelens.operators import curate, deals as deal_ops, enrich, evaluate, inverted, models, retrieve
 from pricelens.operators.order import shuffle_order
 from pricelens.plans import views
 from pricelens.plans.views import part_of, table
 from pricelens.session import materialize, scratch_path
-from pricelens.sources import feeds, files, memory as memory_io, models as model_io, products, tables
+from pricelens.sources import feeds, files, memory as memory_io, models as model_io, polls, products, tables
+from pricelens.sources.vectors import VectorStore
 from pricelens.streaming import deals as polling
 
 QUERIES = {}
@@ -153,6 +154,26 @@ def index_resume(spark, sf):
     return tables.append_new(rows, path, "doc").select("doc", "document", "category", "price")
 
 
+class _Letters:
+    """A small encoder: how often each small letter stands in a text."""
+
+    def encode(self, texts):
+        return [[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+
+@query
+def index_search(spark, sf):
+    """Texts to index to neighbours: stored in two goes with other numbers and other metadata, repeated, then searched by first lines."""
+    store = VectorStore(spark, scratch_path(spark, "store"), hooks.encode_hook(_Letters), ("lang", "source"))
+    docs = table(spark, sf, "documents")
+    store.upsert(docs.where("lang = 'en'"), "text", "doc_id")
+    backwards = docs.select("text", "lang", F.upper("source").alias("source"), (-F.col("doc_id")).alias("number"))
+    store.upsert(backwards, "text", "number")
+    store.upsert(backwards, "text", "number")
+    asked = docs.select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("document"))
+    return store.search(asked).select("query_id", "rank", "doc", "lang", "source", r6("distance"))
+
+
 @query
 def model_store(spark, sf):
     frame = views.splits(spark, sf)
@@ -470,10 +491,24 @@ def knn_join(spark, sf):
 @query
 def knn_lsh(spark, sf):
     index = views.index_items(spark, sf)
-    found = retrieve.nearest_approx(index, index, exclude_self=True)
+    found = inverted.nearest_listed(index, index, exclude_self=True)
     return found.select("query_id", "rank", "id", r6("distance"))
 
 
+@query
+def knn_recall(spark, sf):
+    """Of the exact neighbours, the share that the approximate search finds; and of all pairs, the shares whose codes it scans and whose vectors it compares."""
+    index = materialize(views.index_items(spark, sf), "index")
+    exact = retrieve.nearest(index, index, exclude_self=True).select("query_id", "id")
+    found = inverted.nearest_listed(index, index, exclude_self=True).select("query_id", "id", F.lit(1).alias("found"))
+    lists = inverted.learn(index)
+    scanned = inverted.share_scanned(index, inverted.encode(index, lists), lists)
+    n = index.count()
+    recall = exact.join(found, ["query_id", "id"], "left").agg(F.round(F.count("found") / F.count(F.lit(1)), 4).alias("recall"))
+    shares = [F.lit(round(x, 4)).alias(name) for x, name in ((scanned, "scanned"), (min(inverted.CANDIDATES, n) / n, "reranked"))]
+    return recall.select(F.lit(n).cast("bigint").alias("queries"), "recall", *shares)
+
+
 def _estimates(spark, sf):
     names = {"text": "frontier", "constant": "specialist", "random": "neural_network"}
     mapping = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
@@ -784,47 +819,62 @@ def embedding_projection(spark, sf):
 # ---------------------------------------------------------------- streaming
 
 
-POLLS, POLL_FILES = 3, 4
+POLLS = 3
 
 
-def _polls(spark, sf):
-    """Poll files: every poll offers all deals again."""
-    path = scratch_path(spark, "polls")
-    rows = views.deals(spark, sf).select("product_description", "price", "url", "category")
-    for _ in range(POLLS):
-        rows.repartition(POLL_FILES).write.mode("append").json(path)
-    return path
+def _entries(spark, sf, backwards=False):
+    """Pages as entries of their feeds, with what each offers."""
+    rows = views.feed_entries(spark, sf).join(table(spark, sf, "pages").select(F.col("page_id").alias("pos"), "html"), "pos")
+    order = W.partitionBy("feed").orderBy(F.desc("pos") if backwards else "pos")
+    listed = rows.withColumn("place", (F.row_number().over(order) - 1).cast("bigint"))
+    listed = listed.join(views.page_offers(spark, sf), "pos")
+    return listed.select("feed", F.col("place").alias("pos"), "title", "url", "html", "offer", "category")
 
 
 def _streamed(spark, sf):
+    """Every poll offers all deals again: the memory, and the checkpoint."""
     item_rows = materialize(views.items(spark, sf).select("category", "price"), "prices")
-    memory_path = scratch_path(spark, "memory")
-    running = polling.stream_deals(
-        polling.read_polls(spark, _polls(spark, sf), POLL_FILES), memory_path, scratch_path(spark, "stream"),
-        lambda rows: views.estimated(rows, item_rows),
-    )
-    running.awaitTermination()
-    return memory_io.read_memory(spark, memory_path)
+    path, memory_path, checkpoint = (scratch_path(spark, name) for name in ("polls", "memory", "stream"))
+    pages = views.deal_pages(spark, sf)
+    for n in range(POLLS):
+        polls.write_poll(pages, path, n)
+    polling.stream_deals(
+        polls.offers(polls.read_feeds(spark, path, entries=1 << 40)), memory_path, checkpoint, lambda rows: views.estimated(rows, item_rows),
+    ).awaitTermination()
+    return memory_io.read_memory(spark, memory_path), checkpoint
 
 
 @query
 def stream_deals(spark, sf):
-    rows = _streamed(spark, sf)
+    rows, _ = _streamed(spark, sf)
     return rows.select("batch_id", "deal.url", "deal.price", r6("estimate"), r6("discount"))
 
 
 @query
 def stream_seen_state(spark, sf):
-    """Deals that can still be alerted after the stream: everything except alerted urls."""
-    return deal_ops.unseen(views.deals(spark, sf), _streamed(spark, sf)).select("url", "price")
+    """Deals that can still be alerted after the stream: everything except the urls in its state."""
+    _, checkpoint = _streamed(spark, sf)
+    return views.deals(spark, sf).join(polling.alerted_urls(spark, checkpoint), "url", "left_anti").select("url", "price")
 
 
 @query
 def stream_best_per_poll(spark, sf):
-    rows = _streamed(spark, sf)
+    rows, _ = _streamed(spark, sf)
     return rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("alerts"), r6(F.max("discount"), "discount"))
 
 
+@query
+def stream_scrape(spark, sf):
+    """Two polls of all feeds, listed from either end: the first entries of each, scraped inside the stream."""
+    path, out = scratch_path(spark, "polls"), scratch_path(spark, "scraped")
+    for n in range(2):
+        polls.write_poll(_entries(spark, sf, backwards=n == 1), path, n)
+    rows = polls.scraped(polls.read_feeds(spark, path))
+    running = rows.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start(out)
+    running.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
 # ---------------------------------------------------------------- user functions
 
 

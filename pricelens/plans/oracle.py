@@ -190,6 +190,48 @@ near AS (SELECT k.*, i.document, i.price FROM knn k JOIN idx i USING (id)),
 knn_guess AS (SELECT query_id, sum(price/(distance+1e-9::double))/sum(1/(distance+1e-9::double)) AS guess FROM near GROUP BY query_id)"""
 
 
+def _letters(x):
+    """Counts of the small letters of a text."""
+    return f"list_transform(string_split('abcdefghijklmnopqrstuvwxyz',''), lambda c: (length({x})-length(replace({x},c,'')))::double)"
+
+
+def _apart(a, b):
+    """Squared distance of two lists of whole numbers, exact in doubles."""
+    return f"(list_dot_product({a},{a})-2*list_dot_product({a},{b})+list_dot_product({b},{b}))"
+
+
+def _listed():
+    """Neighbours by an inverted file: 64 lists learned in three rounds on the 16,384 rows of the smallest hashes, four-bit residual codes."""
+    key, rounds = _key("id", "lists"), ""
+    for r in range(3):
+        rounds += f"""
+a{r} AS (SELECT id, min(struct_pack(d := {_apart('x', 'm')}, c := c)).c AS c FROM sx, c{r} GROUP BY id),
+m{r} AS (SELECT c, list(e ORDER BY i) AS m FROM (SELECT c, i, floor(sum(x[i])/count(*)) AS e FROM a{r} JOIN sx USING (id), range(1,65) t(i) GROUP BY c, i) GROUP BY c),
+c{r + 1} AS (SELECT c, coalesce(n.m, o.m) AS m FROM c{r} o LEFT JOIN m{r} n USING (c)),"""
+    return f"""
+sample AS (SELECT id FROM idx ORDER BY {key}, id LIMIT 16384),
+unit AS (SELECT 2048/coalesce(nullif(max(list_max(list_transform(v, lambda e: abs(e)))),0),1) AS scale FROM idx JOIN sample USING (id)),
+points AS (SELECT id, list_transform(v, lambda e: floor(e*scale+0.5)) AS x FROM idx, unit),
+sx AS (SELECT * FROM points JOIN sample USING (id)),
+c0 AS (SELECT row_number() OVER (ORDER BY {key}, id)-1 AS c, x AS m FROM sx QUALIFY c<64),{rounds}
+own_list AS (SELECT id, any_value(x) AS x, min(struct_pack(d := {_apart('x', 'm')}, c := c)) AS best FROM points, c3 GROUP BY id),
+cells AS (SELECT id, x, best.c AS c, c3.m FROM own_list JOIN c3 ON c3.c=best.c),
+step AS (SELECT greatest(1, floor(sqrt(sum(pow(x[i]-m[i],2))/count(*))/2)) AS step FROM cells JOIN sample USING (id), range(1,65) t(i)),
+decoded AS (SELECT id, list_transform(range(1,65), lambda i: m[i]+greatest(-8,least(7,floor((x[i]-m[i])/step)))*step+floor(step/2)) AS y FROM cells, step),
+lengths AS (SELECT c3.c, c3.m, count(id) AS n FROM c3 LEFT JOIN cells ON cells.c=c3.c GROUP BY c3.c, c3.m),
+reach AS (SELECT id, x, best, c, n, {_apart('x', 'm')} AS d FROM own_list, lengths),
+probes AS (SELECT query_id, qx, c FROM (SELECT id AS query_id, x AS qx, c, n, d*100<=best.d*180 AS close,
+  coalesce(sum(n) OVER (PARTITION BY id ORDER BY d, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS held FROM reach) WHERE n>0 AND (close OR held<32)),
+scan AS (SELECT query_id, id FROM probes JOIN cells USING (c) JOIN decoded USING (id)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_apart('qx', 'y')}, id)<=32),
+seen AS (SELECT query_id, s.id, pow(list_distance(q.v,i.v),2) AS distance FROM scan s JOIN idx q ON q.id=query_id JOIN idx i ON i.id=s.id
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(distance,9), s.id)<=6),
+listed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance,9), id)::int AS rank FROM seen WHERE id<>query_id QUALIFY rank<=5)"""
+
+
+LISTED = _listed()
+
+
 def _unescape(x):
     for entity, char in (
         ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&apos;", "''''"), ("&nbsp;", "chr(160)"),
@@ -451,6 +493,9 @@ ORACLES = {
     "stream_deals": _sql([*_PRICED, ALERTS], "SELECT batch_id, url, price, round(estimate,6) AS estimate, round(discount,6) AS discount FROM alerts"),
     "stream_seen_state": _sql([*_PRICED, ALERTS], "SELECT url, price FROM deals WHERE url NOT IN (SELECT url FROM alerts)"),
     "stream_best_per_poll": _sql([*_PRICED, ALERTS], "SELECT batch_id, 1::bigint AS alerts, round(discount,6) AS discount FROM alerts"),
+    "stream_scrape": _sql([PAGES], f"""SELECT poll, feed, pos, url, {_deal_fields('title')} FROM (
+  SELECT *, poll, row_number() OVER (PARTITION BY poll, feed ORDER BY CASE poll WHEN 0 THEN page_id ELSE -page_id END)-1 AS pos FROM page_content, range(2) r(poll))
+  WHERE pos<10 AND NOT contains(url,'#')"""),
     "bag_of_words": _sql(_SPLITS, f"""SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(summary),'[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM splits WHERE split='train')
   WHERE term NOT IN ({_STOP_SQL}) GROUP BY term ORDER BY n DESC, term LIMIT 2000"""),
     "log_target": _sql(_SPLITS, """SELECT id, round((ln(price+1)-m)/s,6) AS z, round(greatest(0.0,exp((ln(price+1)-m)/s*s+m)-1),6) AS price_again
@@ -459,15 +504,20 @@ ORACLES = {
     "ensemble_predict": _sql([INDEX, KNN], f"""SELECT query_id, round(0.8::double/0.9*greatest(0.5,least(999.49,guess))
   +0.1::double/0.9*greatest(0.5,least(999.49,{_random('query_id')})),4) AS guess FROM knn_guess"""),
     "predict_table": _sql(_PRED, "SELECT model, ord, title, truth, round(guess,6) AS guess, round(error,6) AS error, color FROM predictions"),
-    "knn_lsh": _sql([INDEX, """
-planes AS (SELECT t, b, list(CASE WHEN substr(md5('42:'||t||':'||b||':'||d),1,1)<'8' THEN 1.0::double ELSE -1.0::double END ORDER BY d) AS p
-  FROM range(6) r1(t), range(10) r2(b), range(64) r3(d) GROUP BY t, b),
-codes AS (SELECT id, t, sum(CASE WHEN list_dot_product(v,p)>0 THEN 1<<b ELSE 0 END)::bigint AS code FROM idx, planes GROUP BY id, t),
-probes AS (SELECT id, t, xor(code, flip) AS code FROM codes, (SELECT 0::bigint AS flip UNION ALL SELECT (1<<b)::bigint FROM range(10) r(b))),
-met AS (SELECT DISTINCT q.id AS query_id, c.id FROM probes q JOIN codes c ON c.t=q.t AND c.code=q.code AND c.id<>q.id),
-far AS (SELECT query_id, m.id, pow(list_distance(q.v,i.v),2) AS distance FROM met m JOIN idx q ON q.id=query_id JOIN idx i ON i.id=m.id),
-lsh AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance,9), id)::int AS rank FROM far QUALIFY rank<=5)"""],
-        "SELECT query_id, rank, id, round(distance,6) AS distance FROM lsh"),
+    "knn_lsh": _sql([INDEX, LISTED], "SELECT query_id, rank, id, round(distance,6) AS distance FROM listed"),
+    "knn_recall": _sql([INDEX, KNN, LISTED], """SELECT (SELECT count(*) FROM idx) AS queries, round(count(l.id)/count(*)::double,4) AS recall,
+  (SELECT round(count(*)/(SELECT count(*)**2 FROM idx),4) FROM probes JOIN cells USING (c)) AS scanned,
+  round(least(32,(SELECT count(*) FROM idx))/(SELECT count(*) FROM idx)::double,4) AS reranked
+  FROM knn k LEFT JOIN listed l ON l.query_id=k.query_id AND l.id=k.id"""),
+    "index_search": f"""WITH d AS (SELECT * FROM documents WHERE text IS NOT NULL),
+early AS (SELECT text, row_number() OVER (ORDER BY min(doc_id))-1 AS id FROM d WHERE lang='en' GROUP BY text),
+late AS (SELECT text, (SELECT count(*) FROM early)+row_number() OVER (ORDER BY max(doc_id) DESC)-1 AS id FROM d WHERE text NOT IN (SELECT text FROM early) GROUP BY text),
+meta AS (SELECT text, arg_max(lang,doc_id) AS lang, upper(arg_max(source,doc_id)) AS source FROM d GROUP BY text),
+stored AS (SELECT id, lang, source, {_letters('text')} AS v FROM (FROM early UNION ALL FROM late) JOIN meta USING (text)),
+asked AS (SELECT doc_id AS query_id, {_letters('split_part(text,chr(10),1)')} AS v FROM d),
+far AS (SELECT query_id, id, lang, source, pow(list_distance(asked.v,stored.v),2) AS distance FROM asked, stored)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance,9), id)::int AS rank, 'doc_'||id AS doc, lang, source, round(distance,6) AS distance
+FROM far QUALIFY rank<=5""",
     "evaluate": _sql([*_PRED, LINEAR, f"""
 lin AS (SELECT 'linear' AS model, f3.ord, {_CLIP} AS title, f3.price AS truth, my+k1*r1+k2*r2+k3*r3 AS guess FROM f3 JOIN splits USING (id), c3 WHERE f3.split='test'),
 scored AS (SELECT model, ord, title, truth, guess, error, color FROM predictions UNION ALL

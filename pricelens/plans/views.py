@@ -167,16 +167,23 @@ def scraped(spark, sf) -> DataFrame:
     return deal_source(feed_entries(spark, sf), table(spark, sf, "pages"))
 
 
+def page_offers(spark, sf) -> DataFrame:
+    """What each page offers, by its number: an advertised price, and the category of the deal."""
+    offer = F.concat(F.lit(" Now $"), F.col("value").cast("string"), F.lit(" after $20 off"))
+    category = _pick(config.CATEGORIES, (F.col("event_id") % 8).cast("int"))
+    return table(spark, sf, "events").select(F.col("event_id").alias("pos"), offer.alias("offer"), category.alias("category"))
+
+
+def deal_pages(spark, sf) -> DataFrame:
+    """Pages with an offer, as entries of a feed."""
+    rows = table(spark, sf, "pages").withColumnRenamed("page_id", "pos").join(page_offers(spark, sf), "pos")
+    return rows.select(F.split_part("url", F.lit("/"), F.lit(3)).alias("feed"), "pos", F.lit(None).cast("string").alias("title"), "url", "html", "offer", "category")
+
+
 def deals(spark, sf) -> DataFrame:
     """Pages as deals: the article text with an advertised price at the end."""
-    v = table(spark, sf, "events").select(F.col("event_id").alias("page_id"), "value")
-    text = F.concat(
-        markup.page_section(F.col("html")), F.lit(" Now $"), F.col("value").cast("string"), F.lit(" after $20 off")
-    )
-    rows = table(spark, sf, "pages").join(v, "page_id").select(
-        F.col("page_id").alias("pos"), F.split_part("url", F.lit("/"), F.lit(3)).alias("feed"), "url",
-        _pick(config.CATEGORIES, (F.col("page_id") % 8).cast("int")).alias("category"), text.alias("product_description"),
-    )
+    text = F.concat(markup.page_section(F.col("html")), F.col("offer"))
+    rows = deal_pages(spark, sf).select("pos", "feed", "url", "category", text.alias("product_description"))
     return rows.withColumn("price", deal_ops.advertised_price(F.col("product_description")))
 
 

@@ -18,6 +18,13 @@ def read_memory(spark: SparkSession, path: str, but: tuple = None) -> DataFrame:
     return memory.where(~((F.col("run") == run) & (F.col("batch_id") == batch_id)))
 
 
+def alert_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The memory as a stream: what is there, then what is remembered from now on, each row once, however old."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+    return spark.readStream.schema(_STORED).option("maxFileAge", "36500d").parquet(path)
+
+
 def import_memory(spark: SparkSession, path: str) -> DataFrame:
     """A memory file written as one JSON array."""
     return spark.read.schema(schemas.OPPORTUNITY).option("multiLine", "true").json(path)
