@@ -28,6 +28,8 @@ EPOCHS, RATE, SEED = 8, 4.0, 20240
 # Rejection needs both: the share of rightly predicted calibration rows that may fall below the threshold of
 # the probability, and below that of the evidence.
 WRONGLY_REJECTED, LITTLE_EVIDENCE = 0.001, 0.01
+# The normal quantile (one in a thousand) that is widened where calibration rows are few.
+RARE = 3.09
 # Mixtures of each calibration row with others.
 MIXTURES = 4
 UNDETERMINED = "und"
@@ -179,6 +181,20 @@ def _softmax(x):
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _expected_least(evidence) -> float:
+    """What another text of the same language will hardly fall below: the lower end of a prediction interval.
+
+    A quantile of a few rows is little more than their minimum, which new texts often pass. The interval widens as
+    rows get fewer (Student's t, by its expansion around the normal quantile), and with under three it has no end.
+    """
+    n = len(evidence)
+    if n < 3:
+        return -np.inf
+    z, df = RARE, n - 1
+    t = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2)
+    return float(evidence.mean() - t * evidence.std(ddof=1) * np.sqrt(1 + 1 / n))
+
+
 def _calibrate(logits, truth, evidence):
     """Temperature of the least cross-entropy, and the probability and evidence below which predictions are rejected."""
     rows = np.arange(len(truth))
@@ -186,6 +202,7 @@ def _calibrate(logits, truth, evidence):
     temperature = float(min(np.geomspace(0.25, 16, 49), key=loss))
     p = _softmax(logits * temperature)
     right = p.argmax(axis=1) == truth
+    own = evidence[right]
     if not right.any():
         return temperature, 0.0, np.zeros(logits.shape[1])
     score = np.sort(p.max(axis=1)[right])
@@ -195,7 +212,8 @@ def _calibrate(logits, truth, evidence):
     taken_for = np.r_[truth[right], (logits[one] + logits[other]).argmax(axis=1)]
     evidence = np.r_[evidence[right], (evidence[one] + evidence[other]) / 2]
     of_language = [np.sort(evidence[taken_for == k]) for k in range(logits.shape[1])]
-    least = [float(e[int(LITTLE_EVIDENCE * len(e))]) if len(e) else 0.0 for e in of_language]
+    alone = [_expected_least(own[truth[right] == k]) for k in range(logits.shape[1])]
+    least = [min(float(e[int(LITTLE_EVIDENCE * len(e))]), low) if len(e) else 0.0 for e, low in zip(of_language, alone)]
     return temperature, float(score[int(WRONGLY_REJECTED * len(score))]), np.array(least)
 
 

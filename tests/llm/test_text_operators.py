@@ -114,6 +114,42 @@ def test_language_texts_don_t_touch():
     assert np.allclose(together, alone, atol=1e-4) and list(together[[0, 2, 3, 5], -1]) == [0] * 4
 
 
+def plain_scores(model, text):
+    """A prediction by the definition: the mean of the weights of every run of letters, word edges included, that the model hashes."""
+    codes = np.append(language.points(text), language.SPACE)
+    found = [b for buckets in language.subwords(codes) for b in buckets.tolist() if b < language.BUCKETS]
+    total = np.zeros(len(model.languages))
+    for b in found:
+        total += model.weights[b, : len(model.languages)]
+    if not found:
+        return language.UNDETERMINED, 0.0
+    logits = total / len(found) * model.temperature
+    p = np.exp(logits - logits.max())
+    return model.languages[int(logits.argmax())], float((p / p.sum()).max())
+
+
+def test_language_predictions_against_a_plain_version(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language.fit(docs.where("doc_id % 4 <> 1"))
+    rows = docs.limit(60).collect()
+    texts = documents(spark, [(r.doc_id, r.text, None) for r in rows] + [(-1, None, None), (-2, "12 !", None), (-3, "É", None)])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(texts, model).collect()}
+    for i, t in [(r.doc_id, r.text) for r in rows] + [(-1, ""), (-2, "12 !"), (-3, "É")]:
+        name, score = plain_scores(model, t or "")
+        assert got[i][0] == name and got[i][1] == pytest.approx(score, abs=1e-4)
+
+
+@pytest.mark.parametrize("rows", [20, 100, 600])
+def test_language_keeps_what_it_predicts_rightly(rows):
+    """New texts of known languages, whatever the size of the sample."""
+    names = ("en", "fr", "de")
+    model = language.train([prose(i, k) for i in range(rows) for k in names], list(names) * rows)
+    new = [(prose(10_000 + i, k), k) for i in range(400) for k in names]
+    best, _, rejected = model.judge([t for t, _ in new])
+    right = np.array([model.languages[b] == k for b, (_, k) in zip(best, new)])
+    assert right.mean() > 0.99 and rejected[right].mean() < 0.005
+
+
 def test_language_calibration_rejects_what_is_unlike_all():
     model = language.train([prose(i, k) for i in range(50) for k in ("en", "fr")], ["en", "fr"] * 50)
     _, score = model.predict([prose(900), "zzxq"])
