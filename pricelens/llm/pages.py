@@ -6,9 +6,11 @@ These are capacities to the two terminals of a graph. Edges between neighbours i
 between neighbours under one parent, stronger the closer they are in the tree, are what it costs to
 tear two blocks apart. The minimum cut, found by maximum flow, is the cheapest labelling.
 
-What elements are called speaks first: the innermost element around a block that is known as
-content or boilerplate. Where none is known, a logistic model decides by how the text looks. It
-learns from blocks of a bounded sample of pages whose elements are known.
+Two things speak for a cost. One is what elements are called: the innermost element around a block that
+is known as content or boilerplate, by its tag, or else by a whole word of its class, id or role. It is
+worth less than the edges that a block can have, so neighbours may outvote it. The other is how the text
+looks, judged by a logistic model, which learns from blocks of a bounded sample of pages whose elements are
+known. Text made of links counts against a block wherever it stands.
 """
 
 import html as references
@@ -35,6 +37,16 @@ BOILER_NAMES = {
     "widgets", "alert", "complementary", "disclaimer", "feedback", "rail", "toc", "trending", "warning",
 }
 CONTENT_NAMES = {"article", "articlebody", "body", "content", "entry", "main", "maincontent", "post", "story", "text"}
+# Words that may stand behind a name in the same class (`ad-slot`, `comment-list`), and words in front of one that say
+# how or what about, not what a part is (`with-sidebar`, `category-legal`).
+ABOUT_WORDS = {
+    "author", "cat", "category", "format", "has", "have", "hide", "in", "is", "layout", "no", "not", "off", "on", "show", "tag", "template", "term", "theme", "topic",
+    "type", "with", "without",
+}
+BACK_WORDS = {
+    "area", "articles", "bar", "block", "blocks", "box", "button", "buttons", "container", "group", "icon", "icons", "inner", "item", "items", "link", "links", "list",
+    "outer", "panel", "posts", "row", "section", "slot", "stories", "unit", "wrap", "wrapper",
+}
 HIDDEN_TAGS = {"script", "style", "noscript", "template", "head", "title", "textarea", "select", "option", "iframe", "svg", "canvas", "audio", "video", "object", "datalist", "noframes", "noembed"}
 RAW_TAGS = {"script", "style", "title", "textarea", "iframe", "noframes", "noembed", "xmp"}
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -56,12 +68,13 @@ NAMED = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
 
-# Costs: what a known element is worth, and the edges between neighbours in the page and under one parent.
-KNOWN, NEXT, SIBLING = 4.0, 0.5, 0.75
+# Costs: what a known element and links are worth, the most that looks are worth against a known element, and the
+# edges between neighbours in the page and under one parent. A block has two of either kind at the most.
+KNOWN, LINKS, LOOKS, NEXT, SIBLING = 2.0, 3.0, 1.75, 0.5, 0.75
 # Bounds of the training sample.
 SAMPLE_PAGES, SAMPLE_CHARS, SEED = 300, 1 << 17, 9
-# The model before it has seen a page: text in sentences and without links is content.
-START = np.array([-0.7, 0.5, 1.0, -3.0, 0.8, 0.5, -0.5])
+# The model before it has seen a page: headings, and text in sentences and without links, are content.
+START = np.array([-0.7, 0.5, 1.0, -3.0, 0.8, 1.0, -0.5])
 
 
 @dataclass
@@ -73,15 +86,32 @@ class Block:
     linked: int  # characters in links
 
 
+def _says(token: str) -> int:
+    """What a whole class token says: its last word counts, behind those that may follow a name."""
+    words = [w.lower() for w in WORDS.findall(token) if not w.isdigit()]
+    if not words or not ABOUT_WORDS.isdisjoint(words):
+        return 0
+    end = len(words)
+    while end > 1 and words[end - 1] not in BOILER_NAMES and words[end - 1] in BACK_WORDS | CONTENT_NAMES:
+        end -= 1
+    if words[end - 1] in BOILER_NAMES:
+        # `entry-header` holds the title of an entry.
+        return 0 if words[end - 1] == "header" and words[0] in CONTENT_NAMES else -1
+    while len(words) > 1 and words[-1] in BACK_WORDS:
+        words.pop()
+    return int(words[-1] in CONTENT_NAMES and BOILER_NAMES.isdisjoint(words))
+
+
 def kind_of(tag: str, rest: str) -> int:
+    if tag in CONTENT_TAGS:
+        return 1
     if tag in BOILER_TAGS:
         return -1
-    names = {w.lower() for m in NAMED.finditer(rest) for w in WORDS.findall(m[1] or m[2] or m[3] or "")} if "=" in rest else ()
-    if names and not BOILER_NAMES.isdisjoint(names) and tag not in ("body", "html"):
-        return -1
-    if tag in CONTENT_TAGS or names and tag not in ("body", "html") and not CONTENT_NAMES.isdisjoint(names):
-        return 1
-    return 0
+    if "=" not in rest or tag in ("body", "html"):
+        return 0
+    tokens = [t for m in NAMED.finditer(rest) for t in (m[1] or m[2] or m[3] or "").split()]
+    said = [_says(t) for t in tokens]
+    return -1 if -1 in said else max(said, default=0)
 
 
 def blocks(page: str) -> list[Block]:
@@ -231,9 +261,18 @@ def label(found: list[Block], weights) -> list[bool]:
     """Whether each block is content: the source side of the minimum cut."""
     if not found:
         return []
-    looked = np.clip(np.array([looks(b) for b in found]) @ weights, -3, 3)
-    cost = [KNOWN * b.known + 0.25 * float(v) if b.known else float(v) for b, v in zip(found, looked)]
-    return cut(cost, list(_edges(found)))
+    return cut(costs(found, weights), list(_edges(found)))
+
+
+def costs(found: list[Block], weights) -> list[float]:
+    """What each block is worth as content: its name, its looks and, but for headings, what it has of links."""
+    looked = np.array([looks(b) for b in found]) @ weights
+    out = []
+    for block, look in zip(found, looked.tolist()):
+        most = LOOKS if block.known else 3.0
+        linked = 0.0 if block.tag in HEADINGS else min(1.0, block.linked / len(block.text))
+        out.append(KNOWN * block.known + min(max(look, -most), most) - LINKS * max(0.0, 2 * linked - 1))
+    return out
 
 
 def cut(cost: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:

@@ -188,6 +188,67 @@ def test_pages_of_the_tables(spark, small):
         assert got[r.page_id].n_chars == len(got[r.page_id].text) and got[r.page_id].url == r.url
 
 
+STORY = "".join(f"<p>The {w} of the town met on Monday, and it was decided that the bridge would be built. Many people came to hear it.</p>" for w in ("mayor", "council", "people"))
+READ = "\n".join(["Story", *(f"The {w} of the town met on Monday, and it was decided that the bridge would be built. Many people came to hear it." for w in ("mayor", "council", "people"))])
+AROUND = "<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav>{}<footer><p>Copyright 2024 The Paper. All rights reserved.</p></footer></body></html>"
+
+
+@pytest.mark.parametrize("body", [
+    f'<article class="post category-legal tag-privacy"><h1>Story</h1>{STORY}</article>',
+    f'<article class="post comments-open"><h1>Story</h1>{STORY}</article>',
+    f'<div class="layout with-sidebar"><h1>Story</h1>{STORY}</div>',
+    f'<div class="search-page"><h1>Story</h1>{STORY}</div>',
+    f'<main class="related-topic"><h1>Story</h1>{STORY}</main>',
+    f'<article><h1><a href="s">Story</a></h1>{STORY}<ul><li><a href="x">Other story one</a></li><li><a href="y">Another story here</a></li></ul><p><a href="b">Buy now</a></p></article>',
+    f'<article><h1>Story</h1>{STORY}<div class="related-posts"><p>You may also like this. It is a good one.</p></div></article>',
+    f'<article><h1>Story</h1>{STORY}</article><div id="comments"><div class="comment"><p>I think that this is great news for all of us. Well done.</p></div><div class="comment-list"><p>Nonsense, it is a waste of money.</p></div></div>',
+    f'<div class="cookie-notice"><p>We use cookies to improve your experience. By using this site you agree to it.</p><button>Accept</button></div><div id="main-content"><h1>Story</h1>{STORY}</div><div class="left-sidebar"><p>Sign up to our newsletter and get the news each week.</p></div>',
+])
+def test_stories_under_misleading_names(spark, small, body):
+    """With the weights that the given pages teach, and without a sample."""
+    taught = [r.html for r in spark.read.parquet(f"{small}/pages.parquet").limit(60).collect()]
+    for weights in (pages.train(taught), pages.train([])):
+        assert pages.main_text(AROUND.format(body), weights) == READ
+
+
+@pytest.mark.parametrize("token, says", [
+    ("site-footer", -1), ("with-sidebar", 0), ("category-legal", 0), ("comments-open", 0), ("search-page", 0), ("related-post", -1), ("reader-comments", -1),
+    ("entry-header", 0), ("page-header", -1), ("mainContent", 1), ("entry-content", 1), ("sidebar-content", -1), ("ad-slot-2", -1), ("ad", -1), ("reading", 0),
+    ("post", 1), ("wp-block-search", -1), ("content-with-sidebar", 0), ("12", 0), ("", 0),
+])
+def test_what_class_tokens_say(token, says):
+    assert pages._says(token) == says
+
+
+def test_labels_are_the_minimum_and_neighbours_count():
+    """Random pages against all labellings; in some, neighbours outvote what a block is worth by itself."""
+    r = random.Random(8)
+    weights, outvoted, flows = pages.train([]), 0, [0]
+    real = pages._source_side
+
+    def counted(*args):
+        flows[0] += 1
+        return real(*args)
+
+    pages._source_side = counted
+    try:
+        for _ in range(150):
+            parts = [r.choice(['<p>{}</p>', '<div>{}</div>', '<div class="widget">{}</div>', '<li>{}</li>', '<div class="text"><p>{}</p></div>', '<h2>{}</h2>']).format(
+                r.choice(["Yes", "No more of it", "Read this", prose(r.randint(0, 99), sentences=1), prose(r.randint(0, 99), sentences=3), '<a href="x">one more link</a>'])) for _ in range(r.randint(2, 9))]
+            found = pages.blocks("<body><div>" + "".join(parts) + "</div></body>")
+            cost, edges, side = pages.costs(found, weights), list(pages._edges(found)), pages.label(found, weights)
+
+            def price(side):
+                return sum(abs(c) for c, s in zip(cost, side) if (c > 0) != s) + sum(w for a, b, w in edges if side[a] != side[b])
+
+            best = min(price([bool(m >> i & 1) for i in range(len(found))]) for m in range(1 << len(found)))
+            assert abs(price(side) - best) < 1e-6
+            outvoted += sum((c > 0) != s for c, s in zip(cost, side))
+    finally:
+        pages._source_side = real
+    assert outvoted > 20 and flows[0] > 5
+
+
 def test_page_edges(spark):
     long = "<article>" + "".join(f"<p>Paragraph {i}, with words.</p>" for i in range(20_000)) + "</article>"
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", long, "x"), (3, "u", long, "x"), (None, "u", PAGE, "x")]
