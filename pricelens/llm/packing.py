@@ -4,7 +4,8 @@ Pieces of documents are spread over bounded partitions, and each is packed by be
 Dual feasible functions give a lower bound of the bins that its pieces need. Where a partition's
 bins are more than the bound, or the sum over partitions is more than the bound over all pieces,
 the documents of bins with room left are exchanged: they meet those of other partitions and are
-packed again, until the total is certified or a single partition has held all that was left.
+packed again, until the total is certified, a single partition has held all that was left, or an
+exchange has closed the bins of less than half of its pieces.
 """
 
 import json

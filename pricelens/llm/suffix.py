@@ -27,6 +27,8 @@ LENGTH, K = 100, 32
 SPAN = LENGTH - K + 1  # K-byte strings in a window
 # Bytes of documents in a batch, of texts hashed at once, and of a shard.
 BATCH_BYTES, BLOCK_BYTES, SHARD_BYTES = 16 << 20, 1 << 20, 2 << 20
+# Text of all documents for each route; the segments that a route is dealt of it are held at once.
+ROUTE_BYTES = 16 << 20
 PLACE_BITS = np.uint64(24)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -476,7 +478,7 @@ def spans_to_remove(rows: DataFrame, routes: int) -> DataFrame:
             spans = np.stack(settle_route(held.popitem()[1]))
             yield from dealt(spans[0], routes, lambda own: packed(spans[:, own].tobytes()))
 
-    return routed(rows, routes).repartition(routes, "route").mapInArrow(run, "route long, body binary")
+    return routed(rows, routes).repartitionById(routes, F.col("route").cast("int")).mapInArrow(run, "route long, body binary")
 
 
 def dealt(key, routes: int, body):
@@ -518,6 +520,12 @@ def cut(text: bytes, ends) -> tuple[int, int, bytes]:
     return int((high - low).sum()), len(low), b"".join(kept)
 
 
+def routes_of(docs: DataFrame, text: str) -> int:
+    """As many routes as keep each at about ROUTE_BYTES of text, and no fewer than the shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // ROUTE_BYTES))
+
+
 def remove_repeats(docs: DataFrame, *, text="text", key="doc_id", routes: int | None = None, with_text=False) -> DataFrame:
     """One row per row of `docs`: `key, n_bytes, n_removed, n_spans, kept_sha256`, and `kept` if asked for.
 
@@ -525,10 +533,9 @@ def remove_repeats(docs: DataFrame, *, text="text", key="doc_id", routes: int |
     same document. Null and empty texts and those under LENGTH bytes lose nothing by themselves. Keys are
     whole numbers, null the smallest; rows repeated with the same key and text are one document, and of
     different texts with one key neither is earlier at the same start. An empty table gives no rows; other
-    columns are not read. `routes` (by default the shuffle partitions) sets how finely segments are dealt.
+    columns are not read. `routes` (by default `routes_of`) sets how finely segments are dealt, a task for each.
     """
-    spark = docs.sparkSession
-    routes = routes or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    routes = routes or routes_of(docs, text)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select(F.xxhash64("id", "text").alias("key"), "id", "text")
     spans = spans_to_remove(rows, routes).withColumn("of_spans", F.lit(True))
@@ -558,7 +565,7 @@ def remove_repeats(docs: DataFrame, *, text="text", key="doc_id", routes: int |
                 ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    met = spans.unionByName(texts).repartition(routes, "route").select("of_spans", "body")
+    met = spans.unionByName(texts).repartitionById(routes, F.col("route").cast("int")).select("of_spans", "body")
     found = met.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return found.select(
         F.col("id").cast(key_type).alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])
