@@ -1,7 +1,6 @@
 """User functions as Arrow-batched Spark functions: text rewriting, encoders and predictors."""
 
 import itertools
-import math
 import random
 import re
 import time
@@ -30,9 +29,11 @@ _QUOTA = re.compile("|".join(map(re.escape, QUOTA_PHRASES)), re.IGNORECASE)
 
 def pause(message: str, attempt: int) -> float:
     """Seconds before the next try: what the service asks for and a little more, or else a doubling time."""
-    for minutes, seconds in WAIT_PATTERN.findall(message):
-        return float(seconds) + 60.0 * float(minutes or 0) + EXTRA_WAIT
-    return min(MAX_WAIT, math.ldexp(1.0, min(attempt, 60)))
+    asked = WAIT_PATTERN.search(message)
+    if asked:
+        minutes, seconds = asked.groups()
+        return 60.0 * float(minutes or 0) + float(seconds) + EXTRA_WAIT
+    return min(2.0 ** min(attempt, 60), MAX_WAIT)
 
 
 def outcome(error: Exception, attempt: int, max_retries: int, can_switch: bool) -> str:
@@ -105,13 +106,15 @@ def token_hooks(make_tokenizer, cutoff):
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = make_tokenizer()
         for texts in batches:
-            yield texts.map(lambda t: len(tokenizer.encode(t)))
+            yield texts.map(lambda t: 0 if t is None else len(tokenizer.encode(t)))
 
     @F.pandas_udf("string")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = make_tokenizer()
 
         def one(text):
+            if text is None:
+                return None
             codes = tokenizer.encode(text)
             return tokenizer.decode(codes[:cutoff]).rstrip() if len(codes) > cutoff else text
 
@@ -121,6 +124,26 @@ def token_hooks(make_tokenizer, cutoff):
     return count, cut
 
 
+class Pieces:
+    """A sentencepiece vocabulary file as a tokenizer; every machine has the library and the file."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text, num_threads=1)
+
+    def decode(self, ids: list[int]) -> str:
+        return self.model.decode(ids)
+
+
+def piece_hooks(path: str, cutoff: int):
+    """Column functions (count of subword tokens, text cut to `cutoff` of them) from a vocabulary file."""
+    return token_hooks(lambda: Pieces(path), cutoff)
+
+
 def predictor_hook(fn, numeric=True):
     """Column function over item columns from `fn(*values)`, answering with a number or a text."""
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, functions as F
 
 from pricelens import config
 from pricelens.functions.cleaning import strip_codes
-from pricelens.functions.pytext import money, rstrip
+from pricelens.functions.pytext import bind, money, rstrip
 
 
 def inference_prompt(text: Column) -> Column:
@@ -79,25 +79,47 @@ def context_messages(text: Column, neighbours: Column) -> Column:
     return price_messages(F.concat(text, F.lit("\n\n"), context_text(neighbours)))
 
 
-def _first_sentence(line: Column) -> Column:
-    body = F.replace(F.regexp_replace(line, r"^\[['\"]", ""), F.lit("\\n"), F.lit(" "))
-    sentence = F.regexp_extract(body, r"^[^.!?]*[.!?]", 0)
-    return F.when(sentence == "", body).otherwise(sentence)
+def _sentences(texts: Column) -> Column:
+    """The first sentence of each text that isn't blank, on one line; a text without an end is one sentence."""
+    lines = F.transform(texts, lambda t: F.trim(F.regexp_replace(t, "[\t-\r ]+", " ")))
+    sentence = lambda t: F.regexp_extract(t, r"^[^.!?]*[.!?]", 0)
+    cut = lambda t: F.when(sentence(t) == "", t).otherwise(sentence(t))
+    return F.coalesce(F.transform(F.filter(lines, lambda t: t != ""), cut), F.array().cast("array<string>"))
 
 
-def summary_card(full: Column, category: Column) -> Column:
-    """A five-line product card cut out of the cleaned text, without product codes."""
-    line = lambda n: F.split_part(full, F.lit("\n"), F.lit(n))
-    brand = F.regexp_extract(full, r'"Brand": "([^"]*)"', 1)
-    card = F.concat_ws(
-        "\n",
-        F.concat(F.lit("Title: "), line(1)),
-        F.concat(F.lit("Category: "), F.translate(category, "_", " ")),
-        F.concat(F.lit("Brand: "), F.when(brand == "", "Unknown").otherwise(brand)),
-        F.concat(F.lit("Description: "), _first_sentence(line(2))),
-        F.concat(F.lit("Details: "), _first_sentence(line(3))),
-    )
-    return strip_codes(card)
+def summary_card(title: Column, category: Column, description: Column, features: Column, details: Column) -> Column:
+    """A five-line product card selected from the columns of a product, without product codes.
+
+    The description is the first sentence of the description, or of the features where there is none; the
+    details are that of the next feature, or the first entry of the details behind brand and noise keys. `details`
+    is a map as `details_map` makes it. What no column has is `Unknown`.
+    """
+    noise = ("Brand", *config.NOISE_KEYS)
+    entry = lambda e: F.concat(e["key"], F.lit(": "), e["value"]["text"])
+    entries = F.transform(F.filter(F.map_entries(details), lambda e: ~e["key"].isin(*noise) & (F.trim(e["value"]["text"]) != "")), entry)
+
+    def lines(found):
+        described, featured = found["described"], found["featured"]
+        rest = F.when(F.size(described) > 0, featured).otherwise(F.slice(featured, 2, 1))
+        return (
+            F.coalesce(F.get(described, 0), F.get(featured, 0), F.lit("Unknown")),
+            F.coalesce(F.get(rest, 0), F.get(found["entries"], 0), F.lit("Unknown")),
+        )
+
+    def card(found):
+        about, detail = lines(found)
+        brand = F.trim(F.try_element_at(details, F.lit("Brand"))["text"])
+        return F.concat_ws(
+            "\n",
+            F.concat(F.lit("Title: "), F.coalesce(F.nullif(F.trim(title), F.lit("")), F.lit("Unknown"))),
+            F.concat(F.lit("Category: "), F.translate(category, "_", " ")),
+            F.concat(F.lit("Brand: "), F.coalesce(F.nullif(brand, F.lit("")), F.lit("Unknown"))),
+            F.concat(F.lit("Description: "), about),
+            F.concat(F.lit("Details: "), detail),
+        )
+
+    found = F.struct(_sentences(description).alias("described"), _sentences(features).alias("featured"), F.coalesce(entries, F.array().cast("array<string>")).alias("entries"))
+    return strip_codes(bind(found, card))
 
 
 def batch_request(ord_: Column, full: Column, model: str = config.BATCH_MODEL) -> Column:

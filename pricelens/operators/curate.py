@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pricelens import config
-from pricelens.functions import cleaning
+from pricelens.functions import cleaning, prompts
 from pricelens.operators.order import (
     hash_bucket, hash_key, log_bucket, shuffle_order, take_first, uniform,
 )
@@ -35,15 +35,27 @@ def _item_columns(plain: bool):
     return "id", "title", "category", "price", full.alias("full"), weight.alias("weight")
 
 
-def parse_items(raw: DataFrame) -> DataFrame:
+@once_per_session
+def _card():
+    return prompts.summary_card(*[F.col(c) for c in ("title", "category", "description", "features", "details")])
+
+
+def parse_items(raw: DataFrame, cards: bool = False) -> DataFrame:
     """Price filter first, then details, weight and cleaned text, then the minimum-length filter.
 
-    A column `plain`, as `read_raw` makes it, holds descriptions and features that aren't lists.
+    A column `plain`, as `read_raw` makes it, holds descriptions and features that aren't lists. With `cards`
+    items get a `summary` from their columns; one that `raw` has already is kept, unless it is empty.
     """
     in_range, columns = _priced_columns()
     plain = "plain" in raw.columns
-    priced = computed(raw.where(in_range), *columns, *(["plain"] if plain else [])).where(F.col("details").isNotNull())
-    return computed(priced, *_item_columns(plain)).where(F.length("full") >= config.MIN_CHARS)
+    own = ["summary"] if cards and "summary" in raw.columns else []
+    priced = computed(raw.where(in_range), *columns, *(["plain"] if plain else []), *own).where(F.col("details").isNotNull())
+    if not cards:
+        return computed(priced, *_item_columns(plain)).where(F.length("full") >= config.MIN_CHARS)
+    whole = computed(priced, *_item_columns(plain), "description", "features", "details", *own)
+    long = whole.where(F.length("full") >= config.MIN_CHARS)
+    summary = F.coalesce(F.nullif(F.col("summary"), F.lit("")), _card()) if own else _card()
+    return long.select("id", "title", "category", "price", "full", "weight", summary.alias("summary"))
 
 
 def rejected_details(raw: DataFrame) -> DataFrame:

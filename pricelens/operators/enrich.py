@@ -1,12 +1,16 @@
 """Resumable text enrichment: checkpoint and batch joins, progress, prompt pairs."""
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from pricelens import config
 from pricelens.functions import prompts
 from pricelens.functions.hooks import REWRITE_SCHEMA, rewriter
+from pricelens.session import discard, materialize
 from pricelens.sources.tables import read_table
 
+# What a rewriting job counts.
+USAGE = ("calls", "input_tokens", "output_tokens", "cost")
+
 filled = lambda c: F.nullif(F.col(c), F.lit(""))
 
 
@@ -47,24 +51,33 @@ def apply_batch_results(items: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def map_with_checkpoint(
-    items: DataFrame, fn, store: str, waves: int = 10, run: int = 0, parallelism: int = None, **options
+    items: DataFrame, fn, store: str, waves: int = 10, run: int = 0, parallelism: int = None, progress=None, **options
 ) -> DataFrame:
     """Rewrite the text of pending items once per distinct content key and keep every result.
 
-    The pending keys are split into `waves` by their hash; each wave is appended to the store before
-    the next starts, so a broken job loses one wave at most and a rerun picks up where it stopped. The
-    slow calls of a wave run in `parallelism` tasks, however small its texts are.
+    What is pending is found once a run and written as narrow rows of key and text, in `waves` by the hash of
+    the key. Each wave is appended to the store before the next starts, so a broken job loses one wave at most
+    and a rerun picks up where it stopped. The slow calls of a wave run in `parallelism` tasks, however
+    small its texts are. `progress` is called behind each wave with the totals of the run so far, which the
+    job observes as it writes: nothing is read again for them.
     """
     spark = items.sparkSession
     parallelism = parallelism or spark.sparkContext.defaultParallelism
     empty = spark.createDataFrame([], "key string, summary string, run bigint")
+    done = checkpoint_state(read_table(spark, store), empty)
+    key = prompts.content_key(F.col("full")).alias("key")
+    todo = pending(items, done).select(key, "full").dropDuplicates(["key"])
+    todo = materialize(todo.withColumn("wave", F.pmod(F.xxhash64("key"), F.lit(waves)).cast("int")), "pending")
+    totals = dict.fromkeys(USAGE, 0) | {"cost": 0.0}
     for wave in range(waves):
-        done = checkpoint_state(read_table(spark, store), empty)
-        todo = pending(items, done).select(prompts.content_key(F.col("full")).alias("key"), "full")
-        todo = todo.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == wave).dropDuplicates(["key"])
-        todo = todo.repartition(parallelism, "key")
-        results = todo.mapInPandas(rewriter(fn, **options), REWRITE_SCHEMA)
+        own = todo.where(F.col("wave") == wave).select("key", "full").repartition(parallelism, "key")
+        seen = Observation()
+        results = own.mapInPandas(rewriter(fn, **options), REWRITE_SCHEMA).observe(seen, *usage_columns())
         results.withColumn("run", F.lit(run).cast("bigint")).write.mode("append").parquet(store)
+        totals = {n: totals[n] + (seen.get[n] or 0) for n in USAGE}
+        if progress:
+            progress(dict(totals))
+    discard(todo)
     return apply_checkpoint(items, checkpoint_state(read_table(spark, store), empty))
 
 
@@ -74,14 +87,14 @@ def checkpoint_state(stored, empty: DataFrame) -> DataFrame:
     return last_per_key(rows, "key", "summary", "run")
 
 
+def usage_columns():
+    """What a rewriting job counts: calls, tokens and cost."""
+    return [F.count(F.lit(1)).alias("calls"), *[F.sum(c).alias(c) for c in USAGE[1:]]]
+
+
 def usage_totals(results: DataFrame) -> DataFrame:
     """Tokens and cost of the rewriting job per model."""
-    return results.groupBy("model").agg(
-        F.count(F.lit(1)).alias("calls"),
-        F.sum("input_tokens").alias("input_tokens"),
-        F.sum("output_tokens").alias("output_tokens"),
-        F.sum("cost").alias("cost"),
-    )
+    return results.groupBy("model").agg(*usage_columns())
 
 
 def batch_of(ord_: Column, size: int = config.BATCH_SIZE) -> Column:

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pricelens import config
 from pricelens.functions import scoring
+from pricelens.operators import inverted, retrieve
 from pricelens.operators.order import hash_key
+from pricelens.session import materialize
 
 # Tokens of two or more word characters, in lower case.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -57,6 +59,71 @@ def linear_price(train: DataFrame) -> Priced:
     return Priced(Pipeline(stages=[assemble, regress]).fit(with_features(train)), prepare=with_features)
 
 
+class Retrieved:
+    """Prices of the most similar known texts: vectors of both sides, a distributed neighbour join, a mean by inverse distance.
+
+    `embed` adds a column `embedding` to rows with a `summary`. With `lists` the search is approximate.
+    """
+
+    def __init__(self, known: DataFrame, embed, k: int = config.NEIGHBOURS, lists=None, entries: DataFrame = None):
+        self.known, self.embed, self.k, self.lists, self.entries = known, embed, k, lists, entries
+
+    def price(self, items: DataFrame, name: str = "guess") -> DataFrame:
+        """Every row of `items` (by its `id`); one without a vector or a neighbour has no guess."""
+        asked = materialize(self.embed(items).select("id", "embedding").where(F.col("embedding").isNotNull()), "asked")
+        if self.lists is None:
+            found = retrieve.nearest(asked, self.known, self.k)
+        else:
+            found = inverted.search(asked, self.known, self.entries, self.lists, self.k)
+        guesses = retrieve.neighbour_price(found.join(self.known.select("id", "price"), "id"))
+        return items.join(guesses.select(F.col("query_id").alias("id"), F.col("guess").alias(name)), "id", "left").select(*items.columns, name)
+
+
+def retrieval_price(train: DataFrame, embed=None, k: int = config.NEIGHBOURS, approximate: bool = False) -> Retrieved:
+    """Keep the vectors and prices of `train`; by default those of `text_encoder`, fitted on it."""
+    if embed is None:
+        encoder = text_encoder(train)
+        embed = lambda rows: embed_text(rows, encoder)
+    known = materialize(embed(train).select("id", "price", "embedding").where(F.col("embedding").isNotNull()), "known")
+    lists = inverted.learn(known) if approximate else None
+    entries = materialize(inverted.encode(known, lists), "entries") if lists else None
+    return Retrieved(known, embed, k, lists, entries)
+
+
+class Blended:
+    """A weighted mean of the clamped prices of fitted models; the weights are those of the models given.
+
+    Where one has no price, the row has none.
+    """
+
+    def __init__(self, fitted: dict, weights: dict = None):
+        weights = config.ENSEMBLE_WEIGHTS if weights is None else weights
+        total = sum(weights[name] for name in fitted)
+        self.fitted, self.weights = fitted, {name: weights[name] / total for name in fitted}
+
+    def price(self, items: DataFrame, name: str = "guess") -> DataFrame:
+        rows = items
+        for i, model in enumerate(self.fitted.values()):
+            rows = model.price(rows, f"_price_{i}")
+        parts = [F.lit(w) * scoring.clamp_price(F.col(f"_price_{i}")) for i, w in enumerate(self.weights.values())]
+        return rows.withColumn(name, sum(parts[1:], parts[0])).select(*items.columns, name)
+
+
+def ensemble_price(train: DataFrame, embed=None, **parameters) -> Blended:
+    """Retrieval and the model of the log price, by the configured weights."""
+    return Blended({"frontier": retrieval_price(train, embed, **parameters), "neural_network": log_target_price(train)[0]})
+
+
+def log_features_price(train: DataFrame) -> Priced:
+    """The model of the log price on weight, weight-unknown and text length instead of words, by the normal equations."""
+    stats = log_target_stats(train).first()
+    assemble = VectorAssembler(inputCols=["f_weight", "f_weight_unknown", "f_text_length"], outputCol="features")
+    regress = LinearRegression(labelCol="_target", solver="normal", regParam=0.0)
+    target = with_features(train).withColumn("_target", (F.log1p("price") - stats["y_mean"]) / stats["y_std"])
+    found = from_log_target(Pipeline(stages=[assemble, regress]).fit(target), stats["y_mean"], stats["y_std"])
+    return Priced(found.model, prepare=with_features, finish=found.finish)
+
+
 def word_stages(stop_words=None):
     remover = StopWordsRemover(inputCol="tokens", outputCol="words")
     if stop_words is not None:
@@ -103,10 +170,28 @@ def forest_price(train: DataFrame, rows: int = config.FOREST_ROWS, trees: int =
     return _text_model(train.where(F.col("ord") < rows), bag_of_words(train), forest)
 
 
-def boosted_price(train: DataFrame, rounds: int = config.BOOSTING_ROUNDS, depth: int = 6) -> Priced:
-    """Boosted trees at rate 0.1."""
+def boosted_price(train: DataFrame, rounds: int = config.BOOSTING_ROUNDS, depth: int = 6, holdout: str = None) -> Priced:
+    """Boosted trees at rate 0.1, `rounds` of them at the most.
+
+    With `holdout`, a boolean column (as `curate.holdout` adds it), these rows don't train, and rounds end
+    where their error improves no more; the model keeps the rounds before that.
+    """
     boost = GBTRegressor(labelCol="price", stepSize=0.1, maxDepth=depth, maxIter=rounds, seed=config.SEED)
-    return _text_model(train, bag_of_words(train), boost)
+    if holdout:
+        boost = boost.setValidationIndicatorCol(holdout)
+    return _text_model(train, bag_of_words(train.where(~F.col(holdout)) if holdout else train), boost)
+
+
+def rounds_used(fitted: Priced) -> int:
+    """Trees of a boosted model."""
+    return fitted.model.stages[-1].getNumTrees
+
+
+def validated(train: DataFrame, fit, holdout: str = "holdout", **parameters) -> tuple[Priced, float]:
+    """A model fitted on the rows that are not held out, and its mean error in dollars on those that are."""
+    fitted = fit(train.where(~F.col(holdout)), **parameters)
+    held = fitted.price(train.where(F.col(holdout)))
+    return fitted, held.agg(F.avg(F.abs(F.col("guess") - F.col("price")))).first()[0]
 
 
 def hashed_words(size: int = config.HASH_FEATURES, stop_words=None):
@@ -118,10 +203,14 @@ def hashed_words(size: int = config.HASH_FEATURES, stop_words=None):
     ]
 
 
-def log_target_price(train: DataFrame, regressor=None) -> tuple[Priced, float, float]:
+# Passes over the rows that the hashed models make, and after which of them a validation looks at the error.
+PASSES, LOOKS = 50, (1, 2, 5, 10, 20, 50)
+
+
+def log_target_price(train: DataFrame, regressor=None, passes: int = PASSES) -> tuple[Priced, float, float]:
     """Regression on the standardised log price; answers are turned back into dollars."""
     stats = log_target_stats(train).first()
-    regress = regressor or LinearRegression(labelCol="_target", solver="l-bfgs", regParam=0.01, maxIter=50)
+    regress = regressor or LinearRegression(labelCol="_target", solver="l-bfgs", regParam=0.01, maxIter=passes)
     target = train.withColumn("_target", (F.log1p("price") - stats["y_mean"]) / stats["y_std"])
     model = Pipeline(stages=[*hashed_words(), regress]).fit(target)
     return from_log_target(model, stats["y_mean"], stats["y_std"]), stats["y_mean"], stats["y_std"]
@@ -131,9 +220,21 @@ def from_log_target(model: PipelineModel, mean: float, std: float) -> Priced:
     return Priced(model, finish=lambda y: scoring.nonneg(F.exp(y * std + mean) - 1))
 
 
-def hashed_price(train: DataFrame) -> Priced:
+def hashed_price(train: DataFrame, passes: int = PASSES) -> Priced:
     """Linear model on the hashed bag with the plain price as target."""
-    return _text_model(train, hashed_words(), LinearRegression(labelCol="price", solver="l-bfgs", regParam=0.01, maxIter=50))
+    return _text_model(train, hashed_words(), LinearRegression(labelCol="price", solver="l-bfgs", regParam=0.01, maxIter=passes))
+
+
+def validation_curve(train: DataFrame, fit, looks=LOOKS, holdout: str = "holdout") -> tuple[Priced, list[tuple[int, float]]]:
+    """The model whose mean error in dollars on the held-out rows is least, and that error after each number of passes.
+
+    A linear regression can't go on from an earlier model, so each look fits anew; as looks grow by a factor,
+    all of them together cost about twice the last one. Of equal errors the fewest passes count.
+    """
+    whole = materialize(train, "validation")
+    found = [(*validated(whole, fit, holdout, passes=n), n) for n in looks]
+    best = min(found, key=lambda f: (f[1], f[2]))[0]
+    return best, [(n, error) for _, error, n in found]
 
 
 def text_encoder(items: DataFrame, size: int = 256) -> PipelineModel:
@@ -168,4 +269,7 @@ MODELS = {
     "boosted": boosted_price,
     "hashed": hashed_price,
     "log_target": lambda train, **parameters: log_target_price(train, **parameters)[0],
+    "log_features": log_features_price,
+    "retrieval": retrieval_price,
+    "ensemble": ensemble_price,
 }

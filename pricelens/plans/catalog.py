@@ -295,6 +295,16 @@ def token_count(spark, sf):
     )
 
 
+@query
+def subword_prompts(spark, sf):
+    """Token counts and texts cut to the limit by a public subword vocabulary."""
+    import public_tokenizers
+
+    count, cut = hooks.piece_hooks(str(public_tokenizers.path("piece_bpe_32k.model")), config.TOKEN_CUTOFF)
+    rows = views.items_summary(spark, sf)
+    return rows.select("id", count("summary").alias("tokens"), cut("summary").alias("text"))
+
+
 @query
 def prompt_pairs(spark, sf):
     return enrich.prompt_pairs(views.splits(spark, sf), 30).select("split", "ord", "prompt", "completion")
@@ -592,6 +602,15 @@ def usage_totals(spark, sf):
     return enrich.usage_totals(spark.read.parquet(path)).withColumn("cost", F.round("cost", 6))
 
 
+@query
+def usage_progress(spark, sf):
+    """The totals that the job itself observed, behind each of its waves."""
+    path, rows, told = scratch_path(spark, "store"), materialize(views.open_summaries(spark, sf), "open"), []
+    enrich.map_with_checkpoint(rows, _card, path, waves=2, progress=told.append)
+    told = [(i, *[t[c] for c in enrich.USAGE]) for i, t in enumerate(told)]
+    return spark.createDataFrame(told, "wave int, calls bigint, input_tokens bigint, output_tokens bigint, cost double").where("wave = 1").drop("wave")
+
+
 @query
 def best_deal(spark, sf):
     best = deal_ops.best_deal(views.priced_deals(spark, sf), "feed")
@@ -743,14 +762,32 @@ def linear_price(spark, sf):
     return _fitted("linear")(spark, sf).withColumn("guess", F.round("guess", 4))
 
 
-# The queries name smaller trees and fewer rounds than the models' own defaults, to end in seconds.
+# The query names smaller trees than the model's own default, to end in seconds.
 for key, model, parameters in (
     ("nlp_linear_price", "nlp_linear", {}), ("forest_price", "random_forest", {"depth": 5}),
-    ("boosted_price", "boosted", {"rounds": 20}), ("log_target_price", "log_target", {}), ("hashed_price", "hashed", {}),
+    ("log_target_price", "log_target", {}), ("hashed_price", "hashed", {}),
 ):
     QUERIES[key] = _fitted(model, **parameters)
 
 
+@query
+def boosted_price(spark, sf):
+    """Boosting that ends where the held-out rows gain no more, with the rounds that it took."""
+    frame = views.splits(spark, sf)
+    train = materialize(curate.holdout(part_of(frame, "train")), "train")
+    fitted = models.boosted_price(train, holdout="holdout")
+    rows = fitted.price(part_of(frame, "test"))
+    return rows.select("id", "ord", "price", "guess", F.lit(models.rounds_used(fitted)).alias("rounds"))
+
+
+@query
+def validation_curve(spark, sf):
+    """Error in dollars on the held-out rows after more and more passes, for both hashed models."""
+    train = materialize(curate.holdout(part_of(views.splits(spark, sf), "train")), "train")
+    curves = [(name, n, error) for name in ("log_target", "hashed") for n, error in models.validation_curve(train, models.MODELS[name])[1]]
+    return spark.createDataFrame(curves, "model string, passes int, error double")
+
+
 @query
 def bag_of_words(spark, sf):
     return models.term_totals(part_of(views.splits(spark, sf), "train"))
@@ -782,15 +819,25 @@ def knn_price(spark, sf):
     return _knn_guesses(spark, sf).select("query_id", "price", F.round("guess", 4).alias("guess"))
 
 
+def _by_letters(rows):
+    return rows.withColumn("embedding", hooks.encode_hook(_Letters)(F.col("summary")))
+
+
+def _blended(train):
+    """Fitted models by name: linear, retrieval by letters, the log price on features, and a blend of these two."""
+    fitted = {"linear": models.MODELS["linear"](train), "retrieval": models.MODELS["retrieval"](train, _by_letters), "log_features": models.MODELS["log_features"](train)}
+    return fitted | {"ensemble": models.Blended({"frontier": fitted["retrieval"], "neural_network": fitted["log_features"]})}
+
+
 @query
 def ensemble_predict(spark, sf):
-    """Retrieval and a second estimate blended per item and scored."""
-    rows = _knn_guesses(spark, sf)
-    long = rows.select("query_id", F.inline(F.array(
-        F.struct(F.lit("frontier").alias("model"), F.col("guess")),
-        F.struct(F.lit("neural_network").alias("model"), models.random_price(F.col("query_id")).alias("guess")),
-    )))
-    return evaluate.weighted_estimate(long, config.ENSEMBLE_WEIGHTS, "query_id", active=config.ACTIVE_MODELS).select("query_id", F.round("guess", 4).alias("guess"))
+    """Prices of similar texts and of a fitted model, blended per item."""
+    frame = views.splits(spark, sf)
+    fitted = _blended(part_of(frame, "train"))
+    rows = part_of(frame, "test").select("id", "price", "summary", "weight")
+    for model, name in (("retrieval", "retrieval"), ("log_features", "log_features"), ("ensemble", "guess")):
+        rows = materialize(fitted[model].price(rows, name), model)
+    return rows.select("id", *[F.round(c, 4).alias(c) for c in ("retrieval", "log_features", "guess")])
 
 
 @query
@@ -800,13 +847,26 @@ def predict_table(spark, sf):
 
 @query
 def evaluate_(spark, sf):
-    """Baselines and a model fitted by its name: metrics, final running error and band counts, a row per model."""
+    """Baselines, guesses by hand and models fitted by name: metrics, missing guesses and band counts, a row per model."""
     frame = views.splits(spark, sf)
     train, test = part_of(frame, "train"), part_of(frame, "test")
-    fitted = {"linear": models.MODELS["linear"](train)}
-    rows = views.predictions(spark, sf, frame).unionByName(evaluate.predict_fitted(test, fitted))
+    sheet = test.where("category <> 'Appliances'").select("summary", F.length("summary").cast("double").alias("guess")).distinct()
+    by_hand = evaluate.guess_by_hand(test, sheet)
+    human = evaluate.predict_table(by_hand, human=F.col("guess"))
+    rows = evaluate.union_tables(views.predictions(spark, sf, frame), evaluate.predict_fitted(test, _blended(train)), human)
     report = evaluate.evaluate(materialize(rows, "predictions"))
-    return report.select(*_metric_columns("model"), F.round("last_mean", 4).alias("last_mean"), "green", "orange", "red")
+    return report.select(*_metric_columns("model"), "missing", "green", "orange", "red")
+
+
+@query
+def evaluate_prompts(spark, sf):
+    """Prompt rows as evaluation data: truth and title come out of the texts."""
+    frame = views.splits(spark, sf)
+    asked = enrich.prompt_pairs(part_of(frame, "test"))
+    mean = models.mean_price(part_of(frame, "train"))
+    length = F.length(prompts.truncate(F.col("summary"), config.TOKEN_CUTOFF)) / 10
+    rows = evaluate.predict_prompts(asked, constant=mean, prompt_length=length)
+    return rows.select("model", "ord", "title", "truth", r6("guess"), r6("error"), "color")
 
 
 @query

@@ -101,16 +101,20 @@ items AS (SELECT * FROM (SELECT r.id, title, category, {_number('price')} AS pri
   FROM raw r JOIN scrubbed USING (id)) WHERE price BETWEEN 0.5 AND 999.49 AND length("full")>=600)"""
 
 
-def _sentence(n):
-    body = f"replace(regexp_replace(split_part(\"full\",chr(10),{n}),'^\\[[''\"]',''),'\\n',' ')"
-    return f"CASE WHEN regexp_extract({body},'^[^.!?]*[.!?]')='' THEN {body} ELSE regexp_extract({body},'^[^.!?]*[.!?]') END"
+def _first_sentences(texts):
+    """First sentences of the texts that aren't blank."""
+    lines = f"list_filter(list_transform({texts}, lambda t: trim(regexp_replace(t,'[\\t-\\r ]+',' ','g'))), lambda t: t<>'')"
+    return f"list_transform({lines}, lambda t: coalesce(nullif(regexp_extract(t,'^[^.!?]*[.!?]'),''),t))"
 
 
-_BRAND = "regexp_extract(\"full\",'\"Brand\": \"([^\"]*)\"',1)"
+# Title, category, brand, one sentence about the product and one on its features; the weight is the one detail
+# besides brand and part number.
 CARDS = f"""
-cards AS (SELECT id, 'Title: '||split_part("full",chr(10),1)||chr(10)||'Category: '||replace(category,'_',' ')||chr(10)
-  ||'Brand: '||CASE WHEN {_BRAND}='' THEN 'Unknown' ELSE {_BRAND} END||chr(10)||'Description: '||{_sentence(2)}
-  ||chr(10)||'Details: '||{_sentence(3)} AS summary FROM items),
+sentences AS (SELECT r.id, i.title, i.category, details->>'$.Brand' AS brand, 'Item Weight: '||(details->>'$."Item Weight"') AS other,
+  {_first_sentences('description')} AS d, {_first_sentences('features')} AS f FROM raw r JOIN items i ON i.id=r.id),
+cards AS (SELECT id, 'Title: '||coalesce(nullif(trim(title),''),'Unknown')||chr(10)||'Category: '||replace(category,'_',' ')||chr(10)
+  ||'Brand: '||coalesce(nullif(trim(brand),''),'Unknown')||chr(10)||'Description: '||coalesce(d[1],f[1],'Unknown')||chr(10)
+  ||'Details: '||coalesce(CASE WHEN len(d)>0 THEN f[1] ELSE f[2] END,other,'Unknown') AS summary FROM sentences),
 {_codes('card', 'cards', 'id', 'summary')},
 summ AS (SELECT i.*, c.summary FROM items i JOIN card c USING (id))"""
 
@@ -190,11 +194,6 @@ near AS (SELECT k.*, i.document, i.price FROM knn k JOIN idx i USING (id)),
 knn_guess AS (SELECT query_id, sum(price/(distance+1e-9::double))/sum(1/(distance+1e-9::double)) AS guess FROM near GROUP BY query_id)"""
 
 
-def _letters(x):
-    """Counts of the small letters of a text."""
-    return f"list_transform(string_split('abcdefghijklmnopqrstuvwxyz',''), lambda c: (length({x})-length(replace({x},c,'')))::double)"
-
-
 def _apart(a, b):
     """Squared distance of two lists of whole numbers, exact in doubles."""
     return f"(list_dot_product({a},{a})-2*list_dot_product({a},{b})+list_dot_product({b},{b}))"
@@ -287,15 +286,43 @@ alerts AS (SELECT 0::bigint AS batch_id, * FROM poll0 UNION ALL SELECT 1, * FROM
 
 # Least squares by successive residuals: each feature is cleared of the ones before it, so that the
 # single slopes against the residuals give the joint fit.
-LINEAR = """
-f0 AS (SELECT id, ord, price, split, weight AS w, (weight=0)::int::double AS u, length(summary)::double AS l FROM splits WHERE split<>'validation'),
-c0 AS (SELECT avg(w) AS mw, avg(u) AS mu, avg(l) AS ml, avg(price) AS my FROM f0 WHERE split='train'),
-f1 AS (SELECT f0.*, w-mw AS r1, u-mu AS du, l-ml AS dl, price-my AS dy, my FROM f0, c0),
-c1 AS (SELECT regr_slope(du,r1) AS a, regr_slope(dl,r1) AS b, regr_slope(dy,r1) AS k1 FROM f1 WHERE split='train'),
-f2 AS (SELECT f1.*, du-a*r1 AS r2, dl-b*r1 AS el, k1 FROM f1, c1),
-c2 AS (SELECT regr_slope(el,r2) AS b2, regr_slope(dy,r2) AS k2 FROM f2 WHERE split='train'),
-f3 AS (SELECT f2.*, el-b2*r2 AS r3, k2 FROM f2, c2),
-c3 AS (SELECT regr_slope(dy,r3) AS k3 FROM f3 WHERE split='train')"""
+
+
+def _letters(x):
+    """Counts of the small letters of a text."""
+    return f"list_transform(string_split('abcdefghijklmnopqrstuvwxyz',''), lambda c: (length({x})-length(replace({x},c,'')))::double)"
+
+
+def _least_squares(target, p=""):
+    """Least squares of `target` on weight, weight unknown and text length, one feature after the other; prefix `p` of its tables."""
+    return f"""
+{p}f0 AS (SELECT id, ord, price, split, {target} AS y, weight AS w, (weight=0)::int::double AS u, length(summary)::double AS l FROM splits WHERE split<>'validation'),
+{p}c0 AS (SELECT avg(w) AS mw, avg(u) AS mu, avg(l) AS ml, avg(y) AS my FROM {p}f0 WHERE split='train'),
+{p}f1 AS (SELECT f.*, w-mw AS r1, u-mu AS du, l-ml AS dl, y-my AS dy, my FROM {p}f0 f, {p}c0),
+{p}c1 AS (SELECT regr_slope(du,r1) AS a, regr_slope(dl,r1) AS b, regr_slope(dy,r1) AS k1 FROM {p}f1 WHERE split='train'),
+{p}f2 AS (SELECT f.*, du-a*r1 AS r2, dl-b*r1 AS el, k1 FROM {p}f1 f, {p}c1),
+{p}c2 AS (SELECT regr_slope(el,r2) AS b2, regr_slope(dy,r2) AS k2 FROM {p}f2 WHERE split='train'),
+{p}f3 AS (SELECT f.*, el-b2*r2 AS r3, k2 FROM {p}f2 f, {p}c2),
+{p}c3 AS (SELECT regr_slope(dy,r3) AS k3 FROM {p}f3 WHERE split='train')"""
+
+
+def _truncate(n):
+    words = "list_filter(string_split_regex(summary,'\\s+'), lambda t: t<>'')"
+    return f"CASE WHEN len({words})>{n} THEN rtrim(array_to_string(({words})[1:{n}],' ')) ELSE summary END"
+
+
+_PROMPT_TITLE = f"split_part(split_part({_PROMPT_HEAD}||{_truncate(110)}||{_PROMPT_TAIL},'Title: ',2),chr(10),1)"
+LINEAR = _least_squares("price")
+# Prices of the five training texts with the most similar letters, and the log-price regression, blended.
+BLENDED = [LINEAR, _least_squares("ln(price+1)", "l"), f"""
+letters AS (SELECT id, ord, price, split, {_letters('summary')} AS v FROM splits WHERE split<>'validation'),
+alike AS (SELECT t.id, i.price, pow(list_distance(t.v,i.v),2) AS distance FROM letters t JOIN letters i ON t.split='test' AND i.split='train'
+  QUALIFY row_number() OVER (PARTITION BY t.id ORDER BY round(pow(list_distance(t.v,i.v),2),9), i.id)<=5),
+retrieved AS (SELECT id, sum(price/(round(distance,9)+1e-9::double))/sum(1/(round(distance,9)+1e-9::double)) AS guess FROM alike GROUP BY id),
+fitted AS (SELECT f.id, my+k1*r1+k2*r2+k3*r3 AS linear, r.guess AS retrieval,
+  (SELECT greatest(0.0,exp(l.my+l.k1*l.r1+l.k2*l.r2+lc3.k3*l.r3)-1) FROM lf3 l, lc3 WHERE l.id=f.id) AS log_features
+  FROM f3 f JOIN retrieved r ON r.id=f.id, c3 WHERE f.split='test'),
+blended AS (SELECT *, 0.8::double/0.9*greatest(0.5,least(999.49,retrieval))+0.1::double/0.9*greatest(0.5,least(999.49,log_features)) AS ensemble FROM fitted)"""]
 
 _ITEMS = [RAW, SCRUBBED, ITEMS]
 _SUMM = [*_ITEMS, CARDS]
@@ -314,11 +341,6 @@ _ROW = 'title, category, price, "full", round(weight,6) AS weight'
 _TEXT = f"SELECT id, array_to_string(list_filter(string_split_regex(summary,'\\s+'), lambda t: t<>''),' ') AS t FROM splits"
 
 
-def _truncate(n):
-    words = "list_filter(string_split_regex(summary,'\\s+'), lambda t: t<>'')"
-    return f"CASE WHEN len({words})>{n} THEN rtrim(array_to_string(({words})[1:{n}],' ')) ELSE summary END"
-
-
 def _completion():
     return f"CASE WHEN split='test' THEN price::varchar ELSE {_dollars('price')} END"
 
@@ -457,6 +479,8 @@ ORACLES = {
   count(summary)=count(*) AS done, CASE WHEN ord//100<(SELECT max(ord)//100 FROM answered) THEN 'batch_'||(ord//100) END AS batch_id
   FROM answered GROUP BY ord//100)"""),
     "usage_totals": _sql([*_ITEMS, OPEN], f"""SELECT 'primary' AS model, count(*) AS calls, sum(i)::bigint AS input_tokens, sum(o)::bigint AS output_tokens, 0.0::double AS cost FROM (
+  SELECT DISTINCT "full", {_words('"full"')} AS i, {_words("'Card: '||split_part(\"full\",chr(10),1)")} AS o FROM open_items WHERE nullif(summary,'') IS NULL)"""),
+    "usage_progress": _sql([*_ITEMS, OPEN], f"""SELECT count(*) AS calls, sum(i)::bigint AS input_tokens, sum(o)::bigint AS output_tokens, 0.0::double AS cost FROM (
   SELECT DISTINCT "full", {_words('"full"')} AS i, {_words("'Card: '||split_part(\"full\",chr(10),1)")} AS o FROM open_items WHERE nullif(summary,'') IS NULL)"""),
     "best_deal": _sql([*_PRICED, MEMORY], "SELECT feed, url, price, round(estimate,6) AS estimate, round(discount,6) AS discount FROM best"),
     "leaderboard": _sql(_PRED, """, m AS (SELECT 'all' AS test_set, model, avg(error) AS error FROM predictions GROUP BY model
@@ -501,8 +525,7 @@ ORACLES = {
     "log_target": _sql(_SPLITS, """SELECT id, round((ln(price+1)-m)/s,6) AS z, round(greatest(0.0,exp((ln(price+1)-m)/s*s+m)-1),6) AS price_again
   FROM splits, (SELECT avg(ln(price+1)) AS m, stddev_samp(ln(price+1)) AS s FROM splits WHERE split='train') WHERE split='train'"""),
     "knn_price": _sql([INDEX, KNN], "SELECT g.query_id, i.price, round(g.guess,4) AS guess FROM knn_guess g JOIN idx i ON i.id=g.query_id"),
-    "ensemble_predict": _sql([INDEX, KNN], f"""SELECT query_id, round(0.8::double/0.9*greatest(0.5,least(999.49,guess))
-  +0.1::double/0.9*greatest(0.5,least(999.49,{_random('query_id')})),4) AS guess FROM knn_guess"""),
+    "ensemble_predict": _sql([*_SPLITS, *BLENDED], "SELECT id, round(retrieval,4) AS retrieval, round(log_features,4) AS log_features, round(ensemble,4) AS guess FROM blended"),
     "predict_table": _sql(_PRED, "SELECT model, ord, title, truth, round(guess,6) AS guess, round(error,6) AS error, color FROM predictions"),
     "knn_lsh": _sql([INDEX, LISTED], "SELECT query_id, rank, id, round(distance,6) AS distance FROM listed"),
     "knn_recall": _sql([INDEX, KNN, LISTED], """SELECT (SELECT count(*) FROM idx) AS queries, round(count(l.id)/count(*)::double,4) AS recall,
@@ -518,13 +541,23 @@ asked AS (SELECT doc_id AS query_id, {_letters('split_part(text,chr(10),1)')} AS
 far AS (SELECT query_id, id, lang, source, pow(list_distance(asked.v,stored.v),2) AS distance FROM asked, stored)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance,9), id)::int AS rank, 'doc_'||id AS doc, lang, source, round(distance,6) AS distance
 FROM far QUALIFY rank<=5""",
-    "evaluate": _sql([*_PRED, LINEAR, f"""
-lin AS (SELECT 'linear' AS model, f3.ord, {_CLIP} AS title, f3.price AS truth, my+k1*r1+k2*r2+k3*r3 AS guess FROM f3 JOIN splits USING (id), c3 WHERE f3.split='test'),
-scored AS (SELECT model, ord, title, truth, guess, error, color FROM predictions UNION ALL
-  SELECT *, {_BAND} AS color FROM (SELECT *, abs(guess-truth) AS error FROM lin)),
-metrics AS (SELECT model, {_METRICS} FROM scored GROUP BY model)"""], """SELECT m.model, n, round(m.error,4) AS error, round(ci,4) AS ci, round(mse,4) AS mse, round(r2,4) AS r2,
-  round(m.error,4) AS last_mean, count(*) FILTER (color='green') AS green, count(*) FILTER (color='orange') AS orange, count(*) FILTER (color='red') AS red
+    "evaluate": _sql([*_PRED, *BLENDED, f"""
+human AS (SELECT summary, length(summary)::double AS guess FROM splits WHERE split='test' AND category<>'Appliances' GROUP BY summary),
+fits AS (SELECT id, unnest([{{'model':'linear','guess':linear}},{{'model':'retrieval','guess':retrieval}},{{'model':'log_features','guess':log_features}},
+  {{'model':'ensemble','guess':ensemble}}]) AS g FROM blended),
+more AS (SELECT g.model, id, g.guess FROM fits UNION ALL SELECT 'human', id, human.guess FROM splits s LEFT JOIN human ON human.summary=s.summary WHERE split='test'),
+scored AS (SELECT model, ord, title, truth, guess, error, color FROM predictions UNION ALL SELECT *, {_BAND} AS color FROM
+  (SELECT model, ord, {_CLIP} AS title, price AS truth, guess, abs(guess-price) AS error FROM more JOIN splits USING (id))),
+metrics AS (SELECT model, count(*) AS n, avg(error) AS error, CASE WHEN count(*)>1 THEN 1.96*stddev_pop(error)/sqrt(count(*)) ELSE 0.0 END AS ci,
+  avg(error*error) AS mse, {_R2} AS r2 FROM scored GROUP BY model)"""], """SELECT m.model, n, round(m.error,4) AS error, round(ci,4) AS ci, round(mse,4) AS mse, round(r2,4) AS r2,
+  count(*) FILTER (guess IS NULL) AS missing, count(*) FILTER (color='green') AS green, count(*) FILTER (color='orange') AS orange, count(*) FILTER (color='red') AS red
   FROM metrics m JOIN scored p ON p.model=m.model GROUP BY ALL"""),
+    "evaluate_prompts": _sql([*_SPLITS, f"""
+asked AS (SELECT s.ord, CASE WHEN length({_PROMPT_TITLE})>40 THEN substr({_PROMPT_TITLE},1,40)||'...' ELSE {_PROMPT_TITLE} END AS title, price AS truth,
+  unnest([{{'model':'constant','guess':(SELECT avg(price) FROM splits WHERE split='train')}},{{'model':'prompt_length','guess':length({_truncate(110)})/10.0::double}}]) AS g
+  FROM splits s WHERE split='test'),
+scored AS (SELECT *, {_BAND} AS color FROM (SELECT g.model, ord, title, truth, g.guess, abs(g.guess-truth) AS error FROM asked))"""],
+        "SELECT model, ord, title, truth, round(guess,6) AS guess, round(error,6) AS error, color FROM scored"),
     "map_with_checkpoint": _sql([*_ITEMS, OPEN], "SELECT id, coalesce(nullif(summary,''),'Card: '||split_part(\"full\",chr(10),1)) AS summary FROM open_items"),
     "encode_hook": _sql(_SUMM, f"SELECT id, length(summary)::double AS chars, {_words('summary')}::double AS words, len(string_split(summary,chr(10)))::double AS lines FROM summ"),
     "predictor_hook": _sql(_SPLITS, f"""SELECT 'custom' AS model, ord, {_CLIP} AS title, price AS truth, guess, round(abs(guess-price),6) AS error, color FROM (

@@ -58,17 +58,8 @@ def items(spark, sf) -> DataFrame:
     return curate.parse_items(raw_items(spark, sf))
 
 
-@once_per_session
-def _card():
-    return prompts.summary_card(F.col("full"), F.col("category"))
-
-
-def with_cards(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("summary", _card())
-
-
 def items_summary(spark, sf) -> DataFrame:
-    return with_cards(items(spark, sf))
+    return curate.parse_items(raw_items(spark, sf), cards=True)
 
 
 def deduplicated(spark, sf) -> DataFrame:
@@ -81,12 +72,12 @@ def splits(spark, sf, shares=SPLIT_SHARES) -> DataFrame:
     Duplicates are found and positions are given on narrow rows, with a digest for the text. The texts
     join them at the end; what was written on the way is dropped.
     """
-    whole = materialize(items(spark, sf), "items")
+    whole = materialize(items_summary(spark, sf), "items")
     narrow = whole.select("id", "title", "category", "price", F.sha2("full", 256).alias("full"))
     unique = materialize(curate.deduplicate(narrow), "unique")
     drawn = materialize(curate.weighty(unique), "drawn")
     parts = curate.split(curate.shuffled(drawn), shares, total=curate.row_count(drawn), proportional=True)
-    out = materialize(with_cards(whole.join(parts.select("id", "split", "ord"), "id")), "splits")
+    out = materialize(whole.join(parts.select("id", "split", "ord"), "id"), "splits")
     discard(whole, unique, drawn)
     return out
 

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pricelens import config
@@ -234,3 +235,45 @@ def test_rewriting_runs_in_parallel_and_keeps_finished_waves(spark, tmp_path):
     wave = rows.where(F.pmod(F.xxhash64(prompts.content_key(F.col("full"))), F.lit(4)) == 0).count()
     hit = rows.where("full = 'text 7'").select(F.pmod(F.xxhash64(prompts.content_key(F.col("full"))), F.lit(4))).first()[0]
     assert out.count("first") >= (wave if hit > 0 else 0)
+
+
+def test_observed_totals_equal_the_stored_ones_after_a_broken_run(spark, tmp_path):
+    """A wave that breaks is neither stored nor told; the rerun tells its own calls."""
+    store = str(tmp_path / "store")
+    rows = spark.createDataFrame([(i, f"text number {i}", None) for i in range(40)], "id bigint, full string, summary string")
+    told, later = [], []
+
+    def work(text):
+        return text.upper(), 3, 2, 0.5
+
+    class Lost(Exception):
+        pass
+
+    def progress(totals):
+        told.append(totals)
+        if len(told) == 2:
+            raise Lost
+
+    stored = lambda: enrich.usage_totals(spark.read.parquet(store)).collect()[0]
+    with pytest.raises(Lost):
+        enrich.map_with_checkpoint(rows, work, store, waves=4, progress=progress)
+    assert {c: stored()[c] for c in enrich.USAGE} == told[-1] and 0 < told[-1]["calls"] < 40
+    out = enrich.map_with_checkpoint(rows, work, store, waves=4, run=1, progress=later.append)
+    assert [r.summary for r in out.orderBy("id").collect()] == [f"TEXT NUMBER {i}" for i in range(40)]
+    assert len(later) == 4 and later[-1]["calls"] + told[-1]["calls"] == stored()["calls"] == 40
+    assert later[-1]["cost"] == later[-1]["calls"] * 0.5
+
+
+def test_subword_tokens_equal_the_library(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["", None, "short", "Title: Kettle  with\nlines and 漢字 and more words than fit", "x" * 300]
+    count, cut = hooks.piece_hooks(path, 7)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string").select("id", count("t").alias("n"), cut("t").alias("c")).orderBy("id").collect()
+    for r, t in zip(rows, texts):
+        ids = model.encode(t or "")
+        assert r.n == len(ids)
+        assert r.c == (t if t is None or len(ids) <= 7 else model.decode(ids[:7]).rstrip())

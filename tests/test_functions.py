@@ -104,11 +104,20 @@ def test_prompts(one):
     assert one(prompts.content_key(a), a="abc") == "a9993e364706816a"
 
 
-def test_summary_card(one):
-    full = "Kettle AB12345\n['Boils water. Fast.', 'x']\n['Steel body! Nice']\n{\"Brand\": \"Acme\"}"
-    assert one(prompts.summary_card(a, F.lit("Office_Products")), a=full) == (
-        "Title: Kettle \nCategory: Office Products\nBrand: Acme\nDescription: Boils water.\nDetails: Steel body!"
-    )
+@pytest.mark.parametrize("title, description, features, details, lines", [
+    ("Kettle AB12345", ["Boils  water.\nFast.", "x"], ["Steel body! Nice"], '{"Brand": "Acme"}', ["Kettle ", "Acme", "Boils water.", "Steel body!"]),
+    (" ", [], ["One. Two.", "Three"], '{"Part Number": "1", "Colour": "red"}', ["Unknown", "Unknown", "One.", "Three"]),
+    ("T", None, ["Only one"], '{"Brand": " ", "Colour": "red", "Size": "2"}', ["T", "Unknown", "Only one", "Colour: red"]),
+    ("T", ["  \t", "No end"], None, '{"Weight": 2.50}', ["T", "Unknown", "No end", "Weight: 2.50"]),
+    ("T", [], [], "", ["T", "Unknown", "Unknown", "Unknown"]),
+])
+def test_summary_card(spark, title, description, features, details, lines):
+    """Sections that are given, and each one missing."""
+    row = spark.createDataFrame([(title, description, features, details)], "t string, d array<string>, f array<string>, m string")
+    card = prompts.summary_card(F.col("t"), F.lit("Office_Products"), F.col("d"), F.col("f"), cleaning.details_map(F.col("m")))
+    names = ("Title", "Brand", "Description", "Details")
+    wanted = [f"{n}: {x}" for n, x in zip(names, lines)]
+    assert row.select(card).first()[0].split("\n") == [wanted[0], "Category: Office Products", *wanted[1:]]
 
 
 def test_context(one):

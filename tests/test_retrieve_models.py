@@ -105,6 +105,54 @@ def test_text_models_beat_the_constant(spark, items, name):
     assert mean_error(scored) < constant
 
 
+@pytest.mark.parametrize("approximate", [False, True])
+def test_retrieval_prices_texts_by_similar_ones(spark, items, approximate):
+    rows = prepared(items)
+    train, test = rows.where("ord < 240"), rows.where("ord >= 240")
+    scored = models.MODELS["retrieval"](train, approximate=approximate).price(test)
+    assert scored.columns == [*test.columns, "guess"] and scored.count() == test.count()
+    assert mean_error(scored) < 0.8 * mean_error(test.withColumn("guess", models.mean_price(train)))
+
+
+def test_a_blend_is_the_weighted_mean_of_its_models(spark, items):
+    rows = prepared(items)
+    train, test = rows.where("ord < 240"), rows.where("ord >= 240").withColumn("summary", F.when(F.col("ord") < 299, F.col("summary")))
+    blend = models.MODELS["ensemble"](train)
+    assert blend.weights == pytest.approx({"frontier": 8 / 9, "neural_network": 1 / 9})
+    whole = test.where("summary is not null")
+    parts = [{r["id"]: r["guess"] for r in m.price(whole).collect()} for m in blend.fitted.values()]
+    clamp = lambda x: min(max(x, 0.5), 999.49)
+    for r in blend.price(whole).collect():
+        assert r["guess"] == pytest.approx(8 / 9 * clamp(parts[0][r["id"]]) + 1 / 9 * clamp(parts[1][r["id"]]))
+
+
+def test_log_features_model_turns_answers_back_into_dollars(spark, items):
+    rows = prepared(items)
+    scored = models.log_features_price(rows).price(rows)
+    data = rows.select("weight", (F.col("weight") == 0).cast("int"), F.length("summary"), "price").orderBy("id").collect()
+    x = np.array([[1, *r[:3]] for r in data], dtype=float)
+    y = np.log1p([r[3] for r in data])
+    wanted = np.maximum(0, np.expm1(x @ np.linalg.lstsq(x, y, rcond=None)[0]))
+    assert [r["guess"] for r in scored.orderBy("id").collect()] == pytest.approx(list(wanted), rel=1e-6)
+
+
+def test_boosting_stops_where_held_out_rows_gain_no_more(spark, items):
+    rows = prepared(items).withColumn("holdout", F.col("ord") % 5 == 0)
+    fitted = models.boosted_price(rows, rounds=60, depth=3, holdout="holdout")
+    assert 1 <= models.rounds_used(fitted) < 60
+    held = rows.where("holdout")
+    assert mean_error(fitted.price(held)) < mean_error(held.withColumn("guess", models.mean_price(rows.where("not holdout"))))
+    _, error = models.validated(rows, models.linear_price)
+    assert error == pytest.approx(mean_error(models.linear_price(rows.where("not holdout")).price(held)))
+
+
+def test_validation_keeps_the_best_of_the_passes(spark, items):
+    rows = prepared(items).withColumn("holdout", F.col("ord") % 5 == 0)
+    best, curve = models.validation_curve(rows, models.MODELS["hashed"], looks=(1, 3, 20))
+    assert [n for n, _ in curve] == [1, 3, 20] and curve[-1][1] < curve[0][1]
+    assert mean_error(best.price(rows.where("holdout"))) == pytest.approx(min(e for _, e in curve))
+
+
 def test_linear_matches_normal_equations(spark, items):
     rows = items.withColumn("price", 3 * F.col("weight") + 0.5 * F.length("summary") + 7)
     priced = models.linear_price(rows).price(rows)
