@@ -9,6 +9,8 @@ from pricelens.sources.tables import read_table
 
 # `meta_Toys.jsonl`, `meta_Toys.jsonl.gz` or a folder `meta=Toys`
 _CATEGORY = r"meta[_=]([^/.]+)"
+# What `parse_items` makes of a raw row.
+_PARSED = "id bigint, title string, price double, full string, weight double, category string"
 
 
 def read_raw(spark: SparkSession, *paths: str, partitions: int = 0) -> DataFrame:
@@ -52,12 +54,17 @@ def load_categories(spark: SparkSession, path: str, categories=config.CATEGORIES
 
 
 def category_cache(spark: SparkSession, path: str, cache: str, categories=config.CATEGORIES, force=()) -> DataFrame:
-    """Parsed categories as parquet, one folder each; only missing or forced ones are parsed."""
-    stored = read_table(spark, cache)
-    present = set() if stored is None else {r[0] for r in stored.select("category").distinct().collect()}
+    """Parsed categories as parquet, one folder each; only missing or forced ones are parsed.
+
+    What has been parsed is noted beside the cache once its rows are there, so a category of which no row was
+    kept isn't parsed again, and one whose writing broke off is.
+    """
+    noted = f"{cache.rstrip('/')}-parsed"
+    done = read_table(spark, noted, "category string")
+    present = set() if done is None else {r[0] for r in done.distinct().collect()}
     wanted = [c for c in categories if c not in present or c in force]
     if wanted:
-        items = load_categories(spark, path, wanted)
-        writer = items.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer = load_categories(spark, path, wanted).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("category").parquet(cache)
-    return spark.read.parquet(cache).where(F.col("category").isin(*categories))
+        spark.createDataFrame([(c,) for c in wanted], "category string").coalesce(1).write.mode("append").parquet(noted)
+    return spark.read.schema(_PARSED).parquet(cache).where(F.col("category").isin(*categories))

@@ -277,3 +277,20 @@ def test_subword_tokens_equal_the_library(spark):
         ids = model.encode(t or "")
         assert r.n == len(ids)
         assert r.c == (t if t is None or len(ids) <= 7 else model.decode(ids[:7]).rstrip())
+
+
+def test_a_category_without_a_kept_row_is_parsed_once(spark, tmp_path, monkeypatch):
+    raw, cache = tmp_path / "raw", str(tmp_path / "cache")
+    for name, price in (("Appliances", "20"), ("Electronics", "nothing")):
+        (raw / f"meta={name}").mkdir(parents=True)
+        (raw / f"meta={name}" / "part.txt").write_text(line(f"A {name}", price) + "\n")
+    parsed, real = [], products.load_categories
+    monkeypatch.setattr(products, "load_categories", lambda spark, path, categories: parsed.append(list(categories)) or real(spark, path, categories))
+    both = ["Appliances", "Electronics"]
+    first = products.category_cache(spark, str(raw), cache, both)
+    assert [r.title for r in first.collect()] == ["A Appliances"]
+    writes = []
+    monkeypatch.setattr(spark, "createDataFrame", lambda *args: writes.append(args))
+    again = products.category_cache(spark, str(raw), cache, both)
+    assert [r.title for r in again.collect()] == ["A Appliances"] and not writes
+    assert products.category_cache(spark, str(raw), cache, ["Electronics"]).count() == 0

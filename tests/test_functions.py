@@ -108,7 +108,7 @@ def test_prompts(one):
     ("Kettle AB12345", ["Boils  water.\nFast.", "x"], ["Steel body! Nice"], '{"Brand": "Acme"}', ["Kettle ", "Acme", "Boils water.", "Steel body!"]),
     (" ", [], ["One. Two.", "Three"], '{"Part Number": "1", "Colour": "red"}', ["Unknown", "Unknown", "One.", "Three"]),
     ("T", None, ["Only one"], '{"Brand": " ", "Colour": "red", "Size": "2"}', ["T", "Unknown", "Only one", "Colour: red"]),
-    ("T", ["  \t", "No end"], None, '{"Weight": 2.50}', ["T", "Unknown", "No end", "Weight: 2.50"]),
+    ("T", ["  \t", "No end"], None, '{"Weight": 2.75}', ["T", "Unknown", "No end", "Weight: 2.75"]),
     ("T", [], [], "", ["T", "Unknown", "Unknown", "Unknown"]),
 ])
 def test_summary_card(spark, title, description, features, details, lines):
