@@ -28,7 +28,7 @@ SPAN = LENGTH - K + 1  # K-byte strings in a window
 # Bytes of documents in a batch, of texts hashed at once, and of a shard.
 BATCH_BYTES, BLOCK_BYTES, SHARD_BYTES = 16 << 20, 1 << 20, 2 << 20
 # Text of all documents for each route; the segments that a route is dealt of it are held at once.
-ROUTE_BYTES = 16 << 20
+ROUTE_BYTES = 8 << 20
 PLACE_BITS = np.uint64(24)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
