@@ -521,8 +521,14 @@ def cut(text: bytes, ends) -> tuple[int, int, bytes]:
 
 
 def routes_of(docs: DataFrame, text: str) -> int:
-    """As many routes as keep each at about ROUTE_BYTES of text, and no fewer than the shuffle partitions."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    """As many routes as keep each at about ROUTE_BYTES of text, and no fewer than the shuffle partitions.
+
+    The size of stored files is in the plan's statistics, and texts are about twice as long unpacked; rows of which
+    the plan knows no size are added up.
+    """
+    size = 2 * int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // ROUTE_BYTES))
 
 

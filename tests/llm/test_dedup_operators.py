@@ -99,14 +99,19 @@ def test_suffix_against_brute_force(spark):
         assert sorted(map(tuple, suffix.remove_repeats(frame, routes=routes).collect())) == truth
 
 
-def test_suffix_routes_follow_the_bytes(spark, monkeypatch):
+def test_suffix_routes_follow_the_bytes(spark, monkeypatch, tmp_path):
     """A phrase in a third of all texts; as many routes as bytes want, and a task for each of them."""
     phrase = "a phrase of more than a hundred bytes that stands in a third of all of the texts, whatever else they may be made of; "
     texts = [t + phrase * (i % 3 == 0) + t[::-1] for i, t in enumerate(tangled(9, 60))]
     frame = documents(spark, [(i, t, "en") for i, t in enumerate(texts)]).repartition(5)
     size = sum(len(t.encode()) for t in texts)
+    unknown = spark.createDataFrame(frame.rdd, frame.schema)
     monkeypatch.setattr(suffix, "ROUTE_BYTES", size // 40)
-    assert 40 <= suffix.routes_of(frame, "text") <= 41
+    assert 40 <= suffix.routes_of(unknown, "text") <= 41
+    frame.write.parquet(str(tmp_path / "stored"))
+    stored = sum(f.stat().st_size for f in (tmp_path / "stored").glob("*.parquet"))
+    assert suffix.routes_of(spark.read.parquet(str(tmp_path / "stored")), "text") == max(4, -(-2 * stored // (size // 40)))
+    frame = spark.read.parquet(str(tmp_path / "stored"))
     docs = [(i, t.encode()) for i, t in enumerate(texts)]
     assert sorted(map(tuple, suffix.remove_repeats(frame).collect())) == sorted(expected_row(d, t, g) for (d, t), g in zip(docs, covered(docs)))
     tasks = spark.range(400).selectExpr("id % 40 as route").repartitionById(40, F.col("route").cast("int")).rdd.glom().map(lambda rows: {r.route for r in rows}).collect()
