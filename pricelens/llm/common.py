@@ -6,17 +6,9 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricelens.session import materialize, scratch_path
+from pricelens.session import materialize, scratch_path, small_batches
 
-__all__ = ["materialize", "scratch_path"]
-
-
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Have texts sent to Python in batches of 4 MB: a task holds a batch on both sides several times over."""
-    spark.conf.set(BATCH_BYTES, "4m")
+__all__ = ["materialize", "scratch_path", "small_batches"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -15,6 +15,8 @@ from pricelens.operators.deals import advertised_price
 
 ENTRY = "poll bigint, feed string, pos bigint, title string, url string, html string, offer string, category string"
 MARKER = "_SUCCESS"
+# Bytes of a column read from a file at once.
+READ_BYTES = 1 << 20
 
 
 class PollFile(InputPartition):
@@ -66,7 +68,8 @@ class PollReader(DataSourceStreamReader):
         files, _ = self._files()
         names = [c.split(" ")[0] for c in ENTRY.split(", ")[1:]]
         with files.open_input_file(partition.path) as file:
-            for batch in pq.ParquetFile(file).iter_batches(batch_size=500, columns=names):
+            # Through a buffer: else a whole column of a row group, here of pages, is held at once.
+            for batch in pq.ParquetFile(file, buffer_size=READ_BYTES).iter_batches(batch_size=500, columns=names):
                 first = pc.and_(pc.less(batch.column("pos"), self.entries), pc.and_(batch.column("url").is_valid(), batch.column("html").is_valid()))
                 kept = batch.select(names).filter(first)
                 poll = pa.array([partition.poll] * kept.num_rows, pa.int64())
