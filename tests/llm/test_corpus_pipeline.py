@@ -149,3 +149,17 @@ def test_queries_match_sql(spark, small, name):
 @pytest.mark.parametrize("number", range(1, 14))
 def test_each_operator_has_one_query(number):
     assert len([n for n in QUERIES if n.startswith(f"op{number}_")]) == 1
+
+
+def test_near_stage_links_by_fingerprints(spark, small, monkeypatch):
+    """SimHash finds copies by itself, and its links are confirmed: equal fingerprints of different sets are no copies."""
+    nothing = lambda nodes: nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    monkeypatch.setattr(corpus_pipeline.shingles, "candidates", nothing)
+    long = prose(1, sentences=200)
+    line = "the same line comes again "
+    often = [line * 60 + prose(i) for i in (7, 8)]
+    prints = [corpus_pipeline.simhash.fingerprint(t) for t in often]
+    assert bin(prints[0] ^ prints[1]).count("1") <= 3 and len(shingle_truth(often[0]) & shingle_truth(often[1])) < 0.8 * len(shingle_truth(often[0]))
+    rows = [(1, long, "en"), (2, long + " end", "en"), (3, prose(2, sentences=50), "en"), (4, often[0], "en"), (5, often[1], "en"), (2, long + " end", "en"), (6, None, "en"), (7, " ", "en")]
+    kept = [r.doc_id for r in STAGES["simhash_dedup"](spark, documents(spark, rows), small).collect()]
+    assert sorted(kept) == [1, 3, 4, 5, 6]
