@@ -107,12 +107,17 @@ def _covered(fps, radius, free):
         yield order[a], order[b]
 
 
-def links(nodes: DataFrame, radius=RADIUS) -> DataFrame:
-    """`a, b`: links between nodes `node, fp` that join all fingerprints within the radius."""
+def buckets(nodes: DataFrame, radius=RADIUS, *carry) -> DataFrame:
+    """`node, fp, bucket` and the columns `carry`: each node in its bucket of every table."""
     tables = masks(list(range(BITS)), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in tables]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)])
-    spread = nodes.select("node", "fp", F.explode(keys).alias("bucket")).repartition("bucket")
+    return nodes.select("node", "fp", *carry, F.explode(keys).alias("bucket"))
+
+
+def links(nodes: DataFrame, radius=RADIUS) -> DataFrame:
+    """`a, b`: links between nodes `node, fp` that join all fingerprints within the radius."""
+    spread = buckets(nodes, radius).repartition("bucket")
 
     def run(batches):
         held = [b for b in batches if b.num_rows]

@@ -163,3 +163,34 @@ def test_near_stage_links_by_fingerprints(spark, small, monkeypatch):
     rows = [(1, long, "en"), (2, long + " end", "en"), (3, prose(2, sentences=50), "en"), (4, often[0], "en"), (5, often[1], "en"), (2, long + " end", "en"), (6, None, "en"), (7, " ", "en")]
     kept = [r.doc_id for r in STAGES["simhash_dedup"](spark, documents(spark, rows), small).collect()]
     assert sorted(kept) == [1, 3, 4, 5, 6]
+
+
+def test_near_stage_looks_at_all_fingerprint_links(spark, small, monkeypatch):
+    """Pairs of copies in one component of SimHash, where the component's first text is like one of them alone."""
+    nothing = lambda nodes: nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    monkeypatch.setattr(corpus_pipeline.shingles, "candidates", nothing)
+    monkeypatch.setattr(corpus_pipeline.shingles, "TILE", 3, raising=False)
+    texts = ["the same line comes again " * 60 + prose(i) for i in (7, 8, 9, 10)]
+    rows = [(2 * i + end, t + " end" * end, "en") for i, t in enumerate(texts) for end in (0, 1)]
+    prints = [corpus_pipeline.simhash.fingerprint(t) for _, t, _ in rows]
+    sets = [shingle_truth(t) for _, t, _ in rows]
+    for i in range(0, 8, 2):
+        assert (prints[i] ^ prints[i + 1]).bit_count() <= 3 and len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])
+        assert (prints[0] ^ prints[i]).bit_count() <= 3 and (i == 0 or len(sets[0] & sets[i]) < 0.8 * len(sets[0] | sets[i]))
+    kept = [r.doc_id for r in STAGES["simhash_dedup"](spark, documents(spark, rows), small).collect()]
+    assert sorted(kept) == [0, 2, 4, 6]
+
+
+@pytest.mark.parametrize("tile", [16, 2_048])
+def test_a_large_bucket_loses_no_link(spark, small, tile, monkeypatch):
+    """More texts than a bucket compares in pairs, alike at the border of 0.8: chains that a leader's estimates cut."""
+    monkeypatch.setattr(corpus_pipeline.shingles, "TILE", tile, raising=False)
+    r, words = random.Random(10), [f"{a}{b}" for a in WORDS["en"] for b in WORDS["de"]]
+    base, rows = r.choices(words, k=200), []
+    for i in range(140):
+        text = list(base)
+        for at in r.sample(range(200), r.randint(2, 6)):
+            text[at] = r.choice(words)
+        rows.append((i, " ".join(text), "en"))
+    kept = [r.doc_id for r in STAGES["simhash_dedup"](spark, documents(spark, rows), small).collect()]
+    assert sorted(kept) == sorted(first_of_groups({i: t for i, t, _ in rows}))
