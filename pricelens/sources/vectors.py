@@ -7,23 +7,26 @@ nothing reads; of two writers the second finds its number taken, looks at what t
 tries again; and a reader sees all of a commit or nothing.
 
 A row's key is a hash of its text, so the order and the numbers of the input don't matter. Texts already
-stored are not encoded again; if their other columns have changed, a part of newer rows replaces them.
+stored are not encoded again; if their other columns have changed, a part of newer columns by key replaces
+those. What is new or changed is found on keys and columns alone; texts move once, when they are stored.
 """
 
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricelens import config
 from pricelens.functions import prompts
 from pricelens.operators import inverted, retrieve
 from pricelens.operators.order import ordinal_by_id
-from pricelens.session import materialize
+from pricelens.session import discard, materialize
 from pricelens.sources.tables import document_id
 
 ADDED, REPLACED = "added", "replaced"
 TRIES = 20
+# Keys of new texts sent to every task; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 
 
 class CommitConflict(Exception):
@@ -98,62 +101,91 @@ class VectorStore:
     def table(self, manifest: dict = None) -> DataFrame | None:
         """`id, key, document, embedding` and the metadata of every text; None while nothing is stored.
 
-        Rows are only compared by key where some have been replaced since the last `compact`.
+        Columns are only looked up by key where some have been replaced since the last `compact`.
         """
         parts = (manifest or self.manifest())["parts"]
         if not parts:
             return None
-        columns = ["id", "key", "document", "embedding", *self.metadata]
-        if all(p["kind"] == ADDED for p in parts):
-            return self._read([p["rows"] for p in parts]).select(*columns)
-        rows = [self._read([p["rows"]]).select(*columns, F.lit(i).alias("_part")) for i, p in enumerate(parts)]
-        whole = rows[0]
-        for more in rows[1:]:
-            whole = whole.unionByName(more)
-        newest = F.row_number().over(W.partitionBy("key").orderBy(F.desc("_part")))
-        return whole.withColumn("_newest", newest).where("_newest = 1").select(*columns)
+        whole = self._added(parts)
+        columns = ["id", "key", "document", "embedding"]
+        changes = [self._read([p["rows"]]).select("key", F.struct(*self.metadata).alias("_new"), F.lit(i).alias("_part")) for i, p in enumerate(parts) if p["kind"] == REPLACED]
+        if not changes:
+            return whole.select(*columns, *self.metadata)
+        union = changes[0]
+        for more in changes[1:]:
+            union = union.unionByName(more)
+        newest = union.groupBy("key").agg(F.max_by("_new", "_part").alias("_new"))
+        replaced = F.col("_new").isNotNull()
+        return whole.join(newest, "key", "left").select(*columns, *[F.when(replaced, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in self.metadata])
+
+    def _added(self, parts: list[dict]) -> DataFrame:
+        """Every text as it was stored first."""
+        return self._read([p["rows"] for p in parts if p["kind"] == ADDED])
 
     def upsert(self, rows: DataFrame, text: str = "document", order: str = "id") -> dict:
         """Store each text of `rows` once; returns the manifest after it.
 
         Of equal texts the row that comes first in `order` gives the metadata. New texts are encoded and
-        numbered on from those stored, in `order`. Null texts are left out.
+        numbered on from those stored, in `order`. Null texts are left out. `rows` is read twice, for its keys and
+        for new texts, and has to give the same both times.
         """
-        first = F.min_by(F.struct(F.col(text).alias("document"), *self.metadata), order).alias("row")
-        incoming = rows.where(F.col(text).isNotNull()).groupBy(prompts.content_key(F.col(text)).alias("key")).agg(first, F.min(order).alias("_order"))
-        incoming = materialize(incoming.select("key", "_order", "row.*"), "incoming")
-        for _ in range(TRIES):
-            before = self.manifest()
-            parts = self._parts(incoming, before)
-            if not parts:
-                return before
-            added = sum(p["count"] for p in parts if p["kind"] == ADDED)
-            try:
-                return self.commit(before | {"parts": before["parts"] + parts, "texts": before["texts"] + added})
-            except CommitConflict:
-                continue  # what was staged is not named by any manifest
-        raise CommitConflict(f"{TRIES} tries")
-
-    def _parts(self, incoming: DataFrame, before: dict) -> list[dict]:
+        keyed = rows.where(F.col(text).isNotNull())
+        keyed = keyed.select(prompts.content_key(F.col(text)).alias("key"), F.col(order).alias("_order"), F.col(text).alias("document"), F.struct(F.lit(1).alias("_row"), *self.metadata).alias("_held"))
+        once = keyed.groupBy("key", "_order").agg(F.first("_held").alias("_held"), F.count(F.lit(1)).alias("_n"))
+        first = F.min_by(F.struct("_held", "_n"), "_order").alias("_first")
+        incoming = once.groupBy("key").agg(first, F.min("_order").alias("_order"))
+        incoming = materialize(incoming.select("key", "_order", "_first._n", *[F.col(f"_first._held.{c}").alias(c) for c in self.metadata]), "incoming")
+        try:
+            for _ in range(TRIES):
+                before = self.manifest()
+                parts = self._parts(keyed, incoming, before)
+                if not parts:
+                    return before
+                added = sum(p["count"] for p in parts if p["kind"] == ADDED)
+                try:
+                    return self.commit(before | {"parts": before["parts"] + parts, "texts": before["texts"] + added})
+                except CommitConflict:
+                    continue  # what was staged is not named by any manifest
+            raise CommitConflict(f"{TRIES} tries")
+        finally:
+            discard(incoming)
+
+    def _parts(self, keyed: DataFrame, incoming: DataFrame, before: dict) -> list[dict]:
         stored, parts = self.table(before), []
-        fresh = incoming if stored is None else incoming.join(stored.select("key"), "key", "left_anti")
+        fresh = incoming if stored is None else incoming.join(self._added(before["parts"]).select("key"), "key", "left_anti")
+        fresh = materialize(fresh, "fresh")
         count = fresh.count()
         if count:
-            numbered = ordinal_by_id(fresh, "_order", "_nth").withColumn("id", F.col("_nth") + F.lit(before["texts"]))
+            numbered = materialize(ordinal_by_id(fresh, "_order", "_nth").withColumn("id", F.col("_nth") + F.lit(before["texts"])), "numbered")
             columns = ["id", "key", "document", self.encode(F.col("document")).alias("embedding"), *self.metadata]
-            name = self._write(numbered.select(*columns), ADDED)
+            name = self._write(self._with_texts(keyed, numbered, count).select(*columns), ADDED)
+            discard(numbered)
+            if self._read([name]).count() != count:
+                raise ValueError("the rows were others when they were read again")
             parts.append({"kind": ADDED, "rows": name, "count": count, "entries": self._entries(name, before["lists"])})
+        discard(fresh)
         if stored is not None and self.metadata:
             new = incoming.select("key", F.struct(*self.metadata).alias("_new"))
             changed = stored.join(new, "key").where(~F.struct(*self.metadata).eqNullSafe(F.col("_new")))
-            name = self._write(changed.select("id", "key", "document", "embedding", *[F.col(f"_new.{c}").alias(c) for c in self.metadata]), REPLACED)
+            name = self._write(changed.select("key", *[F.col(f"_new.{c}").alias(c) for c in self.metadata]), REPLACED)
             count = self._read([name]).count()
-            if count:  # vectors stay, and with them the codes in the lists
+            if count:  # texts and vectors stay, and with them the codes in the lists
                 parts.append({"kind": REPLACED, "rows": name, "count": count, "entries": None})
             else:
                 self._drop(name)
         return parts
 
+    @staticmethod
+    def _with_texts(keyed: DataFrame, numbered: DataFrame, count: int) -> DataFrame:
+        """New keys with their texts, from the row that comes first; where that is there more than once, from one of them."""
+        of = lambda rows: F.broadcast(rows) if count <= BROADCAST_KEYS else rows
+        texts = keyed.select(F.col("key").alias("_key"), F.col("_order").alias("_at"), "document")
+        same = (F.col("key") == F.col("_key")) & F.col("_order").eqNullSafe(F.col("_at"))
+        found = texts.join(of(numbered.where("_n = 1")), same)
+        if numbered.where("_n > 1").isEmpty():
+            return found
+        return found.unionByName(texts.join(of(numbered.where("_n > 1")), same).dropDuplicates(["key"]))
+
     def compact(self) -> dict:
         """All parts as one, without what has been replaced."""
         before = self.manifest()
@@ -188,13 +220,14 @@ class VectorStore:
             raise ValueError("nothing is stored yet")
         asked = queries.where(F.col(text).isNotNull()).select("id", self.encode(F.col(text)).alias("embedding"))
         asked = materialize(asked, "asked")
+        vectors = self._added(manifest["parts"]).select("id", "embedding")
         if approximate:
             if manifest["lists"] is None:
                 raise ValueError("build_lists first")
             learned = inverted.load(self.spark, f"{self.path}/parts/{manifest['lists']}")
             entries = self._read([p["entries"] for p in manifest["parts"] if p["entries"]])
-            found = inverted.search(asked, stored, entries, learned, k)
+            found = inverted.search(asked, vectors, entries, learned, k)
         else:
-            found = retrieve.nearest(asked, stored, k)
+            found = retrieve.nearest(asked, vectors, k)
         rows = stored.select("id", document_id(F.col("id")).alias("doc"), "document", *self.metadata)
         return found.join(rows, "id").select("query_id", "rank", "doc", "document", *self.metadata, "distance")

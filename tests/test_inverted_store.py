@@ -169,3 +169,40 @@ def test_search_by_text_exact_and_by_lists(spark, store):
         assert [(r.query_id, r.rank) for r in found] == [(q, k) for q in (500, 501) for k in (1, 2, 3)]
         assert found[0].document == "aaab" and found[0].distance == 0 and found[0].price == 16.0 and found[0].doc == "doc_16"
         assert found[3].document == "ccccd"
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_texts_move_once(spark, store, most, monkeypatch):
+    """Rows that come twice, equal texts under several numbers; changed metadata is stored without the texts."""
+    monkeypatch.setattr(store_io, "BROADCAST_KEYS", most, raising=False)
+    rows = [(5, "aa", 1.0), (5, "aa", 1.0), (9, "b", 7.0), (3, "b", 2.0), (4, "cc", None), (4, "cc", None), (1, None, 1.0)]
+    assert store.upsert(texts(spark, rows))["texts"] == 3
+    assert [r[:3] for r in rows_of(store)] == [(0, "b", 2.0), (1, "cc", None), (2, "aa", 1.0)]
+    changed = store.upsert(texts(spark, [(1, "aa", 4.0), (2, "d", 5.0), (3, "cc", 6.0), (3, "cc", 6.0)]))
+    assert [(p["kind"], p["count"]) for p in changed["parts"]] == [("added", 3), ("added", 1), ("replaced", 2)]
+    assert store._read([changed["parts"][2]["rows"]]).columns == ["key", "price"]
+    store.upsert(texts(spark, [(1, "aa", None)]))
+    whole = [(0, "b", 2.0), (1, "cc", 6.0), (2, "aa", None), (3, "d", 5.0)]
+    assert [r[:3] for r in rows_of(store)] == whole
+    store.compact()
+    assert [r[:3] for r in rows_of(store)] == whole
+
+
+def test_blocks_meet_without_being_copied(spark, monkeypatch):
+    """What is written for a search grows with the vectors, not with the blocks they are cut into."""
+    monkeypatch.setattr(retrieve, "BLOCK_ROWS", 25)
+    written, plain = [], retrieve.materialize
+
+    def materialize(frame, name):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        done = plain(frame, name)
+        written.append((name, done.count(), "CartesianProduct" in plan, plan.count("Exchange")))
+        return done
+
+    monkeypatch.setattr(retrieve, "materialize", materialize)
+    values = np.random.default_rng(8).standard_normal((400, 5))
+    frame, pairs = vectors(spark, values), list(enumerate(values))
+    assert got(retrieve.nearest(frame, frame, 5)) == brute(pairs, pairs, 5, False)
+    met = {name: (count, meets, moved) for name, count, meets, moved in written}
+    assert met["begun"][0] == met["query-blocks"][0] >= 16 and met["begun"][1]
+    assert met["candidates"][1] and met["candidates"][2] == 0
