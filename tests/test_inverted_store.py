@@ -206,3 +206,22 @@ def test_blocks_meet_without_being_copied(spark, monkeypatch):
     met = {name: (count, meets, moved) for name, count, meets, moved in written}
     assert met["begun"][0] == met["query-blocks"][0] >= 16 and met["begun"][1]
     assert met["candidates"][1] and met["candidates"][2] == 0
+
+
+@pytest.mark.parametrize("block", [300, 100_000])
+def test_a_block_of_lists_sends_the_best_only(spark, block, monkeypatch):
+    """A query gets its best codes of each block of lists, not of each list; and they are the best of all."""
+    monkeypatch.setattr(inverted, "BLOCK_ROWS", block)
+    values = np.random.default_rng(9).standard_normal((900, 6))
+    frame = vectors(spark, values)
+    lists = inverted.learn(frame)
+    entries = inverted.encode(frame, lists)
+    cells = F.array(*[F.lit(c) for c in range(len(lists.centroids))])
+    visits = frame.where("id < 40").select(F.col("id").alias("rep"), "embedding", cells.alias("cells"))
+    found = inverted.scanned(visits, entries, lists, 7).collect()
+    assert 40 * 7 <= len(found) <= (40 * 7 if block > 900 else 40 * 7 * 6)
+    coded = {r["id"]: lists.decoded(inverted.unpack(np.frombuffer(r["code"], np.uint8).reshape(1, -1), 6))[0] + lists.centroids[r["cell"]] for r in entries.collect()}
+    asked = {r["rep"]: lists.whole(np.array(r["embedding"], float)) for r in visits.collect()}
+    for q, v in asked.items():
+        best = sorted((r["distance"], r["id"]) for r in found if r["rep"] == q)[:7]
+        assert best == sorted((float(((v - p) ** 2).sum()), i) for i, p in coded.items())[:7]
